@@ -6,13 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartlode.llm import common, decontam, langid, minhash, packing, warc
+from chartlode.llm import common, decontam, html_extract, langid, lm, minhash, packing, quality_classifier, quality_rules, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades 0 (poor), 1 (good but toxic) and 2 (good and clean), from the two labels."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ratings = labels.select("doc_id", (F.col("quality") * (2 - F.col("toxic"))).alias("grade"))
+    return quality_classifier.grade(documents, quality_classifier.train(documents, ratings))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.shared_path(spark, "archive")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -31,11 +38,29 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return lm.score(documents, lm.train(documents))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return langid.predict(documents, langid.train(documents))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 OP2_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS h, min(page_id) OVER (PARTITION BY payload) AS first_id FROM p)
@@ -79,11 +104,16 @@ FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_warc": op2_warc,
     "op3_packing": op3_packing,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_decontamination": op5_decontamination,
+    "op6_lm_scoring": op6_lm_scoring,
+    "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES = {"op2_warc": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_decontamination": OP5_SQL}
