@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartlode.llm import decontam, langid, minhash, packing
+from chartlode.llm import decontam, langid, minhash, packing, toxicity
 from chartlode.llm.common import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,6 +23,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep(docs, langid.predict(docs, langid.train(docs)), F.col("lang_pred") != langid.UNKNOWN)
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that are predicted toxic; the classifier is fit on those labelled among what is left."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return keep(docs, toxicity.score(docs, toxicity.train(docs, labels)), F.col("predicted") == 0)
+
+
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies."""
     return keep(docs, minhash.near_duplicates(docs), F.col("kept"))
@@ -39,7 +45,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-STAGES = [("language", language), ("dedup", dedup), ("decontaminate", decontaminate), ("pack", pack)]
+STAGES = [("language", language), ("toxicity", toxic), ("dedup", dedup), ("decontaminate", decontaminate), ("pack", pack)]
 
 #: SQL can't express trained models.
 ORACLE_SQL = None
