@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 
 from chartlode.llm.common import materialize
 
-#: How often the small side of a join on a digest is repeated, so that a payload that a third of all records share is not one task's.
-SALT = 16
-
 #: Digits of Spark's conv() in base 32, and those of RFC 4648.
 CONV32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -68,16 +65,16 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
     # Length and SHA-1 must agree under one SHA-256, else two payloads share it and nothing may be stored under it.
     first = light.groupBy("sha256").agg(F.min("record_id").alias("first_id"), F.min(F.struct("payload_bytes", "payload_digest")).alias("low"), F.max(F.struct("payload_bytes", "payload_digest")).alias("high"))
     first = first.select("sha256", "first_id", F.assert_true(F.col("low") == F.col("high"), "two payloads with one SHA-256").alias("_ok"))
-    first = first.select("sha256", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"), "_ok").where("_ok is null").drop("_ok")
-    salted = light.withColumn("salt", F.pmod(F.xxhash64(F.col("record_id"), F.col("url")), F.lit(SALT)).cast("int"))
-    typed = salted.join(first, ["sha256", "salt"]).withColumn("record_type", F.when((F.col("payload_bytes") < min_revisit_bytes) | F.col("record_id").eqNullSafe(F.col("first_id")), "response").otherwise("revisit"))
+    # Written first, both sides of the join are dealt out by it alone, and Spark splits a digest that very many records share.
+    first = materialize(first.where("_ok is null").drop("_ok"), "first")
+    typed = light.join(first, "sha256").withColumn("record_type", F.when((F.col("payload_bytes") < min_revisit_bytes) | F.col("record_id").eqNullSafe(F.col("first_id")), "response").otherwise("revisit"))
     typed = typed.withColumn("refers_to", F.when(F.col("record_type") == "revisit", F.col("first_id")))
     typed.select("record_id", header(date).alias("header"), "sha256", "record_type", "refers_to").write.parquet(f"{path}/headers")
     # One holder of each payload: the smallest (id, url) under it.
     holder = light.groupBy("sha256").agg(F.min_by(F.struct("record_id", "url"), F.struct(F.col("record_id").isNull(), "record_id", "url")).alias("h"))
     holder = holder.select(F.col("sha256").alias("h_sha256"), F.col("h.record_id").alias("h_id"), F.col("h.url").alias("h_url"))
     held = records.join(holder, F.col("record_id").eqNullSafe(F.col("h_id")) & F.col("url").eqNullSafe(F.col("h_url")) & (F.col("sha256") == F.col("h_sha256"))).select("sha256", "payload", "payload_bytes")
-    (held.dropDuplicates(["sha256"]) if has_repeats(light) else held).write.parquet(f"{path}/payloads")
+    (held.dropDuplicates(["sha256"]) if has_repeats(light) else held).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def has_repeats(light: DataFrame) -> bool:
@@ -96,12 +93,6 @@ def read_headers(spark: SparkSession, path: str, id_type: str = "long") -> DataF
     return spark.read.schema(f"record_id {id_type}, header string, sha256 string, record_type string, refers_to {id_type}").parquet(f"{path}/headers")
 
 
-def by_digest(headers: DataFrame, values: DataFrame) -> DataFrame:
-    """Join values that are unique by sha256 to headers, a frequent digest's headers dealt over several tasks."""
-    salted = headers.withColumn("salt", F.pmod(F.xxhash64("record_id", "header"), F.lit(SALT)).cast("int"))
-    return salted.join(values.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["sha256", "salt"]).drop("salt")
-
-
 def read_archive(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """The original records: record_id, record_type, refers_to, header, payload (of revisits too), verified."""
     headers, payloads = read_headers(spark, path, id_type), read_payloads(spark, path)
@@ -116,7 +107,7 @@ def digests(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     own = read_payloads(spark, path).select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
     field = lambda name: F.nullif(F.regexp_extract("header", rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
     refers = F.regexp_extract(F.coalesce(field("WARC-Refers-To"), F.lit("")), "<urn:record:(.*)>", 1)
-    return by_digest(read_headers(spark, path, id_type), own).select("record_id", "payload_bytes", "payload_digest", field("WARC-Type").alias("record_type"), F.nullif(refers, F.lit("")).cast(id_type).alias("refers_to"))
+    return read_headers(spark, path, id_type).join(own, "sha256").select("record_id", "payload_bytes", "payload_digest", field("WARC-Type").alias("record_type"), F.nullif(refers, F.lit("")).cast(id_type).alias("refers_to"))
 
 
 def write_warc_files(spark: SparkSession, path: str, out: str, compression: str = "none", id_type: str = "long") -> None:
