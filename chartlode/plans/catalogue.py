@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from chartlode.plans import relational
 
-QUERIES = {
-    "AGG-01": lambda spark, d: spark.read.parquet(f"{d}/events.parquet")
-    .groupBy(F.col("event_type").alias("metric"), F.to_date("ts").alias("day"))
-    .agg(F.count("value").alias("n"), F.round(F.avg("value"), 1).alias("avg_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"))
-}
-
-ORACLES = {
-    "AGG-01": "SELECT event_type AS metric, ts::DATE AS day, count(value) AS n, round(avg(value), 1) AS avg_value, min(value) AS min_value, max(value) AS max_value FROM events GROUP BY ALL"
-}
+QUERIES, ORACLES = {}, {}
+for part in (relational,):
+    QUERIES |= part.query.queries
+    ORACLES |= part.query.oracles
