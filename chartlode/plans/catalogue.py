@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chartlode.plans import relational
+from chartlode.plans import relational, scalars
 
 QUERIES, ORACLES = {}, {}
-for part in (relational,):
+for part in (relational, scalars):
     QUERIES |= part.query.queries
     ORACLES |= part.query.oracles

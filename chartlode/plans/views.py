@@ -65,6 +65,24 @@ class Tables:
     def chunks(self) -> DataFrame:
         return self.read("embeddings").selectExpr("vec_id AS chunk_id", "CASE WHEN label < 4 THEN 'drug' WHEN label < 7 THEN 'analyte' ELSE 'health' END AS source", "CASE WHEN label >= 7 THEN vec_id % 20 END AS user_id", "concat(label, ':', vec_id) AS ref_key", "embedding")
 
+    def raw(self) -> DataFrame:
+        """Texts as forms and models write them, made of line items."""
+        return self.read("lineitem").join(self.read("part"), F.col("l_partkey") == F.col("p_partkey")).selectExpr(*[f"{e} AS {n}" for n, e in RAW.items()])
+
+
+#: Expressions that both engines read alike.
+RAW = {
+    "id": "l_orderkey * 1000000 + l_partkey * 10 + l_linenumber",
+    "doc": "l_orderkey",
+    "name": "concat(CASE l_linenumber % 6 WHEN 0 THEN '  Ёлка ' WHEN 1 THEN '' WHEN 2 THEN 'Общий  ' ELSE 'x ' END, p_name, CASE l_suppkey % 7 WHEN 0 THEN ' (общ. число), %' WHEN 1 THEN ', абс.' WHEN 2 THEN '::' WHEN 3 THEN ', отн., %' WHEN 4 THEN '  ' ELSE '' END)",
+    "value": "CASE l_linenumber WHEN 1 THEN concat(CAST(l_quantity AS INT), ',', l_partkey % 10) WHEN 2 THEN concat(CAST(l_quantity AS INT), '*') WHEN 3 THEN concat('< ', CAST(l_quantity AS INT)) WHEN 4 THEN 'не обнаружено' WHEN 5 THEN concat(' -', l_partkey % 90, ' мм/ч') WHEN 6 THEN '' ELSE concat(l_suppkey, '.0 %') END",
+    "ref": "CASE l_partkey % 8 WHEN 0 THEN concat(p_size, ' - ', p_size + 10) WHEN 1 THEN concat('< ', p_size) WHEN 2 THEN concat('≥', p_size, ',5') WHEN 3 THEN concat('до ', p_size) WHEN 4 THEN concat(p_size, ',5–', p_size + 7) WHEN 5 THEN '1 010 - 1 023' WHEN 6 THEN '' ELSE concat('норма ', p_size, ' - ', p_size + 3, ' ед') END",
+    "unit": "CASE l_suppkey % 11 WHEN 0 THEN 'г/л' WHEN 1 THEN '10⁹/л' WHEN 2 THEN ' G/L ' WHEN 3 THEN '| г/л |' WHEN 4 THEN '% (note)' WHEN 5 THEN 'Отрицательный  Отрицательный КП' WHEN 6 THEN 'x10^12/l' WHEN 7 THEN NULL WHEN 8 THEN 'мкг/дл' WHEN 9 THEN '(x)' ELSE 'ммоль/л кр.' END",
+    "day": "CASE l_linenumber % 5 WHEN 0 THEN concat(lpad(concat('', l_partkey % 28 + 1), 2, '0'), '.', lpad(concat('', l_suppkey % 12 + 1), 2, '0'), '.20', lpad(concat('', l_orderkey % 30), 2, '0')) WHEN 1 THEN concat('20', lpad(concat('', l_orderkey % 30), 2, '0'), '-', lpad(concat('', l_suppkey % 12 + 1), 2, '0'), '-', lpad(concat('', l_partkey % 28 + 1), 2, '0')) WHEN 2 THEN concat(l_partkey % 28 + 1, ' ', CASE l_suppkey % 3 WHEN 0 THEN 'марта' WHEN 1 THEN 'мая' ELSE 'декабря' END, ' 2021 г.') WHEN 3 THEN concat(l_partkey % 28 + 1, '/', l_suppkey % 12 + 1, '/2019') ELSE 'вчера' END",
+    "low": "CASE WHEN p_size % 4 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END",
+    "high": "CASE WHEN p_size % 3 = 0 THEN NULL ELSE CAST(p_size + 10 AS DOUBLE) END",
+    "num": "CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity END",
+}
 
 #: The same views for DuckDB.
 SQL = {
@@ -91,6 +109,9 @@ SQL = {
 }
 
 
+SQL["raw"] = f"SELECT {', '.join(f'{e} AS {n}' for n, e in RAW.items())} FROM lineitem JOIN part ON l_partkey = p_partkey"
+
+
 def sql(views: str, body: str) -> str:
     """body with the named views (apart by spaces) defined before it. A body that begins with WITH goes on from there."""
     made = ", ".join(f"{v} AS ({SQL[v]})" for v in views.split())
