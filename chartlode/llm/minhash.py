@@ -14,13 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chartlode.llm.common import WordHashes, as_bytes, docs_of, materialize, mixed, slices, windows_hash
 
 #: The permuted universe has 2**UNIVERSE places.
 UNIVERSE = 20
 SALT = 16
+#: Rows of either side of a block in which all are compared.
+BLOCK = 256
 
 
 def shingles(text: bytes | None, hashes: WordHashes, n: int = 5) -> np.ndarray:
@@ -105,9 +106,9 @@ def components(links: DataFrame) -> DataFrame:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if large:
             both = both.union(both.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        spread = least.select("u", "m", "n", F.explode(F.when(F.col("n") > SALT, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.sequence(F.lit(0), F.lit(SALT - 1), F.lit(1)))).alias("salt"))
-        joined = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(spread, ["u", "salt"])
+        both = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.collect_set("salt").alias("salts"))
+        joined = both.join(least.select("u", "m", F.explode("salts").alias("salt")), ["u", "salt"])
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return out.where("a <> b").distinct()
 
@@ -124,13 +125,73 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("doc_id"), F.col("b").alias("component")).union(links.select("b", "b").distinct())
 
 
-def plausible(n_a: Column, n_b: Column, bands_a: Column, bands_b: Column, percent: int, least: int) -> Column:
-    """What no pair that links fails: sizes near enough, and (but for one link in 10**8) some shared bands."""
-    shared = F.size(F.filter(F.arrays_zip(bands_a.alias("x"), bands_b.alias("y")), lambda p: p["x"] == p["y"]))
-    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (shared >= least)
+def fine(texts: DataFrame, n: int, bits: int) -> DataFrame:
+    """doc_id, text, n_shingles and bits: the lowest bit of each of so many circulant coordinates, as words of 64."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in slices(batches):
+            found = [shingles(t, hashes, n) for t in as_bytes(batch)]
+            words = [np.packbits((signature(f, bits) & 1).astype(np.uint8)).view(np.int64) for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array([len(f) for f in found], pa.int64()), pa.array(words, pa.list_(pa.int64()))], ["doc_id", "text", "n_shingles", "bits"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, n_shingles long, bits array<long>")
+
+
+def most_apart(percent: int, bits: int, deviations: float = 5.5) -> int:
+    """So many bits differ at most between the sketches of two sets that link: a bit differs with probability (1 - Jaccard) / 2."""
+    p = (1 - percent / 100) / 2
+    return int(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 85, bands: int = 32, rows: int = 4) -> DataFrame:
+def plausible(n_a: Column, n_b: Column, bits_a: Column, bits_b: Column, percent: int, apart: int) -> Column:
+    """What no pair that links fails: sizes near enough, and (but for one link in 10**7) sketches near enough."""
+    differ = F.aggregate(F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, k: total + k)
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (differ <= apart)
+
+
+def across(rows: DataFrame, percent: int, apart: int) -> DataFrame:
+    """The plausible pairs (a, b) of few (side 0) and member (side 1) of different components in each block (bucket, i, j) of at most BLOCK of either."""
+
+    def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, component, size, few = (t.column(c).to_numpy() for c in ("node", "component", "n_shingles", "side"))
+        bits = t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        x, y = np.flatnonzero(few == 0), np.flatnonzero(few == 1)
+        if not len(x) or not len(y):
+            return node[:0], node[:0]
+        near = 100 * np.minimum(size[x][:, None], size[y][None, :]) >= percent * np.maximum(size[x][:, None], size[y][None, :])
+        i, j = np.nonzero(near & (component[x][:, None] != component[y][None, :]))
+        i, j = x[i], y[j]
+        ok = np.concatenate([np.bitwise_count(bits[i[k : k + 65_536]] ^ bits[j[k : k + 65_536]]).sum(axis=1) for k in range(0, len(i), 65_536)] or [np.zeros(0)]) <= apart
+        return np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in chained(batches):
+            if batch is not None:
+                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if held is None or not held.num_rows:
+                continue
+            key = np.stack([held.column(c).to_numpy() for c in ("bucket", "i", "j")])
+            ends = [*(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1), *([held.num_rows] if batch is None else [])]
+            start, out = 0, []
+            for end in ends:
+                out.append(pairs(held.slice(start, end - start)))
+                start = end
+            held = held.slice(start)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in out])) for k in (0, 1)], ["a", "b"])
+
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches, then None."""
+    yield from batches
+    yield None
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 85, bands: int = 20, rows: int = 4, bits: int = 2048) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of df.
 
     Documents link where 100 * intersection >= percent * union of their distinct shingles of so many words (A-Z lowered, words
@@ -139,8 +200,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gets its own n_shingles, all the component of the id. A null id gives a null component and is kept. Other columns of df
     are not read; an empty table gives an empty table.
 
-    A pair of Jaccard s shares a band with probability 1 - (1 - s**rows)**bands: 1 - 6e-11 at s = 0.85 by default; no pair,
-    bucket or group is capped. Text moves only for candidate pairs."""
+    A pair of Jaccard s shares a band with probability 1 - (1 - s**rows)**bands: 1 - 4e-7 at s = 0.85 by default; no pair,
+    bucket or group is capped. Candidates are sifted by finer sketches of so many bits before texts are compared, and text
+    moves only for what is left."""
     docs = docs_of(df, id_col, text_col)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     sketches = materialize(sketch(docs, shingle, bands, rows), "sketches")
@@ -150,42 +212,38 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = sets.where("n > 1").select("n_shingles", "set_a", "set_b", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     same = real.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(classes, ["n_shingles", "set_a", "set_b", "salt"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-    # An id with several texts stands in several sets: number the representatives' texts by (id, set).
-    reps = sets.select(F.xxhash64("rep", "set_a", "set_b").alias("node"), "rep", "n_shingles", "set_a", "set_b", "bands")
-    held = reps.select("node", "rep", "n_shingles", "bands")
-    entries = held.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    full = entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    entries = materialize(salted_join(entries, full, "bucket", "node"), "entries")
+    # An id with several texts stands in several sets; only then are the representatives numbered by (id, set).
+    repeated = bool(sketches.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1))
+    node = F.xxhash64("rep", "set_a", "set_b") if repeated else F.col("rep")
+    held = sets.select(node.alias("node"), "rep", "n_shingles", "set_a", "bands")
+    entries = held.select("node", F.explode("bands").alias("bucket"))
+    # What is joined to a frequent bucket is written first: Spark then splits that bucket's rows over tasks.
+    full = materialize(entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "full")
+    entries = materialize(entries.join(full, "bucket"), "entries")
     # The pivot of a band is the member that meets most others over all its bands.
     met = entries.groupBy("node").agg(F.sum("members").alias("met"))
-    entries = entries.join(met, "node")
-    pivots = entries.groupBy("bucket").agg(F.min_by("node", F.struct(-F.col("met"), "node")).alias("pivot"))
-    tried = salted_join(entries, pivots, "bucket", "node").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    texts = reps_texts(docs, reps, sketches, materialize(entries.select("node").distinct(), "nodes"), shingle)
-    arrays = held.join(entries.select("node").distinct(), "node")
-
-    def sifted(pairs: DataFrame) -> DataFrame:
-        one = arrays.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("bands").alias("bands_a"))
-        two = arrays.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("bands").alias("bands_b"))
-        return materialize(salted_join(pairs.join(one, "a"), two, "b", "a").where(plausible(F.col("n_a"), F.col("n_b"), F.col("bands_a"), F.col("bands_b"), percent, 2)).select("a", "b"), "pairs")
-
-    links = materialize(verify(sifted(tried), texts, shingle, percent), "verified")
-    # Bands that still meet several components: their smaller components against all members.
-    found = components(links)
-    placed = materialize(entries.join(found.withColumnRenamed("doc_id", "node"), "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("component")), "placed")
+    pivots = materialize(entries.join(met, "node").groupBy("bucket").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("pivot")), "pivots")
+    tried = entries.join(pivots, "bucket").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    texts = materialize(fine(texts_of(docs, held.join(met.select("node"), "node"), repeated, shingle), shingle, bits), "texts")
+    sketched, apart = texts.drop("text"), most_apart(percent, bits)
+    one = sketched.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("bits").alias("bits_a"))
+    two = sketched.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("bits").alias("bits_b"))
+    tried = tried.join(one, "a").join(two, "b").where(plausible(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), percent, apart)).select("a", "b")
+    links = materialize(verify(materialize(tried, "tried"), texts, shingle, percent), "verified")
+
+    # Bands that still meet several components: the members outside their largest one against all members, block by block.
+    placed = entries.join(components(links).withColumnRenamed("doc_id", "node"), "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("component"))
+    placed = materialize(placed, "placed")
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    unsettled = materialize(salted_join(placed, main, "bucket", "node").join(held.select("node", "n_shingles", "bands"), "node"), "unsettled")
-    few = unsettled.where("component <> main")
-    # Members meet the few in blocks: each of the few is in one of SALT blocks by its node, each member goes to all of them.
-    few = few.select("bucket", F.col("node").alias("a"), F.col("component").alias("c_a"), F.col("n_shingles").alias("n_a"), F.col("bands").alias("bands_a"), F.pmod("node", F.lit(SALT)).alias("salt"))
-    blocks = few.select("bucket", "salt").distinct()
-    all_ = salted_join(unsettled, blocks.groupBy("bucket").agg(F.collect_set("salt").alias("salts")), "bucket", "node").select("bucket", F.col("node").alias("b"), F.col("component").alias("c_b"), F.col("main").alias("m_b"), F.col("n_shingles").alias("n_b"), F.col("bands").alias("bands_b"), F.explode("salts").alias("salt"))
-    once = (F.col("c_b") == F.col("m_b")) | (F.col("a") < F.col("b"))
-    # A pair that shares several bands is made in the first of them alone.
-    first = F.filter(F.arrays_zip(F.col("bands_a").alias("x"), F.col("bands_b").alias("y")), lambda p: p["x"] == p["y"])[0]["x"] == F.col("bucket")
-    rest = few.join(all_, ["bucket", "salt"]).where((F.col("c_a") != F.col("c_b")) & once & plausible(F.col("n_a"), F.col("n_b"), F.col("bands_a"), F.col("bands_b"), percent, 2) & first).select("a", "b")
-    rest = materialize(rest, "rest")
+    main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("members"), F.max("n").alias("most")).where("members > most")
+    main = main.select("bucket", "main", F.ceil((F.col("members") - F.col("most")) / BLOCK).cast("int").alias("few_blocks"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    unsettled = placed.join(materialize(main, "main"), "bucket")
+    unsettled = materialize(unsettled.join(sketched.withColumnRenamed("doc_id", "node"), "node"), "unsettled")
+    own = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    few = unsettled.where("component <> main").select("bucket", "node", "component", "n_shingles", "bits", own("few_blocks").alias("i"), F.lit(0).alias("side"), every("blocks").alias("j"))
+    members = unsettled.select("bucket", "node", "component", "n_shingles", "bits", own("blocks").alias("j"), F.lit(1).alias("side"), every("few_blocks").alias("i"))
+    rest = materialize(across(few.unionByName(members), percent, apart), "rest")
     links = links.union(verify(rest, texts, shingle, percent))
 
     ids = held.select("node", "rep")
@@ -195,27 +253,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def salted_join(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
-    """Inner join of rows of many with few, unique by key: rows of a frequent key are dealt over SALT tasks by column by."""
-    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")).join(spread, [key, "_salt"]).drop("_salt")
-
-
-def reps_texts(docs: DataFrame, reps: DataFrame, sketches: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """doc_id (a node) and text of the nodes.
+def texts_of(docs: DataFrame, nodes: DataFrame, repeated: bool, n: int) -> DataFrame:
+    """doc_id (a node) and text of the nodes (node, rep, set_a).
 
-    An id that is unique has the text of its only row. Rows that repeat an id are told apart by their sketches again."""
-    wanted = reps.join(nodes, "node")
-    twice = sketches.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    own = docs.join(wanted.select(F.col("rep").alias("doc_id"), "node", "set_a", "set_b"), "doc_id")
-    if not twice.head(1):
+    An id that is unique has the text of its only row; where ids repeat, the rows are told apart by their sets again."""
+    own = docs.join(nodes.select(F.col("rep").alias("doc_id"), "node", "set_a"), "doc_id")
+    if not repeated:
         return own.select(F.col("node").alias("doc_id"), "text")
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches):
             a = [int(mixed(shingles(t, hashes, n)).sum(dtype=np.uint64)) for t in as_bytes(batch)]
-            same = pa.array(np.array(a, np.uint64).astype(np.int64) == batch.column("set_a").to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column("node").filter(same), batch.column("text").filter(same)], ["doc_id", "text"])
+            ok = pa.array(np.array(a, np.uint64).astype(np.int64) == batch.column("set_a").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("node").filter(ok), batch.column("text").filter(ok)], ["doc_id", "text"])
 
-    return own.select("node", "text", "set_a").mapInArrow(keys, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])).dropDuplicates(["doc_id"])
+    return own.select("node", "text", "set_a").mapInArrow(same, "doc_id long, text string").dropDuplicates(["doc_id"])
