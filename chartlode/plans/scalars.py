@@ -292,7 +292,7 @@ def sc_43(t: Tables) -> DataFrame:
     return t.labs().join(panel, "document_id", "left").select("id", F.when(c("panel") & c("analyte_name").isin(core), "Гематология").otherwise(c("analyte_group")).alias("grp"))
 
 
-@applied("SC-44", "CASE WHEN num > 3 AND doc % 50 > 0 THEN round(round((doc % 50) / num, 6), 2) END AS rate")
+@applied("SC-44", "CASE WHEN num > 3 AND doc % 50 > 0 THEN round(round((doc % 50) / num, 6) + 1e-9, 2) END AS rate")
 def sc_44():
     return [lab.rate(c("doc") % 50, F.when(c("num") > 3, c("num"))).alias("rate")]
 
