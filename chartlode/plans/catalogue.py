@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chartlode.plans import relational, scalars
+from chartlode.plans import changes, inputs, matching, parsing, relational, scalars
 
 QUERIES, ORACLES = {}, {}
-for part in (relational, scalars):
+for part in (relational, scalars, matching, parsing, changes, inputs):
     QUERIES |= part.query.queries
     ORACLES |= part.query.oracles
