@@ -42,7 +42,7 @@ def src_03(t: Tables) -> DataFrame:
     row = F.concat(F.lit('<Record type="'), kind, F.lit('" startDate="'), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(' +0300" value="'), value, F.lit('"/>'))
     path = scratch(t, "export")
     whole = F.concat(F.lit("<HealthData>\n"), F.array_join(F.collect_list(row), "\n"), F.lit("\n</HealthData>"))
-    t.read("events").groupBy("user_id").agg(whole.alias("value")).select("value").write.text(path)
+    t.read("events").groupBy("user_id").agg(whole.alias("value")).write.partitionBy("user_id").text(path)  # an export, of one root element, for each user
     return readers.export_records(t.spark, path)
 
 
