@@ -151,10 +151,11 @@ def plausible(n_a: Column, n_b: Column, bits_a: Column, bits_b: Column, percent:
 
 
 def across(rows: DataFrame, percent: int, apart: int) -> DataFrame:
-    """The plausible pairs (a, b) of few (side 0) and member (side 1) of different components in each block (bucket, i, j) of at most BLOCK of either."""
+    """The plausible pairs (a, b) of few (side 0) and member (side 1) of different components in each block (bucket, i, j) of about BLOCK of either at most, each pair once or, if both are few, twice."""
 
     def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         node, component, size, few = (t.column(c).to_numpy() for c in ("node", "component", "n_shingles", "side"))
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         bits = t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
         x, y = np.flatnonzero(few == 0), np.flatnonzero(few == 1)
         if not len(x) or not len(y):
@@ -162,6 +163,10 @@ def across(rows: DataFrame, percent: int, apart: int) -> DataFrame:
         near = 100 * np.minimum(size[x][:, None], size[y][None, :]) >= percent * np.maximum(size[x][:, None], size[y][None, :])
         i, j = np.nonzero(near & (component[x][:, None] != component[y][None, :]))
         i, j = x[i], y[j]
+        # A pair that shares several bands is compared in the first of them alone.
+        first = (bands[i] == bands[j]).argmax(axis=1) if len(i) else i
+        own = bands[i, first] == t.column("bucket")[0].as_py()
+        i, j = i[own], j[own]
         ok = np.concatenate([np.bitwise_count(bits[i[k : k + 65_536]] ^ bits[j[k : k + 65_536]]).sum(axis=1) for k in range(0, len(i), 65_536)] or [np.zeros(0)]) <= apart
         return np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])
 
@@ -182,7 +187,7 @@ def across(rows: DataFrame, percent: int, apart: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in out])) for k in (0, 1)], ["a", "b"])
 
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -238,12 +243,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("members"), F.max("n").alias("most")).where("members > most")
     main = main.select("bucket", "main", F.ceil((F.col("members") - F.col("most")) / BLOCK).cast("int").alias("few_blocks"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     unsettled = placed.join(materialize(main, "main"), "bucket")
-    unsettled = materialize(unsettled.join(sketched.withColumnRenamed("doc_id", "node"), "node"), "unsettled")
+    unsettled = materialize(unsettled.join(sketched.withColumnRenamed("doc_id", "node"), "node").join(held.select("node", "bands"), "node"), "unsettled")
     own = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    few = unsettled.where("component <> main").select("bucket", "node", "component", "n_shingles", "bits", own("few_blocks").alias("i"), F.lit(0).alias("side"), every("blocks").alias("j"))
-    members = unsettled.select("bucket", "node", "component", "n_shingles", "bits", own("blocks").alias("j"), F.lit(1).alias("side"), every("few_blocks").alias("i"))
-    rest = materialize(across(few.unionByName(members), percent, apart), "rest")
+    few = unsettled.where("component <> main").select("bucket", "node", "component", "n_shingles", "bits", "bands", own("few_blocks").alias("i"), F.lit(0).alias("side"), every("blocks").alias("j"))
+    members = unsettled.select("bucket", "node", "component", "n_shingles", "bits", "bands", own("blocks").alias("j"), F.lit(1).alias("side"), every("few_blocks").alias("i"))
+    rest = materialize(across(few.unionByName(members), percent, apart).distinct(), "rest")
     links = links.union(verify(rest, texts, shingle, percent))
 
     ids = held.select("node", "rep")

@@ -187,8 +187,8 @@ def test_pseudo_likelihood_prefers_word_order_of_the_corpus(spark, odd, empty, t
 
 def test_token_probabilities_are_a_distribution_and_steps_go_downhill():
     rng = np.random.default_rng(0)
-    flat = lm.start(rng.integers(0, 50, lm.VOCABULARY))
-    w = lm.unpack(flat)
+    w = lm.unpack(lm.start())
+    lm.set_biases(w, rng.integers(0, 50, lm.VOCABULARY))
     near = np.tile(rng.integers(0, lm.VOCABULARY + 1, (4, 1)), lm.VOCABULARY)
     assert np.exp(lm.log_p(w, np.arange(lm.VOCABULARY), near).astype(float)).sum() == pytest.approx(1, abs=1e-3)
     tokens, near = rng.integers(0, lm.VOCABULARY, 200), rng.integers(0, lm.VOCABULARY, (4, 200))
