@@ -85,6 +85,14 @@ def activity_rows(payloads: DataFrame, column: str = "payload") -> DataFrame:
     return rows.select("user_id", F.col("a.activityId").alias("external_id"), F.col("a.activityType.typeKey").alias("activity_type"), at.alias("started_at"), F.col("a.duration").alias("duration_s"), F.col("a.distance").alias("distance_m"), F.col("a.averageHR").alias("avg_hr"), F.col("a.calories").alias("calories"))
 
 
+def paged_activities(pages: DataFrame, most: int = 3) -> DataFrame:
+    """SRC-10. Activities of the first pages (from 1) of each user, up to the first empty one. pages: user_id, page, payload."""
+    before = Window.partitionBy("user_id").orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    empty = F.coalesce(F.json_array_length("payload"), F.lit(0)) == 0
+    kept = pages.where(F.col("page") <= most).withColumn("ended", F.max(empty).over(before)).where("not ended")
+    return activity_rows(kept)
+
+
 def publications(xml: DataFrame, column: str = "xml") -> DataFrame:
     """SRC-11. pmid, title, abstract (labelled sections by lines), journal, year of each article."""
     schema = "struct<MedlineCitation:struct<PMID:string,Article:struct<ArticleTitle:string,Abstract:struct<AbstractText:array<struct<_VALUE:string,_Label:string>>>,Journal:struct<Title:string,JournalIssue:struct<PubDate:struct<Year:string>>>>>>"
