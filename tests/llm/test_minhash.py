@@ -4,6 +4,7 @@ import string
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from chartlode.llm import minhash
 from chartlode.llm.common import WordHashes
 
@@ -85,3 +86,14 @@ def test_components_of_a_path_and_a_star(spark):
 
 def test_an_empty_table_has_no_groups(empty):
     assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_the_pipeline_drops_copies_from_a_similarity_of_80_percent(spark):
+    # The last 10 of 104 words differ: 90 of 110 shingles are common. With 12 it is 88 of 112, too few.
+    rows = []
+    for k in range(10):
+        words = [f"w{k}x{i}" for i in range(104)]
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join([*words[:94], *[f"v{k}x{i}" for i in range(10)]])), (3 * k + 2, " ".join([*words[:92], *[f"u{k}x{i}" for i in range(12)]]))]
+    docs = spark.createDataFrame([(d, t, "aa", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id for r in corpus_pipeline.dedup(spark, docs, "").collect()}
+    assert left == {3 * k + j for k in range(10) for j in (0, 2)}
