@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +15,20 @@ from pyspark.sql import functions as F
 def nearest(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "embedding", max_queries: int = 10_000) -> DataFrame:
     """TOP-06, VEC-03. query_id, id, distance, place: the k nearest chunks (L2, ties by id) of each query.
 
-    Queries are a stated set of at most max_queries rows (more are an error: ask in blocks). Each batch keeps its own k best
-    of each query, so what is shuffled is k rows a query and batch."""
-    rows = queries.select("query_id", vector_col).limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError("too many queries at once")
+    Queries are taken in blocks of max_queries, each a scan of the chunks; the driver holds one block at a time. Each batch
+    keeps its own k best of each query, so what is shuffled is k rows a query and batch."""
+    if max_queries < 1:
+        raise ValueError("a block has one query at least")
+    blocks = batched(queries.select("query_id", vector_col).toLocalIterator(), max_queries)
+    found = reduce(DataFrame.union, [found_of(chunks, list(b), k, id_col, vector_col) for b in blocks] or [found_of(chunks, [], k, id_col, vector_col)])
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
+
+def found_of(chunks: DataFrame, rows: list, k: int, id_col: str, vector_col: str) -> DataFrame:
+    """query_id, id, distance: the k nearest chunks of each query in each task."""
     ids = [r["query_id"] for r in rows]
-    shared = chunks.sparkSession.sparkContext.broadcast((ids, np.array([r[vector_col] for r in rows], np.float64).reshape(len(rows), -1)))
+    shared = chunks.sparkSession.sparkContext.broadcast((ids, np.array([r[vector_col] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 0))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, asked = shared.value
@@ -38,9 +47,7 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_
         if flat:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*flat, strict=True)], ["query_id", "id", "distance"])
 
-    found = chunks.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, "query_id long, id long, distance double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return found.withColumn("place", place).where(F.col("place") <= k)
+    return chunks.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, "query_id long, id long, distance double")
 
 
 def search(chunks: DataFrame, queries: DataFrame, top_k: int, *, source: str | None = None, user_id: int | None = None, oversample: int = 5, prefilter: bool = False) -> DataFrame:

@@ -130,3 +130,18 @@ def test_search_filters_after_it_oversamples(spark):
     assert [r.id for r in vectors.search(chunks, asked, 2, user_id=7).orderBy("place").collect()] == [0, 1]
     with pytest.raises(ValueError):
         vectors.nearest(chunks, asked, 1, max_queries=0)
+
+
+def test_any_number_of_queries_is_answered_in_blocks(spark):
+    chunks = spark.createDataFrame([(k, [float(k), 0.0]) for k in range(30)], "chunk_id long, embedding array<float>")
+    asked = spark.createDataFrame([(q, [q + 0.2, 0.0]) for q in range(7)], "query_id long, embedding array<float>")
+    got = {(r.query_id, r.place, r.id) for r in vectors.nearest(chunks, asked, 2, max_queries=3).collect()}
+    assert got == {(q, place, q + place - 1) for q in range(7) for place in (1, 2)}
+    assert vectors.nearest(chunks, asked.limit(0), 2).count() == 0
+
+
+def test_citations_of_large_keys_are_valid(spark, tmp_path):
+    from chartlode.plans.changes import Tables, evl_06
+
+    spark.createDataFrame([(20_000_000,), (20_000_003,), (7,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {(r.id, r.precision) for r in evl_06(Tables(spark, str(tmp_path))).collect()} == {(20_000_000, 0.5), (20_000_003, 0.5), (7, 0.5)}
