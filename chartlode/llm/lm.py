@@ -5,7 +5,8 @@ probabilities of all its tokens, each with its neighbours on both sides known. T
 the output is a softmax over classes of ids, times one over the ids of the class.
 
 Training is data-parallel over the whole corpus: in each round every task starts from the same weights, takes gradient steps on
-every stride-th token of its own documents, and the weights are averaged in a tree of Spark tasks.
+every stride-th token of its own documents, and the weights are averaged in a tree of Spark tasks. The rounds together take
+every token as a target.
 """
 
 from __future__ import annotations
@@ -78,6 +79,13 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
+    return x
+
+
 def groups(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(classes, kind="stable")
     ends = np.cumsum(np.bincount(classes, minlength=CLASSES))
@@ -102,27 +110,41 @@ def log_p(w: dict[str, np.ndarray], tokens: np.ndarray, near: np.ndarray) -> np.
 def step(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], tokens: np.ndarray, near: np.ndarray, rate: float) -> None:
     """One Adagrad step on the mean negative log probability."""
     n = len(tokens)
+    order = np.argsort(tokens // MEMBERS, kind="stable")
+    tokens, near = tokens[order], near[:, order]
     h, c, m = hidden(w, near), tokens // MEMBERS, tokens % MEMBERS
-    d = np.exp(log_softmax(h @ w["wc"] + w["bc"]))
+    d = softmax(h @ w["wc"] + w["bc"])
     d[np.arange(n), c] -= 1
     g = {"wc": h.T @ d / n, "bc": d.sum(axis=0) / n, "wm": np.zeros(SHAPES["wm"], np.float32), "bm": np.zeros(SHAPES["bm"], np.float32)}
     dh = d @ w["wc"].T
-    for k, at in groups(c):
-        d = np.exp(log_softmax(h[at] @ w["wm"][k] + w["bm"][k]))
-        d[np.arange(len(at)), m[at]] -= 1
-        g["wm"][k], g["bm"][k] = h[at].T @ d / n, d.sum(axis=0) / n
-        dh[at] += d @ w["wm"][k].T
+    # Tokens stand by class, so a class is a slice.
+    ends = np.cumsum(np.bincount(c, minlength=CLASSES)).tolist()
+    own = [(k, slice(low, high)) for k, (low, high) in enumerate(zip([0, *ends], ends, strict=False)) if high > low]
+    d, more = np.empty((n, MEMBERS), np.float32), np.empty((n, HIDDEN), np.float32)
+    for k, at in own:
+        np.matmul(h[at], w["wm"][k], out=d[at])
+    d = softmax(d + w["bm"][c])
+    d[np.arange(n), m] -= 1
+    d /= n
+    g["bm"][[k for k, _ in own]] = np.add.reduceat(d, [at.start for _, at in own])
+    for k, at in own:
+        np.matmul(h[at].T, d[at], out=g["wm"][k])
+        np.matmul(d[at], w["wm"][k].T, out=more[at])
+    dh += n * more
     dh *= (1 - h * h) / n
     g["b"] = dh.sum(axis=0)
     for name, x in g.items():
         seen[name] += x * x
         w[name] -= rate * x / np.sqrt(seen[name])
-    for k in range(len(OFFSETS)):
-        rows, inverse = np.unique(near[k], return_inverse=True)
-        x = np.zeros((len(rows), HIDDEN), np.float32)
-        np.add.at(x, inverse, dh)
-        seen["e"][k][rows] += x * x
-        w["e"][k][rows] -= rate * x / np.sqrt(seen["e"][k][rows])
+    # The embeddings of all offsets in one table; each row that occurs gets the sum of its places.
+    rows = (near + np.arange(len(OFFSETS), dtype=near.dtype)[:, None] * (VOCABULARY + 1)).ravel()
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    rows, x = rows[first], np.add.reduceat(dh[order % n], first)
+    e, e_seen = (v["e"].reshape(-1, HIDDEN) for v in (w, seen))
+    e_seen[rows] += x * x
+    e[rows] -= rate * x / np.sqrt(e_seen[rows])
 
 
 def tokens_of(batch: pa.RecordBatch, ids: Cached) -> list[np.ndarray]:
@@ -134,24 +156,61 @@ def tokens_of(batch: pa.RecordBatch, ids: Cached) -> list[np.ndarray]:
     return out
 
 
-def train_round(docs: DataFrame, weights: np.ndarray, first: bool, shift: int, stride: int, batch_size: int, rate: float) -> np.ndarray:
+def tokenized(docs: DataFrame) -> DataFrame:
+    """Tokens of each text as 16-bit numbers, written once for all rounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = Cached(token)
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([t.astype(np.uint16).tobytes() for t in tokens_of(batch, ids)], pa.binary())], ["tokens"])
+
+    return materialize(docs.mapInArrow(run, "tokens binary"), "tokens")
+
+
+def texts_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(t, np.uint16).astype(np.int32) for t in as_bytes(batch, "tokens") if t]
+
+
+def frequencies(tokens: DataFrame) -> np.ndarray:
+    """How often each token occurs in all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(VOCABULARY, np.int64)
+        for batch in slices(batches):
+            if texts := texts_of(batch):
+                sums += np.bincount(np.concatenate(texts), minlength=VOCABULARY)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["token", "n"])
+
+    counts = np.zeros(VOCABULARY, np.int64)
+    for row in tokens.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
+        counts[row["token"]] = row["n"]
+    return counts
+
+
+def targets(texts: list[np.ndarray], shift: int, stride: int) -> np.ndarray:
+    """Places, among the texts' tokens in a row, of every stride-th token of each text: shifts 0 to stride - 1 together are all."""
+    sizes = np.array([len(t) for t in texts])
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.flatnonzero(place % stride == shift)
+
+
+def train_round(docs: DataFrame, weights: np.ndarray, shift: int, stride: int, batch_size: int, rate: float) -> np.ndarray:
     """The tasks' weights after their steps, averaged by how many tokens they have seen; as given if there are none.
 
-    In the first round a task's biases start from the frequencies in its first documents. Weights travel as 16-bit floats."""
+    docs: tokens. Weights travel as 16-bit floats; those of the tasks go straight into the first level of the averaging tree."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, ids, total = shared.value.copy(), Cached(token), 0
+        flat, total = shared.value.copy(), 0
         w = unpack(flat)
         seen = {name: np.full(shape, 1e-3, np.float32) for name, shape in SHAPES.items()}
         for batch in slices(batches):
-            texts = tokens_of(batch, ids)
-            if not any(len(t) for t in texts):
+            texts = texts_of(batch)
+            if not texts:
                 continue
             tokens, near = contexts(texts)
-            if first and not total:
-                set_biases(w, np.bincount(tokens, minlength=VOCABULARY))
-            at = np.random.default_rng(shift).permutation(np.arange((shift + total) % stride, len(tokens), stride))
+            at = np.random.default_rng(shift).permutation(targets(texts, shift, stride))
             for low in range(0, len(at), batch_size):
                 own = at[low : low + batch_size]
                 step(w, seen, tokens[own], near[:, own], rate * len(own) / batch_size)
@@ -160,28 +219,41 @@ def train_round(docs: DataFrame, weights: np.ndarray, first: bool, shift: int, s
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(total)]), pa.array([flat.astype(np.float16).tobytes()], pa.binary())], ["part", "n", "w"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, total = None, 0.0, np.zeros(SIZE)
+        sums: dict[int, tuple[float, np.ndarray]] = {}
         for batch in batches:
             for p, m, w in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist(), batch.column("w"), strict=True):
-                part, n = p if part is None else min(part, p), n + m
-                total += m * np.frombuffer(w.as_buffer(), np.float16).astype(np.float64)
-        if part is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n]), pa.array([(total / n).astype(np.float16).tobytes()], pa.binary())], ["part", "n", "w"])
+                n, total = sums.get(p, (0.0, 0))
+                sums[p] = n + m, total + m * np.frombuffer(w.as_buffer(), np.float16).astype(np.float64)
+        for p, (n, total) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([n]), pa.array([(total / n).astype(np.float16).tobytes()], pa.binary())], ["part", "n", "w"])
 
     schema = "part long, n double, w binary"
-    level = materialize(docs.select("text").mapInArrow(run, schema), "weights")
-    while (rows := level.count()) > 1:
-        level = materialize(level.repartition(math.ceil(rows / FAN_IN), "part").mapInArrow(add, schema), "weights")
+    # Groups are formed by number, so that each level has a FAN_IN-th of the one before however Spark deals the rows.
+    level, rows = docs.mapInArrow(run, schema), docs.rdd.getNumPartitions()
+    while True:
+        rows = max(1, math.ceil(rows / FAN_IN))
+        grouped = level.withColumn("part", F.floor(F.col("part") / FAN_IN))
+        level = materialize(grouped.repartition(rows, "part").mapInArrow(add, schema), "weights")
+        if rows == 1:
+            break
     last = level.head(1)
     return np.frombuffer(last[0]["w"], np.float16).astype(np.float32) if last else weights
 
 
-def train(df: DataFrame, text_col: str = "text", *, rounds: int = 2, stride: int = 16, batch_size: int = 512, rate: float = 0.05) -> np.ndarray:
-    """Weights from all documents: gradients from every stride-th token of every document, other ones each round."""
-    docs = df.select(F.col(text_col).cast("string").alias("text"))
+def train(df: DataFrame, text_col: str = "text", *, rounds: int = 2, stride: int = 2, batch_size: int = 512, rate: float = 0.05) -> np.ndarray:
+    """Weights from all documents: gradients from every stride-th token of every document, other ones each round.
+
+    So stride rounds take every token as a target once; fewer would leave some out and are an error. No rounds give the first
+    weights. The biases start from the frequencies of the tokens of all documents."""
+    if 0 < rounds < stride:
+        raise ValueError("fewer rounds than the stride leave tokens out")
     weights = start()
+    if not rounds:
+        return weights
+    tokens = tokenized(df.select(F.col(text_col).cast("string").alias("text")))
+    set_biases(unpack(weights), frequencies(tokens))
     for k in range(rounds):
-        weights = train_round(docs, weights, k == 0, k * stride // rounds, stride, batch_size, rate)
+        weights = train_round(tokens, weights, k % stride, stride, batch_size, rate)
     return weights
 
 

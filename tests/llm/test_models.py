@@ -4,6 +4,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -185,6 +186,32 @@ def test_pseudo_likelihood_prefers_word_order_of_the_corpus(spark, odd, empty, t
     assert lm.score(empty, lm.train(empty)).count() == 0
 
 
+def test_training_takes_every_token_as_a_target_and_counts_all_documents(spark):
+    sizes = [5, 1, 2, 7]
+    texts = [np.zeros(n, np.int32) for n in sizes]
+    taken = np.concatenate([lm.targets(texts, shift, 2) for shift in range(2)])
+    assert sorted(taken) == list(range(sum(sizes)))
+    # The word of the last documents only comes after the first slice of 256.
+    rows = [(k, "aa bb" if k < 300 else "cc") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    counts = lm.frequencies(lm.tokenized(df))
+    assert {lm.token(w): counts[lm.token(w)] for w in (b"aa", b"bb", b"cc")} == {lm.token(b"aa"): 300, lm.token(b"bb"): 300, lm.token(b"cc"): 100}
+    with pytest.raises(ValueError):
+        lm.train(df, rounds=2, stride=16)
+
+
+def test_registered_training_predicts_each_place_of_a_text(spark):
+    # Words 16 apart: a stride of 16 with shifts 0 and 8 never saw the other places as targets.
+    rng = random.Random(3)
+    pairs = [(f"l{k}", f"m{k}", f"r{k}") for k in range(40)]
+    rows = [(k, " ".join((["pad"] * 3 + [x for _ in range(40) for x in (*rng.choice(pairs), *["pad"] * 13)])[:640])) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    scored = {r.doc_id: r.mean_log_p for r in lm.score(df, lm.train(df)).collect()}
+    # Better than frequencies alone, the bound of a model that learns nothing from neighbours.
+    n = np.array(list(Counter(w for _, t in rows for w in t.split()).values()))
+    assert np.mean(list(scored.values())) > (n / n.sum() * np.log(n / n.sum())).sum()
+
+
 def test_token_probabilities_are_a_distribution_and_steps_go_downhill():
     rng = np.random.default_rng(0)
     w = lm.unpack(lm.start())
