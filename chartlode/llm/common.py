@@ -5,13 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _local: dict[str, str] = {}
 
@@ -40,9 +41,26 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def docs_of(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """Only the named columns, as doc_id, text and the rest: no other column of the input can clash with those that an operator makes."""
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in more])
+def docs_of(df: DataFrame, id_col: str, text_col: str, *more: str, carry: bool = False) -> DataFrame:
+    """Only the named columns, as doc_id, text and the rest: no other column of the input can clash with those that an operator makes.
+
+    carry: also the whole row of df, as a struct named row."""
+    whole = [F.struct("*").alias("row")] if carry else []
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in more], *whole)
+
+
+def judged(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], verdict: str) -> DataFrame:
+    """docs through run, whose batches have doc_id and the columns of verdict (DDL), and row where docs carries it."""
+    fields = [f for f in docs.schema if f.name in ("doc_id", "row")]
+    return docs.mapInArrow(run, StructType([fields[0], *StructType.fromDDL(verdict), *fields[1:]]))
+
+
+def verdicts(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The batch that judged() wants of columns, for the rows of batch."""
+    own = {"doc_id": batch.column("doc_id"), **columns}
+    if "row" in batch.schema.names:
+        own["row"] = batch.column("row")
+    return pa.RecordBatch.from_arrays(list(own.values()), list(own))
 
 
 def crc_mod(id_col: str | Column, n: int) -> Column:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartlode.llm.common import crc_mod, docs_of, slices
+from chartlode.llm.common import crc_mod, docs_of, judged, slices, verdicts
 
 #: Symbols: 0 what separates words, 1-26 a-z, the rest other letters by their code point.
 SYMBOLS = 96
@@ -117,12 +117,12 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return langs, protos
 
 
-def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", *, folds: int = 5, held_fold: int = 0, n: int = 3) -> DataFrame:
+def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", *, folds: int = 5, held_fold: int = 0, n: int = 3, carry: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row of df, from its whole text.
 
     score is the cosine brought to 0..1. A text that is null or without a letter is `und` with score 0, as is every text
     under a model of no languages. Ties go to the first language in order. held_out is false for a null id. Repeated rows
-    each get a row; other columns of df are not read."""
+    each get a row; other columns of df are not read, but with carry the row comes along as a struct `row`."""
     langs, protos = model
     shared = df.sparkSession.sparkContext.broadcast((langs, protos))
 
@@ -138,7 +138,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "d
                 score = np.where(has, np.clip((1 + cosines.max(axis=1)) / 2, 0, 1), 0).astype(np.float64)
             else:
                 found, score = [UNKNOWN] * len(has), np.zeros(len(has))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+            yield verdicts(batch, {"held_out": batch.column("held_out"), "lang_pred": pa.array(found, pa.string()), "score": pa.array(score)})
 
-    docs = docs_of(df, id_col, text_col).withColumn("held_out", F.coalesce(crc_mod("doc_id", folds) == held_fold, F.lit(False)))
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    docs = docs_of(df, id_col, text_col, carry=carry).withColumn("held_out", F.coalesce(crc_mod("doc_id", folds) == held_fold, F.lit(False)))
+    return judged(docs, run, "held_out boolean, lang_pred string, score double")

@@ -7,6 +7,7 @@ threshold that is calibrated for each language, the language being told from the
 
 from __future__ import annotations
 
+import pickle
 from array import array
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartlode.llm.common import as_bytes, crc_mod, docs_of, held_out_crc, slices
+from chartlode.llm.common import as_bytes, crc_mod, docs_of, held_out_crc, judged, slices, verdicts
 
 BITS, DIM, WIDTHS, FILTERS = 19, 8, (1, 2, 3), 6
 #: Every ASCII byte but letters and digits to a space, A-Z lowered.
@@ -132,8 +133,8 @@ class Network:
                     seen["e"][own] += (g**2).sum(axis=1, keepdims=True)
                     self.embedding[own] -= rate * g / np.sqrt(seen["e"][own])
 
-    def calibrate(self, logits: np.ndarray, y: np.ndarray, langs: list[str], shares: np.ndarray, fewest: int = 15) -> None:
-        """The threshold of most F1 for each language with so many rows of either label, that of all rows for the others."""
+    def calibrate(self, logits: np.ndarray, y: np.ndarray, langs: list[str], shares: np.ndarray, weight: float = 15) -> None:
+        """For each language the threshold of most F1 over its own rows, drawn to that of all rows: the latter weighs as much as weight rows of the language's rarer label."""
 
         def best(own: np.ndarray) -> float:
             order = np.argsort(-logits[own])
@@ -146,7 +147,11 @@ class Network:
         self.languages = sorted(set(langs))
         names = np.array(langs)
         self.centroids = np.array([shares[names == x].mean(axis=0) for x in self.languages], np.float32).reshape(-1, 256)
-        self.thresholds = np.array([best(own) if min(y[own := np.flatnonzero(names == x)].sum(), (1 - y[own]).sum()) >= fewest else everything for x in self.languages] or [everything])
+        self.thresholds = np.full(max(1, len(self.languages)), everything)
+        for k, x in enumerate(self.languages):
+            own = np.flatnonzero(names == x)
+            if n := min(y[own].sum(), (1 - y[own]).sum()):
+                self.thresholds[k] = (n * best(own) + weight * everything) / (n + weight)
 
     def scores(self, logits: np.ndarray, shares: np.ndarray, at: float) -> np.ndarray:
         """The logits as 0..1, a language's threshold being brought to at."""
@@ -164,30 +169,46 @@ def byte_shares(text: bytes | None) -> np.ndarray:
     return np.sqrt(n / max(1, n.sum())).astype(np.float32)
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, label_id_col: str = "doc_id", label_col: str = "toxic", folds: int = 4, held_fold: int = 2, max_toxic: int = 3000, max_clean: int = 5000, max_chars: int = 100_000) -> Network:
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, label_id_col: str = "doc_id", label_col: str = "toxic", folds: int = 4, held_fold: int = 2, max_toxic: int = 3000, max_clean: int = 5000, max_words: int = 4_000_000) -> Network:
     """Fit on labelled rows whose crc32(id) modulo folds isn't held_fold, a third of which calibrates.
 
-    max_toxic and max_clean bound the rows (those of the least hashes); texts over max_chars are not learned from. An id that is
-    labelled twice is toxic if either label is; null ids, labels and texts teach nothing. lang only groups the calibration
-    rows by language and is told from bytes later. Without labels of both kinds every score is the same."""
+    max_toxic and max_clean bound the rows (those of the least hashes), max_words the words in all of them: whole texts are
+    taken in the order of their hashes as far as they fit in. One task fits, so that no text comes to the driver. An
+    id that is labelled twice is toxic if either label is; null ids, labels and texts teach nothing. lang only groups the
+    calibration rows by language and is told from bytes later. Without labels of both kinds every score is the same."""
     rated = labels.select(F.col(label_id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (crc_mod("doc_id", folds) != held_fold))
     rated = rated.groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = [rated.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for label, most in ((1, max_toxic), (0, max_clean))]
     docs = docs_of(df, id_col, text_col, lang_col).withColumnRenamed(lang_col, "lang")
-    sample = docs.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").where(F.length("text") <= max_chars).orderBy("doc_id", "text").limit(max_toxic + max_clean)
+    sample = docs.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").where("text is not null")
+    sample = sample.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "label")
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_toxic + max_clean)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted(batches, folds, held_fold, max_words))], pa.binary())], ["model"])
+
+    found = sample.coalesce(1).mapInArrow(run, "model binary").head(1)
+    return pickle.loads(found[0]["model"]) if found else Network()
+
+
+def fitted(batches: Iterator[pa.RecordBatch], folds: int, held_fold: int, max_words: int) -> Network:
+    """The network of the rows doc_id, text, lang, label."""
     words, y, shares, langs, later = Words(), [], [], [], []
-    flat, ends = array("i"), [0]  # one block for all texts, which goes back to the system as a whole
-    for r in sample.select("doc_id", "text", F.coalesce("lang", F.lit("und")).alias("lang"), "label").toLocalIterator():
-        text = r["text"].encode()
-        for w in words_of(text):
-            flat.extend(words.pieces[words[w]])
-        ends.append(len(flat) // PIECES)
-        words.clear()
-        words.pieces.clear()
-        y.append(r["label"])
-        shares.append(byte_shares(text))
-        langs.append(r["lang"])
-        later.append(held_out_crc(r["doc_id"], folds) == (held_fold + 1) % folds)
+    flat, ends = array("i"), [0]  # one block for all texts
+    for batch in slices(batches):
+        for doc, text, lang, label in zip(batch.column("doc_id").to_pylist(), as_bytes(batch), batch.column("lang").to_pylist(), batch.column("label").to_pylist(), strict=True):
+            own = words_of(text)
+            if ends[-1] + len(own) > max_words:
+                continue
+            for w in own:
+                flat.extend(words.pieces[words[w]])
+            ends.append(len(flat) // PIECES)
+            words.clear()
+            words.pieces.clear()
+            y.append(label)
+            shares.append(byte_shares(text))
+            langs.append(lang)
+            later.append(held_out_crc(doc, folds) == (held_fold + 1) % folds)
     held = np.frombuffer(flat, np.int32).reshape(-1, PIECES)
     texts = [held[a:b] for a, b in zip(ends, ends[1:], strict=False)]
     net, y, later = Network(), np.array(y, int), np.array(later, bool)
@@ -199,11 +220,12 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return net
 
 
-def score(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", *, at: float = 0.3, folds: int = 4, held_fold: int = 2) -> DataFrame:
+def score(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", *, at: float = 0.3, folds: int = 4, held_fold: int = 2, carry: bool = False) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 from score at on) of each row's whole text.
 
     A null or empty text has no words: its filters are 0 and its score is that of such a text. Repeated rows each get a row;
-    held_out is false for a null id; other columns of df are not read; an empty table gives an empty one."""
+    held_out is false for a null id; other columns of df are not read, but with carry the row comes along as a struct `row`; an
+    empty table gives an empty one."""
     shared = df.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +254,7 @@ def score(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "
                 logits.append(own.logit(table[numbers]))
                 shares.append(byte_shares(text))
             found = own.scores(np.array(logits), np.array(shares), at)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found.astype(np.float64)), pa.array((found >= at).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            yield verdicts(batch, {"held_out": batch.column("held_out"), "score": pa.array(found.astype(np.float64)), "predicted": pa.array((found >= at).astype(np.int32))})
 
-    docs = docs_of(df, id_col, text_col).withColumn("held_out", F.coalesce(crc_mod("doc_id", folds) == held_fold, F.lit(False)))
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    docs = docs_of(df, id_col, text_col, carry=carry).withColumn("held_out", F.coalesce(crc_mod("doc_id", folds) == held_fold, F.lit(False)))
+    return judged(docs, run, "held_out boolean, score double, predicted int")

@@ -31,8 +31,8 @@ def brute(docs, items, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
-def test_hits_equal_those_of_direct_search(spark, odd, texts, block_bytes):
+@pytest.mark.parametrize("bounds", [{}, {"block_bytes": 40, "hold_bytes": 5000}, {"block_windows": 9, "pass_blocks": 3, "hold_bytes": 0}])
+def test_hits_equal_those_of_direct_search(spark, odd, texts, bounds):
     rng = random.Random(8)
     docs = [(d, t) for d, t, *_ in texts if d != 207]
     items = [(1, "the same row"), (1, "another under one id"), (2, None), (3, " .,! "), (4, "ONE"), (12, "No, id!"), (13, "no id")]
@@ -41,7 +41,7 @@ def test_hits_equal_those_of_direct_search(spark, odd, texts, block_bytes):
         at = rng.randrange(len(w))
         items.append((20 + k, " - ".join(w[at : at + rng.randint(3, 25)])))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.contamination(odd.where("doc_id is null or doc_id <> 207"), bench, window=6, block_bytes=block_bytes).collect()
+    got = decontam.contamination(odd.where("doc_id is null or doc_id <> 207"), bench, window=6, **bounds).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got), key=str) == brute(docs, items, 6)
     assert all(sum(e - s for s, e in r.spans) == r.n_hit for r in got)
 
