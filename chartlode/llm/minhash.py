@@ -12,14 +12,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartlode.llm.common import WordHashes, as_bytes, docs_of, materialize, mixed, slices, windows_hash
 
 #: The permuted universe has 2**UNIVERSE places.
 UNIVERSE = 20
-SALT = 16
+#: What stands for a shingle set.
+KEY = ["n_shingles", "set_a", "set_b"]
 #: Rows of either side of a block in which all are compared.
 BLOCK = 256
 
@@ -68,18 +69,11 @@ def sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of which 100 * intersection >= percent * union holds for the full shingle sets.
 
-    docs: text by unique doc_id. Each pair takes both texts along; b is the frequent side, so its text is repeated over SALT
-    places and a task keeps the set of the last b."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = materialize(docs.join(wanted, "doc_id"), "texts")
-    left = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALT)).cast("int")).join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    hot = pairs.groupBy(F.col("b").alias("doc_id")).count()
-    copies = F.sequence(F.lit(0), F.lit(SALT - 1))
-    right = texts.join(hot, "doc_id").select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"), F.explode(F.when(F.col("count") > SALT, copies).otherwise(F.array(F.lit(-1)))).alias("salt"))
-    left = left.join(hot.withColumnRenamed("doc_id", "b"), "b").withColumn("salt", F.when(F.col("count") > SALT, F.col("salt")).otherwise(F.lit(-1)))
+    texts: text by unique doc_id. Both joins are of written tables, so that Spark can split an id that very many pairs share;
+    a task keeps the set of the last b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, last_set = WordHashes(), None, None
@@ -93,35 +87,27 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame
                 ok.append(100 * both >= percent * (len(own) + len(last_set) - both))
             yield pa.RecordBatch.from_arrays([x.filter(pa.array(ok)) for x in (batch.column("a"), batch.column("b"))], ["a", "b"])
 
-    return left.join(right, ["b", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """doc_id, component (the least id reachable) of every id in links (a, b), by alternating large and small stars.
+    """doc_id, component (the least id reachable) of every id in links (a, b).
 
-    Each round joins links with the least neighbour of their ends, both keyed by id; a hub's links are dealt over SALT tasks."""
-    links = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-
-    def star(links: DataFrame, large: bool) -> DataFrame:
-        both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if large:
-            both = both.union(both.select("v", "u"))
-        both = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.collect_set("salt").alias("salts"))
-        joined = both.join(least.select("u", "m", F.explode("salts").alias("salt")), ["u", "salt"])
-        out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
-
-    def state(links: DataFrame):
-        return links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-
-    before = state(links)
+    Every link leads from the larger to the smaller id. A round joins the smaller neighbours of an id to its least one, which
+    becomes its parent, and then lets every link lead to the parent of where it led. Each changed link leads to a smaller id than before, so
+    the rounds end, in a star about the least id of each component; chains are halved in a round."""
+    links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     while True:
-        links = materialize(star(star(links, True), False), "links")
-        after = state(links)
-        if after == before:
+        own = links.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        down = own.select("a", F.col("m").alias("b"), F.lit(False).alias("moved")).union(own.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"), F.lit(True).alias("moved")))
+        links = materialize(down.groupBy("a", "b").agg(F.max("moved").alias("moved")), "links")
+        parents = materialize(links.groupBy("a").agg(F.min("b").alias("parent")), "parents")
+        jumped = links.join(parents.withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("parent", "b").alias("b"), (F.col("moved") | F.col("parent").isNotNull()).alias("moved"))
+        links = materialize(jumped, "links")
+        if not links.where("moved").head(1):
             break
-        before = after
     return links.select(F.col("a").alias("doc_id"), F.col("b").alias("component")).union(links.select("b", "b").distinct())
 
 
@@ -212,24 +198,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     sketches = materialize(sketch(docs, shingle, bands, rows), "sketches")
     real = sketches.where("doc_id is not null and n_shingles > 0")
-    sets = real.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    sets = real.groupBy(*KEY).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"))
     sets = materialize(sets, "sets")
-    classes = sets.where("n > 1").select("n_shingles", "set_a", "set_b", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    same = real.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(classes, ["n_shingles", "set_a", "set_b", "salt"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-
     # An id with several texts stands in several sets; only then are the representatives numbered by (id, set).
     repeated = bool(sketches.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1))
     node = F.xxhash64("rep", "set_a", "set_b") if repeated else F.col("rep")
     held = sets.select(node.alias("node"), "rep", "n_shingles", "set_a", "bands")
     entries = held.select("node", F.explode("bands").alias("bucket"))
     # What is joined to a frequent bucket is written first: Spark then splits that bucket's rows over tasks.
-    full = materialize(entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "full")
-    entries = materialize(entries.join(full, "bucket"), "entries")
-    # The pivot of a band is the member that meets most others over all its bands.
-    met = entries.groupBy("node").agg(F.sum("members").alias("met"))
-    pivots = materialize(entries.join(met, "node").groupBy("bucket").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("pivot")), "pivots")
-    tried = entries.join(pivots, "bucket").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    texts = materialize(fine(texts_of(docs, held.join(met.select("node"), "node"), repeated, shingle), shingle, bits), "texts")
+    # The pivot of a band is its least member: the same one in most bands that a group of copies shares.
+    full = materialize(entries.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).where("members > 1"), "full")
+    entries = materialize(entries.join(full, "bucket").select("node", "bucket", "pivot"), "entries")
+    tried = entries.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    met = entries.select("node").distinct()
+    nodes = held.join(met, "node") if repeated else met.withColumn("rep", F.col("node")).withColumn("set_a", F.lit(0))
+    texts = materialize(fine(texts_of(docs, nodes, repeated, shingle), shingle, bits), "texts")
     sketched, apart = texts.drop("text"), most_apart(percent, bits)
     one = sketched.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("bits").alias("bits_a"))
     two = sketched.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("bits").alias("bits_b"))
@@ -251,10 +234,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = materialize(across(few.unionByName(members), percent, apart).distinct(), "rest")
     links = links.union(verify(rest, texts, shingle, percent))
 
-    ids = held.select("node", "rep")
-    by_id = links.join(ids.select(F.col("node").alias("a"), F.col("rep").alias("id_a")), "a").join(ids.select(F.col("node").alias("b"), F.col("rep").alias("id_b")), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    groups = components(by_id.union(same))
-    out = sketches.select("doc_id", "n_shingles").join(groups, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    if repeated:
+        ids = held.select("node", "rep")
+        links = links.join(ids.select(F.col("node").alias("a"), F.col("rep").alias("id_a")), "a").join(ids.select(F.col("node").alias("b"), F.col("rep").alias("id_b")), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        # An id with several sets links their representatives.
+        many = real.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+        links = links.union(real.join(many, "doc_id").join(sets.select(*KEY, "rep"), KEY).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    groups = components(links).withColumnRenamed("doc_id", "rep")
+    named = materialize(sets.select(*KEY, "rep").join(groups, "rep", "left").select(*KEY, F.coalesce("component", "rep").alias("component")), "named")
+    # Sets without shingles are in no row of named, nor are null ids to be named.
+    out = sketches.join(named, KEY, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
