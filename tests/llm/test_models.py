@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chartlode.llm import html_extract, langid, lm, quality_classifier, quality_rules, toxicity
-from chartlode.llm.common import Cached
+from chartlode.llm.common import Cached, WordHashes
 
 LANGS = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "qrstuvwé"}
 
@@ -155,16 +155,79 @@ def test_bands_reject_what_is_unlike_the_language(spark):
     assert all(got[k].kept for k in [*range(60), *range(100, 160), 500])
 
 
-def test_kneser_ney_sums_to_one_and_equals_counts():
-    words = [b"abab", b"abc", b"b", b"caab"]
-    codes, n = quality_rules.grams_of(words)
-    assert list(n) == [5, 4, 2, 5]
-    unique, counts = np.unique(codes, return_counts=True)
-    model = quality_rules.KneserNey(unique, counts)
-    for context in {int(c) // quality_rules.SYMBOLS for c in unique} | {12345}:
-        p = np.exp(model.log_p(context * quality_rules.SYMBOLS + np.arange(quality_rules.SYMBOLS)))
-        assert p.sum() == pytest.approx(1, abs=1e-6) and (p > 0).all()
-    assert model.words([b"abab"])[0] > model.words([b"zzzz"])[0]
+def plain_kneser_ney(counts, symbols, sequence):
+    """P(last of sequence | the rest) by the textbook's formula, over a dict of counts of tuples."""
+
+    def discount(level, c):
+        n = [sum(v == k for v in level.values()) for k in range(5)]
+        if 0 in n[1:]:
+            return (0, 0.5, 0.75, 0.9)[min(c, 3)]
+        y, k = n[1] / (n[1] + 2 * n[2]), min(c, 3)
+        return min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) if k else 0
+
+    if not sequence:
+        return 1 / symbols
+    shorter = Counter(g[1:] for g in counts)
+    rest = {g: c for g, c in counts.items() if g[:-1] == sequence[:-1]}
+    below = plain_kneser_ney(shorter, symbols, sequence[1:]) if len(sequence) > 1 else 1 / symbols
+    if not rest:
+        return below
+    total, c = sum(rest.values()), counts.get(sequence, 0)
+    return max(c - discount(counts, c), 0) / total + sum(discount(counts, k) for k in rest.values()) / total * below
+
+
+@pytest.mark.parametrize(("symbols", "order", "n"), [(5, 3, 400), (7, 2, 90), (4, 1, 30), (6, 2, 3)])
+def test_kneser_ney_equals_the_formula_and_sums_to_one(symbols, order, n):
+    rng = random.Random(symbols)
+    text = [min(int(rng.expovariate(0.7)), symbols - 2) for _ in range(n)]
+    counts = Counter(tuple(text[i : i + order]) for i in range(len(text) - order + 1))
+    code = lambda g: sum(x * symbols ** (len(g) - 1 - k) for k, x in enumerate(g))
+    table = sorted((code(g), c) for g, c in counts.items())
+    model = quality_rules.KneserNey(np.array([k for k, _ in table]), np.array([c for _, c in table]), symbols, order)
+    import itertools
+
+    for context in itertools.product(range(symbols), repeat=order - 1):
+        p = np.exp(model.log_p(np.array([code((*context, x)) for x in range(symbols)])))
+        assert p.sum() == pytest.approx(1, abs=1e-5)
+        for x in range(symbols):
+            assert p[x] == pytest.approx(plain_kneser_ney(counts, symbols, (*context, x)), abs=1e-5)
+
+
+def test_perplexity_is_that_of_a_plain_count_and_sees_word_order(spark):
+    rng = random.Random(8)
+    nouns, verbs = made(rng, "abcdef", 12).split(), made(rng, "uvwxyz", 12).split()
+    rows = [(k, " ".join(f"{rng.choice(nouns)} {rng.choice(verbs)}" for _ in range(50)), "aa") for k in range(60)]
+    words = rows[0][1].split()
+    rows.append((99, " ".join(sorted(words)), "aa"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    assert not got[99].kept and got[99].log_ppl > got[99].high and all(got[k].kept for k in range(60))
+
+    # The whole again from dicts and sets: a pair counts once for each class before it, without what the document alone has given.
+    counts = quality_rules.count_grams(docs)
+    split = [quality_rules.buckets_of(WordHashes().of([w.encode() for w in t.split()]), "aa").tolist() for _, t, _ in rows]
+    seen = [{((a, b), z % 64) for z, a, b in zip([0, 0, *t], [0, *t], t, strict=False)} for t in split]
+    codes, _ = quality_rules.grams_of([w.encode() for _, t, _ in rows for w in t.split()])
+    assert counts[0].tolist() == np.bincount(codes, minlength=quality_rules.SPELLED).tolist()
+    pairs = Counter(g for g, _ in set().union(*seen))
+    rest = Counter(g for g, _ in set().union(*seen[1:]))
+    assert {divmod(int(c), quality_rules.BUCKETS): int(counts[1][c]).bit_count() for c in np.flatnonzero(counts[1])} == pairs
+    n = [sum(v == k for v in pairs.values()) for k in range(5)]
+    y = n[1] / (n[1] + 2 * n[2]) if all(n[1:]) else 0
+    cut = [0, *[min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) for k in (1, 2, 3)]] if y else [0, 0.5, 0.75, 0.9]
+    shorter, single, total = Counter(g[1:] for g in pairs), Counter(), 0.0
+    for (_, b), c in pairs.items():
+        single[b] += c
+    for a, b in zip([0, *split[0]], split[0], strict=False):
+        known = {g: c for g, c in rest.items() if g[0] == a}
+        p = plain_kneser_ney(shorter, quality_rules.BUCKETS, (b,))
+        if known:
+            c = rest[a, b]
+            p = (c - cut[min(c, 3)] + sum(cut[min(v, 3)] for v in known.values()) * p) / sum(known.values())
+        total += math.log(p) - math.log((single[b] + 0.5) / (sum(single.values()) + 0.5 * quality_rules.BUCKETS))
+    model = quality_rules.Model(*counts)
+    total += sum(model.words([w.encode()])[0] for w in words)
+    assert got[0].log_ppl == pytest.approx(-total / (sum(map(len, words)) + len(words)), abs=1e-4)
 
 
 def test_pseudo_likelihood_prefers_word_order_of_the_corpus(spark, odd, empty, texts):
