@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,80 +25,177 @@ HIDDEN = set("script style title template textarea iframe noembed noframes".spli
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*(?:>|\Z)|[^<]+|<""", re.S)
+#: Where a tag's name ends, and what stands between it and the end of the tag: quoted strings and other characters.
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+INSIDE = re.compile(r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>""")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 NOTES = re.compile(r"cookie|subscribe|newsletter|copyright|©|all rights reserved|sign ?up|log ?in|comment|repl(?:y|ies)|share|advert|sponsor|related|privacy|terms of|click here|read more|follow us", re.I)
 
 
+class Path:
+    """The block-level elements above a text: the innermost one's tag, and features of them all. A page's blocks share their paths.
+
+    known: the features that a model has; others are left out, so that no page makes a path of many."""
+
+    __slots__ = ("features", "score", "tag")
+
+    def __init__(self, tag: str, names: set[str], above: Path | None, known: Container[str] | None):
+        self.tag, self.score = tag, None
+        own = frozenset(f for f in (f"in:{tag}", *(f"name:{w}" for w in names)) if known is None or f in known)
+        self.features = own if above is None else above.features if own <= above.features else above.features | own
+
+
 class Block:
     __slots__ = ("path", "text", "linked")
 
-    def __init__(self, path: tuple, text: str, linked: float):
+    def __init__(self, path: Path | None, text: str, linked: float):
         self.path, self.text, self.linked = path, text, linked
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks in page order: their text with references decoded and white space as single spaces, the path of (tag, names) above, the share of the text in links."""
+class Page:
+    """The rest of a page from a place on. Searches for the end of a comment, of a hidden element or of a quote that fail once fail at once from then on, so that a page takes time in proportion to its length."""
+
+    def __init__(self, page: str):
+        self.page, self.lower, self.missing = page, None, set()
+
+    def after(self, what: str, at: int) -> int:
+        """Where the next what ends, the end of the page if there is none."""
+        if what in self.missing or (found := self.page.find(what, at)) < 0:
+            self.missing.add(what)
+            return len(self.page)
+        return found + len(what)
+
+    def closed(self, tag: str, at: int) -> int:
+        """Where the next end tag of a hidden element ends."""
+        if self.lower is None:
+            self.lower = self.page.translate(LOWER)
+        while f"</{tag}" not in self.missing and (found := self.lower.find(f"</{tag}", at)) >= 0:
+            at = found + len(tag) + 2
+            if not self.lower[at : at + 1].isalnum():
+                return self.after(">", at)
+        self.missing.add(f"</{tag}")
+        return len(self.page)
+
+    def tag(self, at: int) -> tuple[int, str, str] | None:
+        """End, name and attributes of the tag whose name begins at a place. None if it never ends."""
+        name = NAME.match(self.page, at)
+        if name is None or ">" in self.missing:
+            return None
+        if self.page.find(">", name.end()) < 0:
+            self.missing.add(">")
+            return None
+        inside = INSIDE.match(self.page, name.end()) if "quote" not in self.missing else None
+        if inside is None:  # a quote that never ends: the tag ends at its first >
+            self.missing.add("quote")
+            end = self.page.find(">", name.end()) + 1
+            return end, name[0].lower(), self.page[name.end() : end - 1]
+        return inside.end(), name[0].lower(), self.page[name.end() : inside.end() - 1]
+
+
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def blocks_of(text: str, known: Container[str] | None = None, paths: dict[tuple, Path] | None = None) -> list[Block]:
+    """Leaf blocks in page order: their text with references decoded and white space as single spaces, the path of block-level elements above, the share of the text in links.
+
+    An element that the standard lets a later one close is closed by it. Elements are counted by tag, so that an end tag without a
+    beginning is known as such at once, and each element is pushed and popped once. paths: those of earlier pages, for reuse."""
+    paths = {} if paths is None else paths
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, Path | None]] = []  # tag, and the path from it upwards
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
     total = linked = 0
+    page = Page(text)
 
     def end() -> None:
         nonlocal total, linked
         if parts:
             raw = "".join(parts)
-            if text := " ".join((entities.unescape(raw) if "&" in raw else raw).split()):
-                out.append(Block(tuple(x for x in stack if x[0] in BLOCK), text, linked / max(1, total)))
+            if shown := " ".join((entities.unescape(raw) if "&" in raw else raw).split()):
+                out.append(Block(stack[-1][1] if stack else None, shown, linked / max(1, total)))
             parts.clear()
         total = linked = 0
 
-    at, size = 0, len(page)
+    def pop() -> str:
+        tag = stack.pop()[0]
+        open_tags[tag] -= 1
+        return tag
+
+    def add(shown: str) -> None:
+        nonlocal total, linked
+        parts.append(shown)
+        total += len(shown)
+        linked += len(shown) if open_tags["a"] else 0
+
+    at, size = 0, len(text)
     while at < size:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            text = m[0]
-            if text[0] != "<" or text == "<":
-                parts.append(text)
-                total += len(text)
-                if any(x[0] == "a" for x in stack):
-                    linked += len(text)
+        start = text.find("<", at)
+        if start != at:
+            add(text[at : start if start >= 0 else size])
+            at = start if start >= 0 else size
+            continue
+        follows = text[at + 1 : at + 2]
+        if text.startswith("<!--", at):
+            at = page.after("-->", at + 4)
             continue
-        tag = tag.lower()
+        ending = follows == "/"
+        if (found := page.tag(at + 1 + ending)) is None:
+            if follows in ("!", "?", "/"):
+                at = page.after(">", at)
+            else:
+                add("<")
+                at += 1
+            continue
+        at, tag, attributes = found
         if tag == "br":
             parts.append(" ")
-        elif m[1]:
-            if any(x[0] == tag for x in stack):
-                if tag in BLOCK:
-                    end()
-                while stack.pop()[0] != tag:
-                    pass
-            elif tag in BLOCK:
+        elif ending:
+            if tag in BLOCK:
                 end()
+            if open_tags[tag]:
+                while pop() != tag:
+                    pass
         elif tag in HIDDEN:
-            close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = close.end() if close else size
+            at = page.closed(tag, at)
         else:
             if tag in BLOCK:
                 end()
-                ended = CLOSES.get(tag, ())
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p" and tag in BLOCK or stack[k][0] in ended:
-                        del stack[k:]
-                    elif stack[k][0] in SCOPES.get(tag, ()) or stack[k][0] in BLOCK and tag not in CLOSES:
-                        break
-            if tag not in VOID and not m[3].endswith("/"):
-                stack.append((tag, " ".join(sorted(set(WORD.findall(" ".join("".join(x) for x in NAMES.findall(m[3])).lower())))) if m[3] else ""))
+                scope, ended = SCOPES.get(tag, ()), CLOSES.get(tag, ())
+                # Inline elements and what ends here, down to the nearest block that stays open.
+                k = len(stack) - 1
+                while k >= 0 and stack[k][0] not in BLOCK and open_tags["p"]:
+                    k -= 1
+                if k >= 0 and stack[k][0] == "p":
+                    while len(stack) > k:
+                        pop()
+                if any(open_tags[t] for t in ended):
+                    k = len(stack) - 1
+                    while k >= 0 and stack[k][0] not in ended and stack[k][0] not in scope:
+                        k -= 1
+                    while k >= 0 and stack[k][0] in ended:
+                        while len(stack) > k:
+                            pop()
+                        k -= 1
+            if tag not in VOID and not attributes.endswith("/"):
+                above = stack[-1][1] if stack else None
+                if tag in BLOCK:
+                    key = (above, tag, attributes)
+                    if (path := paths.get(key)) is None:
+                        if len(paths) > 20_000:
+                            paths.clear()
+                        names = set(WORD.findall(" ".join("".join(x) for x in NAMES.findall(attributes)).lower())) if attributes else set()
+                        path = paths[key] = Path(tag, names, above, known)
+                    above = path
+                stack.append((tag, above))
+                open_tags[tag] += 1
     end()
     return out
 
 
-def path_features(path: tuple) -> list[str]:
-    found = {f"in:{tag}" for tag, _ in path} | {f"name:{w}" for _, names in path for w in names.split()}
-    return [*found, f"own:{path[-1][0]}" if path else "own:none"]
+def path_features(path: Path | None) -> list[str]:
+    return [*path.features, f"own:{path.tag}"] if path else ["own:none"]
 
 
 def text_features(block: Block) -> list[str]:
@@ -107,7 +205,7 @@ def text_features(block: Block) -> list[str]:
         f"words:{min(words.bit_length(), 7)}",
         f"linked:{int(block.linked * 3.99)}",
         f"stop:{text[-1] in '.!?…'}",
-        f"note:{bool(NOTES.search(text[:200]))}:{words > 30}",
+        f"note:{bool(NOTES.search(text))}:{min(words.bit_length(), 7)}",
         "bias",
     ]
 
@@ -119,15 +217,18 @@ class Field:
         self.numbers: dict[str, int] = {}
         self.weights = np.zeros(0)
         self.moves = np.zeros((2, 2))
-        self.paths: dict[tuple, float] = {}
+        self.paths: dict[tuple, Path] = {}
+
+    def value(self, features: list[str]) -> float:
+        return sum(self.weights[self.numbers[f]] for f in sorted(features) if f in self.numbers)
 
     def scores(self, blocks: list[Block]) -> list[float]:
         out = []
         for b in blocks:
-            if (own := self.paths.get(b.path)) is None:
-                if len(self.paths) > 20_000:
-                    self.paths.clear()
-                own = self.paths[b.path] = sum(self.weights[self.numbers[f]] for f in path_features(b.path) if f in self.numbers)
+            if b.path is None:
+                own = self.value(path_features(None))
+            elif (own := b.path.score) is None:
+                own = b.path.score = self.value(path_features(b.path))
             out.append(own + sum(self.weights[self.numbers[f]] for f in text_features(b) if f in self.numbers))
         return out
 
@@ -206,19 +307,19 @@ def labelled_pages(n: int = 240, seed: int = 9) -> list[tuple[list[Block], list[
         return "<ul>" + "".join(f'<li><a href="/{k}">{words(1, 4)}</a></li>' for k in range(int(rng.integers(low, high + 1)))) + "</ul>"
 
     def header() -> str:
-        return wrapped(pick("header", "header", "div"), pick("header", "masthead", "site header", "top banner"), pick("", f"<p>{words(2, 6)}</p>", f"<h1>{words(1, 3)}</h1><p>{words(3, 8)}</p>") + pick("", links(2, 5)))
+        return wrapped(pick("header", "header", "div"), pick("header", "masthead", "site header", "top banner", "topbar", "branding"), pick("", f"<p>{words(2, 6)}</p>", f"<h1>{words(1, 3)}</h1><p>{words(3, 8)}</p>") + pick("", links(2, 5)))
 
     def nav() -> str:
-        return pick(f"<nav>{links(3, 9)}</nav>", wrapped("div", pick("menu", "nav", "navigation", "breadcrumb", "navbar"), links(3, 9)))
+        return pick(f"<nav>{links(3, 9)}</nav>", wrapped("div", pick("menu", "nav", "navigation", "breadcrumb", "navbar", "toolbar", "tabs", "site nav", "pagination"), links(3, 9)))
 
     def notice() -> str:
-        return wrapped(pick("div", "section", "p", "aside"), pick("cookie notice", "notice", "alert", "cookie-banner", "consent", "gdpr"), pick("We use cookies to improve this site.", "Please accept cookies.", words(5, 25, ".")))
+        return wrapped(pick("div", "section", "p", "aside"), pick("cookie notice", "notice", "alert", "cookie-banner", "consent", "gdpr", "privacy popup", "message bar"), pick("We use cookies to improve this site.", "Please accept cookies.", words(5, 25, ".")))
 
     def advert() -> str:
-        return wrapped(pick("div", "aside", "section"), pick("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner ad"), pick(words(3, 30, "."), f"<p>{words(5, 40, '.')}</p>", f'<a href="/x">{words(3, 9)}</a>'))
+        return wrapped(pick("div", "aside", "section"), pick("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner ad", "sponsor", "advertising slot"), pick(words(3, 30, "."), f"<p>{words(5, 40, '.')}</p>", f'<a href="/x">{words(3, 9)}</a>'))
 
     def sidebar() -> str:
-        return wrapped(pick("aside", "aside", "div", "section"), pick("sidebar", "related", "widget", "side bar", "recommended", "popular", "share social"), f"<h3>{words(1, 4)}</h3>" + pick(links(2, 7), f"<p>{words(6, 40, '.')}</p>"))
+        return wrapped(pick("aside", "aside", "div", "section"), pick("sidebar", "related", "widget", "side bar", "recommended", "popular", "share social", "author bio", "see also", "rail", "trending"), f"<h3>{words(1, 4)}</h3>" + pick(links(2, 7), f"<p>{words(6, 40, '.')}</p>"))
 
     def form() -> str:
         return f"<form{pick('', ' class="newsletter"', ' class="search"', ' id="subscribe"')}><label>{words(1, 4)}</label><input name='q'>{pick('', f'<p>{words(4, 15, ".")}</p>')}<button>{pick('Sign up', 'Search', words(1, 2))}</button></form>"
@@ -246,8 +347,13 @@ def labelled_pages(n: int = 240, seed: int = 9) -> list[tuple[list[Block], list[
                 out.append(pick("<ul>{}</ul>", "<ol>{}</ol>").format("".join(f"<li>{main(words(2, 25, '.'))}</li>" for _ in range(3))))
             elif kind < 0.93:
                 out.append(f"<blockquote>{main(words(5, 40, '.'))}</blockquote>")
+            elif kind < 0.95:
+                cells = "".join(f"<{pick('td', 'td', 'th')}>{main(words(1, 5))}" for _ in range(4))
+                out.append(pick("<table><tr>{}</table>", "<table><tbody><tr><td><table><tr>{}</table></table>", "<figure><table><tr>{}</table></figure>").format(cells))
             elif kind < 0.96:
-                out.append("<table><tr>" + "".join(f"<td>{main(words(1, 5))}</td>" for _ in range(4)) + "</tr></table>")
+                out.append("<dl>" + "".join(f"<dt>{main(words(1, 3))}<dd>{main(words(3, 20, '.'))}" for _ in range(3)) + "</dl>")
+            elif kind < 0.97:
+                out.append(pick("<pre>{}</pre>", "<figure><figcaption>{}</figcaption></figure>").format(main(words(3, 20))))
             else:
                 out.append(pick(advert, sidebar, form, notice)())
         return "".join(out)
@@ -282,7 +388,7 @@ def train(pages: list[tuple[list[Block], list[int]]] | None = None) -> Field:
 
 
 def main_text(page: str, field: Field) -> str:
-    blocks = blocks_of(page)
+    blocks = blocks_of(page, field.numbers, field.paths)
     return "\n\n".join(b.text for b, label in zip(blocks, field.decode(blocks), strict=True) if label)
 
 

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -289,6 +290,8 @@ def test_token_probabilities_are_a_distribution_and_steps_go_downhill():
     assert lm.log_p(w, tokens, near).mean() > before
 
 
+FIELD = lru_cache(html_extract.train)
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{}</style><script>var t="</p><article>no</article>";</script></head><body class="a>b">
 <header><p>Site</p></header><nav><ul><li><a href="/x">Home</a><li><a href="/y">More news here</a></ul></nav><div class="cookie notice">We use cookies.</div>
 <article><h1>The  head&nbsp;line</h1><p>First <b>bold</b> par&eacute;graph with 1 &lt; 2<br>and more text in it.<p>Second one, unclosed.
@@ -310,6 +313,50 @@ def test_extraction_of_a_page_and_odd_ones(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+#: Pages by hand, with class names, nesting and parts that no training page has: the html and the main text.
+BY_HAND = [
+    (
+        """<body><div id=wrap><div class="topline menu-list"><ul><li><a href=/a>Start</a><li><a href=/b>Contact us</a></ul></div><main class="page-main"><h1>Rivers of the north</h1>
+<p>The river rises in the hills and runs to the sea in two days.</p><table class=facts><tbody><tr><th>Length<td><table><tr><td>310 km<td>in all</table></table>
+<dl><dt>Source<dd>A spring under the old mill.<dt>Mouth<dd>The bay of the three towns.</dl><p>Boats go up as far as the first weir.</p></main>
+<div class="reader comments"><div class=comment><p>Ann</p><p>My father fished there as a boy, every summer.</p></div></div><footer>© 1999 The valley press. All rights reserved.</footer></div></body>""",
+        ["Rivers of the north", "The river rises in the hills and runs to the sea in two days.", "Length", "310 km", "in all", "Source", "A spring under the old mill.", "Mouth", "The bay of the three towns.", "Boats go up as far as the first weir."],
+    ),
+    (
+        """<html><body><header class=branding><p>The Daily Post</p></header><article class="story long"><h2>A loaf in an hour</h2><p>Mix the flour and the water with a spoon, then wait.</p>
+<section class="comments"><h3>Comments</h3><ol><li class=comment><p>Bob</p><p>It worked for me with rye flour too.</p></ol></section></article>
+<form class=search><label>Find</label><button>Go</button></form></body></html>""",
+        ["A loaf in an hour", "Mix the flour and the water with a spoon, then wait."],
+    ),
+    (
+        """<BODY><DIV CLASS="Cookie-Consent"><P>We and our partners use cookies. Accept?</P></DIV><MAIN><H1>Minutes of the meeting</H1><UL><LI>The minutes of May were read.<LI>The roof is to be mended.</UL>
+<BLOCKQUOTE><P>The roof can't wait another winter.</P></BLOCKQUOTE><PRE>Votes: 7 to 2</PRE></MAIN><ASIDE CLASS=trending><H4>Most read</H4><UL><LI><A HREF=/z>Ten roofs</A></UL></ASIDE></BODY>""",
+        ["Minutes of the meeting", "The minutes of May were read.", "The roof is to be mended.", "The roof can't wait another winter.", "Votes: 7 to 2"],
+    ),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), BY_HAND)
+def test_extraction_of_pages_by_hand(page, want):
+    assert html_extract.main_text(page, FIELD()).split("\n\n") == want
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>x", "<a '", "<!-- ", "<script>x", "</p><p>x", "<li>x", "<b><p>x", "<div class=aa%s>x", "<style></stylex ", "<table><td>x", "<", "&", "<p x='>"])
+def test_a_page_takes_time_in_proportion_to_its_length(part):
+    import time
+
+    names = (f"n{''.join(random.Random(k).choices('abcdefgh', k=6))}" for k in range(10**6))
+    page = "".join(part % next(names) if "%s" in part else part for _ in range(1_000_000 // len(part)))
+    began = time.process_time()
+    html_extract.main_text(page, FIELD())
+    assert time.process_time() - began < 30
+
+
+def test_notes_are_seen_wherever_they_stand_in_a_block():
+    early, late = (html_extract.blocks_of(f"<p>{t}</p>")[0] for t in ("cookie " + "word " * 100, "word " * 100 + "cookie"))
+    assert html_extract.text_features(early)[3] == html_extract.text_features(late)[3]
+
+
 def test_extraction_on_held_out_layouts():
     field = html_extract.train()
     hits = total = 0
