@@ -28,9 +28,10 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"se
 #: Where a tag's name ends, and what stands between it and the end of the tag: quoted strings and other characters.
 NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 INSIDE = re.compile(r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>""")
+ENDS = {tag: re.compile(rf"</{tag}\b", re.I) for tag in HIDDEN}
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
-NOTES = re.compile(r"cookie|subscribe|newsletter|copyright|©|all rights reserved|sign ?up|log ?in|comment|repl(?:y|ies)|share|advert|sponsor|related|privacy|terms of|click here|read more|follow us", re.I)
+NOTES = "cookie|subscribe|newsletter|copyright|©|all rights reserved|sign up|signup|log in|login|comment|reply|replies|share|advert|sponsor|related|privacy|terms of|click here|read more|follow us".split("|")
 
 
 class Path:
@@ -57,7 +58,7 @@ class Page:
     """The rest of a page from a place on. Searches for the end of a comment, of a hidden element or of a quote that fail once fail at once from then on, so that a page takes time in proportion to its length."""
 
     def __init__(self, page: str):
-        self.page, self.lower, self.missing = page, None, set()
+        self.page, self.missing = page, set()
 
     def after(self, what: str, at: int) -> int:
         """Where the next what ends, the end of the page if there is none."""
@@ -68,14 +69,11 @@ class Page:
 
     def closed(self, tag: str, at: int) -> int:
         """Where the next end tag of a hidden element ends."""
-        if self.lower is None:
-            self.lower = self.page.translate(LOWER)
-        while f"</{tag}" not in self.missing and (found := self.lower.find(f"</{tag}", at)) >= 0:
-            at = found + len(tag) + 2
-            if not self.lower[at : at + 1].isalnum():
-                return self.after(">", at)
-        self.missing.add(f"</{tag}")
-        return len(self.page)
+        found = ENDS[tag].search(self.page, at) if tag not in self.missing else None
+        if found is None:
+            self.missing.add(tag)
+            return len(self.page)
+        return self.after(">", found.end())
 
     def tag(self, at: int) -> tuple[int, str, str] | None:
         """End, name and attributes of the tag whose name begins at a place. None if it never ends."""
@@ -93,8 +91,6 @@ class Page:
         return inside.end(), name[0].lower(), self.page[name.end() : inside.end() - 1]
 
 
-LOWER = {c: c + 32 for c in range(65, 91)}
-
 
 def blocks_of(text: str, known: Container[str] | None = None, paths: dict[tuple, Path] | None = None) -> list[Block]:
     """Leaf blocks in page order: their text with references decoded and white space as single spaces, the path of block-level elements above, the share of the text in links.
@@ -205,7 +201,7 @@ def text_features(block: Block) -> list[str]:
         f"words:{min(words.bit_length(), 7)}",
         f"linked:{int(block.linked * 3.99)}",
         f"stop:{text[-1] in '.!?…'}",
-        f"note:{bool(NOTES.search(text))}:{min(words.bit_length(), 7)}",
+        f"note:{any(map(text.lower().__contains__, NOTES))}:{min(words.bit_length(), 7)}",
         "bias",
     ]
 
