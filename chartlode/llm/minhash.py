@@ -188,7 +188,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Documents link where 100 * intersection >= percent * union of their distinct shingles of so many words (A-Z lowered, words
     apart by ASCII white space); a text of fewer words is one shingle; a null or empty text has none and links with nothing.
     component_id is the least id reachable, kept whether it is the row's own. Rows that repeat an id are one document: each
-    gets its own n_shingles, all the component of the id. A null id gives a null component and is kept. Other columns of df
+    gets its own n_shingles, all the component of the id. A null id gives a null component and is kept. Ids are whole numbers, since groups are named by
+    the least one; others are an error. Other columns of df
     are not read; an empty table gives an empty table.
 
     A pair of Jaccard s shares a band with probability 1 - (1 - s**rows)**bands: 1 - 4e-7 at s = 0.85 by default; no pair,

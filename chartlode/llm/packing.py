@@ -8,6 +8,7 @@ rank up in the plan.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from chartlode.llm.common import docs_of, materialize, slices
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
+PIECES = "piece int, start long, length long, ids_crc32 long, part int, place long"
 
 
 @lru_cache(maxsize=2)
@@ -63,83 +64,113 @@ def pieces_of(docs: DataFrame, vocabulary: str, ranks: str | None, size: int, en
                     out.append((doc, k, start, len(piece), zlib.crc32(piece.tobytes()), part, seen[len(piece)], *([piece.astype(np.int32)] if keep_ids else [])))
                     seen[len(piece)] += 1
             columns = list(zip(*out, strict=True))
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
+            types = [batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "place", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types[: len(columns)], strict=True)], names[: len(columns)])
 
-    return docs.mapInArrow(run, PIECES + (", ids array<int>" if keep_ids else ""))
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + PIECES + (", ids array<int>" if keep_ids else ""))
 
 
-def plan(counts: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
-    """Patterns (how many sequences, lengths of their pieces) that use each length as often as counts has it.
+class Sums:
+    """Which lengths are left, how many, and the combinations of one, two and three of them by their sum."""
 
-    Few pieces can be short of fillers once sums of three have taken them, so the plans that stop at sums of three, of two,
-    at single lengths and at none are compared; the first with fewest sequences stays."""
-    return min((fill(counts, size, most) for most in (3, 2, 1, 0)), key=lambda patterns: sum(n for n, _ in patterns))
+    def __init__(self, counts: dict[int, int], size: int):
+        self.size, self.left = size, np.zeros(size + 1, np.int64)
+        for length, n in counts.items():
+            self.left[length] = n
 
+    def of(self, gap: int, most: int, kind: int) -> Iterator[list[int]]:
+        """Combinations of so many (kind) lengths, none over most, whose sum is gap, longest first; of lengths that are left when it is asked for.
 
-def fill(counts: dict[int, int], size: int, most: int) -> list[tuple[int, list[int]]]:
-    """A plan that fills gaps exactly with up to most pieces, then best-fit.
+        A pair is found by the complement of its longer length, a triple by the pairs under the complement of its longest."""
+        if kind == 1:
+            if gap <= most and self.left[gap]:
+                yield [gap]
+            return
+        low, high = -(-gap // kind), min(most, gap - kind + 1)
+        longest = np.arange(high, low - 1, -1)
+        if kind == 2:
+            longest = longest[(self.left[longest] > 0) & (self.left[gap - longest] > 0)]
+        for b in longest[self.left[longest] > 0].tolist():
+            for rest in self.of(gap - b, b, kind - 1) if self.left[b] else ():
+                yield [b, *rest]
 
-    The longest available length is the anchor. Its gap is looked up among single lengths, then sums of two, then sums of
-    three; a combination that fills it exactly is taken as often as its scarcest length allows. What is left goes best-fit,
-    longest first."""
-    left = np.zeros(size + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
-    patterns: list[tuple[int, list[int]]] = []
+    def take(self, lengths: list[int]) -> int:
+        """As many of the pattern as its scarcest length allows, which are gone then."""
+        need = [(x, lengths.count(x)) for x in set(lengths)]
+        n = min(int(self.left[x]) // k for x, k in need)
+        for x, k in need if n else ():
+            self.left[x] -= n * k
+        return n
 
-    def take(lengths: list[int]) -> None:
-        need: dict[int, int] = defaultdict(int)
-        for x in lengths:
-            need[x] += 1
-        n = min(int(left[x]) // k for x, k in need.items())
-        if n:
-            for x, k in need.items():
-                left[x] -= n * k
-            patterns.append((n, lengths))
-
-    take([size])
-    for a in range(size - 1, (size - 1) // 2, -1) if most >= 1 else ():
-        if left[a] and left[size - a]:
-            take([a, size - a])
-    for a in range(size - 1, 0, -1) if most >= 2 else ():
-        gap = size - a
-        for b in np.flatnonzero(left[(gap + 1) // 2 : min(a, gap - 1) + 1])[::-1] + (gap + 1) // 2 if left[a] else ():
-            if left[a] and left[b] and left[gap - b]:
-                take([a, int(b), gap - int(b)])
-    for a in range(size - 1, 0, -1) if most >= 3 else ():
-        gap = size - a
-        for b in np.flatnonzero(left[1 : min(a, gap - 2) + 1])[::-1] + 1 if left[a] else ():
-            if not (left[a] and left[b]):
-                continue
-            rest = gap - int(b)
-            low, high = (rest + 1) // 2, min(int(b), rest - 1)
-            for c in np.flatnonzero((left[low : high + 1] > 0) & (left[rest - np.arange(low, high + 1)] > 0)) + low if high >= low else ():
-                if left[a] and left[b]:
-                    take([a, int(b), int(c), rest - int(c)])
-    # Best fit: open[gap] holds [how many, lengths] of the sequences begun.
-    open_: dict[int, list[list]] = defaultdict(list)
-    for length in range(size, 0, -1):
+
+def plan(counts: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
+    """Patterns (how many sequences, lengths of their pieces) that use each length as often as counts has it.
+
+    Each length, longest first, is an anchor, whose gap is looked up among the single lengths, then the sums of two, then those
+    of three; a combination that fills it exactly is taken as often as its scarcest length allows. What is left goes best-fit.
+    Exact fills can use up short pieces that other gaps need. So those of a range of anchors stay only if the best fit of what
+    they leave ends with no more sequences in all than before; else its halves are tried."""
+    sums = Sums(counts, size)
+    patterns: list[tuple[int, list[int]]] = [(n, [size])] if (n := sums.take([size])) else []
+    fewest = sum(n for n, _ in patterns) + sum(n for n, _ in best_fit(sums.left, size))
+
+    def fill(anchors: list[int], kind: int) -> None:
+        nonlocal fewest
+        before, made = sums.left.copy(), len(patterns)
+        for a in anchors:
+            for combination in sums.of(size - a, a, kind) if sums.left[a] else ():
+                if n := sums.take([a, *combination]):
+                    patterns.append((n, [a, *combination]))
+                if not sums.left[a]:
+                    break
+        if len(patterns) == made:
+            return
+        total = sum(n for n, _ in patterns) + sum(n for n, _ in best_fit(sums.left, size))
+        if total <= fewest:
+            fewest = total
+            return
+        sums.left[:] = before
+        del patterns[made:]
+        if len(anchors) > 1:
+            fill(anchors[: len(anchors) // 2], kind)
+            fill(anchors[len(anchors) // 2 :], kind)
+
+    for kind in (1, 2, 3):
+        fill(list(range(size - 1, 0, -1)), kind)
+    return patterns + best_fit(sums.left, size)
+
+
+def best_fit(left: np.ndarray, size: int) -> list[tuple[int, list[int]]]:
+    """Patterns of best fit, longest first: each piece goes to the sequence with the smallest gap that holds it."""
+    patterns: list[tuple[int, list[int]]] = []
+    open_: dict[int, list[list]] = defaultdict(list)  # by gap: [how many, lengths] of the sequences begun
+    gaps: list[int] = []  # the gaps in order
+    for length in np.flatnonzero(left)[::-1].tolist():
         n = int(left[length])
         while n:
-            gap = next((g for g in range(length, size) if open_.get(g)), None)
-            if gap is None:
+            at = bisect_left(gaps, length)
+            if at == len(gaps):
                 each = min(n, size // length)
                 many = n // each
                 begun, rest = [many, [length] * each], size - each * length
                 n -= many * each
             else:
+                gap = gaps[at]
                 many, lengths = open_[gap].pop()
                 used = min(many, n)
                 if used < many:
                     open_[gap].append([many - used, lengths])
+                elif not open_[gap]:
+                    del gaps[at]
                 begun, rest = [used, [*lengths, length]], gap - length
                 n -= used
-            if rest:
-                open_[rest].append(begun)
-            else:
+            if not rest:
                 patterns.append((begun[0], begun[1]))
+                continue
+            if not open_[rest]:
+                insort(gaps, rest)
+            open_[rest].append(begun)
     return patterns + [(n, lengths) for group in open_.values() for n, lengths in group]
 
 

@@ -1,5 +1,6 @@
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations_with_replacement
 
 import numpy as np
 import public_tokenizers
@@ -50,7 +51,7 @@ def test_plans_use_every_piece_once_and_no_more_sequences_than_best_fit(counts):
         for x in lengths:
             used[x] += n
     assert used == Counter(counts)
-    assert sum(n for n, _ in patterns) <= sum(n for n, _ in packing.fill(counts, 32, 0))
+    assert sum(n for n, _ in patterns) <= sum(n for n, _ in packing.best_fit(np.array([counts.get(x, 0) for x in range(33)]), 32))
     assert sum(n for n, _ in patterns) >= -(-sum(k * v for k, v in counts.items()) // 32)
 
 
@@ -60,6 +61,24 @@ def test_exact_complements_are_found():
     assert sum(n for n, _ in packing.plan({17: 1, 8: 1, 4: 1, 3: 1}, 32)) == 1
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(1, 12), st.integers(1, 3), max_size=10), st.integers(1, 12), st.integers(1, 12), st.integers(1, 3))
+def test_sums_give_every_combination_once(counts, gap, most, kind):
+    got = [tuple(c) for c in packing.Sums(counts, 12).of(gap, most, kind)]
+    assert sorted(got) == sorted(c for c in combinations_with_replacement(sorted(counts, reverse=True), kind) if sum(c) == gap and max(c) <= most)
+
+
+def test_combinations_that_would_cost_a_sequence_are_left_to_best_fit():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        lengths = np.clip(rng.lognormal(3.5, 1, rng.integers(20, 400)).astype(int), 1, 128)
+        counts = Counter(lengths.tolist())
+        best = sum(n for n, _ in packing.best_fit(np.array([counts.get(x, 0) for x in range(129)]), 128))
+        patterns = packing.plan(counts, 128)
+        assert sum(n for n, _ in patterns) <= best
+        assert any(sum(p) == 128 and len(p) in (2, 3, 4) for _, p in patterns)
+
+
 def test_both_tokenizers_give_the_same_ids():
     fast, slow = packing.encoder(JSON, RANKS), packing.encoder(JSON, None)
     for text in ("", " ", "Hello  world\n\n", "naïve — café 東京 🙂", "a" * 3000, "x<|endoftext|>y", "1234567 it's\tI'LL"):
