@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,9 +29,20 @@ def facets(documents: DataFrame) -> DataFrame:
 
 
 def series(labs: DataFrame, key: Column) -> DataFrame:
-    """AGG-09. Per analyte: its points in time order."""
-    points = F.sort_array(F.collect_list(F.struct("taken_at", "id", "value_num")))
-    return labs.groupBy(key.alias("analyte")).agg(F.transform(points, lambda p: p["value_num"]).alias("values_in_order"), F.count("*").alias("n"))
+    """AGG-09. Per analyte: its points in time order, in chunks of CHUNK points, so that no row grows with a frequent analyte."""
+    points = F.sort_array(F.collect_list(F.struct("_place", "value_num")))
+    rows = chunked(labs.withColumn("analyte", key), "analyte", ["taken_at", "id", "value_num"])
+    return rows.groupBy("analyte", "chunk").agg(F.transform(points, lambda p: p["value_num"]).alias("values_in_order"), F.count("*").alias("n"))
+
+
+#: Points in a row of a series.
+CHUNK = 1000
+
+
+def chunked(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Rows with their place in the order of their key and the number of the chunk that holds it, both from 0."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    return rows.withColumn("_place", place).withColumn("chunk", F.floor(F.col("_place") / CHUNK).cast("int"))
 
 
 def weekly(metrics: DataFrame) -> DataFrame:
@@ -118,9 +129,12 @@ def matched_share(labs: DataFrame) -> DataFrame:
 
 
 def period_lines(labs: DataFrame) -> DataFrame:
-    """AGG-30. Per analyte: its values in time order with arrows between, the last unit and bounds, the last point's marker."""
-    points = F.sort_array(F.collect_list(F.struct("taken_at", "id", "value_num", "unit", "ref_low", "ref_high")))
-    out = labs.where("value_num is not null").groupBy("analyte_name").agg(points.alias("points"))
-    last = F.element_at("points", -1)
+    """AGG-30. Per analyte: its values in time order with arrows between, in chunks as in AGG-09; on each the last unit and bounds and the last point's marker."""
+    order = ["taken_at", "id", "value_num", "unit", "ref_low", "ref_high"]
+    rows = labs.where("value_num is not null")
+    ends = rows.groupBy("analyte_name").agg(F.max(F.struct(*order)).alias("last"))
+    points = F.sort_array(F.collect_list(F.struct("_place", "value_num")))
+    out = chunked(rows, "analyte_name", order).groupBy("analyte_name", "chunk").agg(points.alias("points")).join(ends, "analyte_name")
+    last = F.col("last")
     marker = F.when(last["value_num"] < last["ref_low"], "↓").when(last["value_num"] > last["ref_high"], "↑").otherwise("")
-    return out.select("analyte_name", F.array_join(F.transform("points", lambda p: p["value_num"].cast("int").cast("string")), " → ").alias("line"), last["unit"].alias("unit"), last["ref_low"].alias("ref_low"), last["ref_high"].alias("ref_high"), marker.alias("marker"))
+    return out.select("analyte_name", "chunk", F.array_join(F.transform("points", lambda p: p["value_num"].cast("int").cast("string")), " → ").alias("line"), last["unit"].alias("unit"), last["ref_low"].alias("ref_low"), last["ref_high"].alias("ref_high"), marker.alias("marker"))

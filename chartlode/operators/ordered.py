@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +29,17 @@ def stage_durations(log: DataFrame, most: float = 3600) -> DataFrame:
 
 
 def ema(df: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.3) -> DataFrame:
-    """WIN-04. Exponential moving average over each key's values in order, the first as it is, with their number."""
-    values = F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("v")))), lambda p: p["v"])
-    fold = F.aggregate(F.slice("vs", 2, F.size("vs")), F.element_at("vs", 1), lambda e, v: e * (1 - alpha) + v * alpha)
-    return df.where(F.col(value).isNotNull()).groupBy(key).agg(values.alias("vs")).select(key, F.round(fold, 6).alias("ema"), F.size("vs").alias("samples"))
+    """WIN-04. Exponential moving average over each key's values in order, the first as it is, with their number.
+
+    The average is a weighted sum; a value weighs (1 - alpha) ** (its rank from the end). Once that is under the smallest
+    double, earlier values add exactly 0, so only as many rows of a key as weigh something are ranked and summed, which
+    Spark picks before it shuffles."""
+    rows = df.where(F.col(value).isNotNull())
+    weigh = math.ceil(math.log(5e-324) / math.log(1 - alpha)) + 1 if 0 < alpha < 1 else 1
+    last = rows.withColumn("_back", F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])) - 1).where(F.col("_back") < weigh)
+    sizes = rows.groupBy(key).agg(F.count("*").alias("samples"))
+    weight = F.pow(F.lit(1 - alpha), F.col("_back")) * F.when(F.col("_back") == F.col("samples") - 1, 1.0).otherwise(alpha)
+    return last.join(sizes, key).groupBy(key).agg(F.round(F.sum(F.col(value) * weight), 6).alias("ema"), F.max("samples").cast("int").alias("samples"))
 
 
 def energy(samples: DataFrame, key: str, time: str, power: str) -> DataFrame:

@@ -88,10 +88,11 @@ def dml_09(t: Tables) -> DataFrame:
     from chartlode.operators import fuzzy
 
     registry = t.spark.createDataFrame([("drug", 1), ("other", 2)], "name string, ordinal int")
-    lines = t.reports().select("id", F.posexplode("medications").alias("p", "line"))
+    # Ids repeat; each report is told apart by a number of its own.
+    lines = t.reports().withColumn("report", F.monotonically_increasing_id()).select("report", "id", F.posexplode("medications").alias("p", "line"))
     found = fuzzy.match_free_text(lines, fuzzy.key_index(registry, normalize_name), normalize_name, drug_head, max_edit_ratio=0.4, ratio_floor=70)
     joined = lines.join(found, "line")
-    return joined.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "status"))), lambda x: x["status"]), ",").alias("statuses"))
+    return joined.groupBy("report", "id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "status"))), lambda x: x["status"]), ",").alias("statuses")).drop("report")
 
 
 @query("M1", "", "SELECT o_orderkey, NULL::DOUBLE AS weight FROM orders")

@@ -111,11 +111,11 @@ def src_14(t: Tables) -> DataFrame:
     return t.read("part").select("p_partkey", readers.sheet_status(F.col("p_type"), {"ECO": "cheap", "S": "plain"}).alias("status"))
 
 
-@query("SRC-15", "", """WITH l AS (SELECT l_suppkey AS f, l_orderkey AS o, l_linenumber AS n, l_quantity AS q FROM lineitem WHERE l_linenumber <= 3)
+@query("SRC-15", "", """WITH l AS (SELECT l_suppkey AS f, l_orderkey AS o, l_linenumber AS n, l_quantity AS q FROM lineitem)
 SELECT concat('f', f) AS file, concat('doc', o) AS doc, round(avg(q), 4) AS tps, sum(n)::DOUBLE AS matched, (9 * count(*))::DOUBLE AS expected FROM l GROUP BY ALL""")
 def src_15(t: Tables) -> DataFrame:
     """With SRC-16 and SRC-17."""
-    li = t.read("lineitem").where("l_linenumber <= 3").select(F.concat(F.lit("f"), "l_suppkey").alias("file"), "l_orderkey", "l_linenumber", "l_quantity")
+    li = t.read("lineitem").select(F.concat(F.lit("f"), "l_suppkey").alias("file"), "l_orderkey", "l_linenumber", "l_quantity")
     body = li.select("file", (F.col("l_orderkey") * 10 + 1).alias("line_no"), F.concat(F.lit("[METRICS] tps="), "l_quantity", F.lit(" matched="), "l_linenumber", F.lit("/9")).alias("line"))
     heads = li.select("file", (F.col("l_orderkey") * 10).alias("line_no"), F.concat(F.lit("[E2E] doc"), "l_orderkey").alias("line")).distinct()
     return readers.log_documents(body.unionByName(heads))
@@ -152,12 +152,12 @@ def str_01(t: Tables) -> DataFrame:
     return streams.read_upserts(t.spark, path, stream.schema, streams.METRIC_KEYS).select("user_id", "provider", "metric", F.col("taken_at").cast("timestamp_ntz").alias("taken_at"), "value_num")
 
 
-@query("STR-05", "metrics", """WITH e AS (SELECT user_id AS document_id, taken_at, event_id, CASE event_id % 5 WHEN 0 THEN 'received' WHEN 1 THEN 'recognizing' WHEN 2 THEN 'normalizing' WHEN 3 THEN 'extracted' ELSE 'failed' END AS status FROM metrics WHERE event_id % 200 < 5),
+@query("STR-05", "metrics", """WITH e AS (SELECT user_id AS document_id, taken_at, event_id, CASE event_id % 5 WHEN 0 THEN 'received' WHEN 1 THEN 'recognizing' WHEN 2 THEN 'normalizing' WHEN 3 THEN 'extracted' ELSE 'failed' END AS status FROM metrics),
 r AS (SELECT *, CASE status WHEN 'received' THEN 0 WHEN 'recognizing' THEN 1 WHEN 'normalizing' THEN 2 ELSE 3 END AS stage FROM e) SELECT document_id, arg_max(status, (stage, -epoch_us(taken_at))) AS status, max(stage) AS stage FROM r GROUP BY 1""")
 def str_05(t: Tables) -> DataFrame:
     k = F.col("event_id") % 5
     status = F.when(k == 0, "received").when(k == 1, "recognizing").when(k == 2, "normalizing").when(k == 3, "extracted").otherwise("failed")
-    return streams.status_now(t.metrics().where("event_id % 200 < 5").select(F.col("user_id").alias("document_id"), F.col("taken_at").alias("at"), status.alias("status")))
+    return streams.status_now(t.metrics().select(F.col("user_id").alias("document_id"), F.col("taken_at").alias("at"), status.alias("status")))
 
 
 @query("STR-06", "metrics", "SELECT metric AS queue, event_id AS id, row_number() OVER (PARTITION BY metric ORDER BY taken_at, event_id) AS place FROM metrics WHERE user_id % 4 = 0")

@@ -100,6 +100,51 @@ def prs_16(t: Tables) -> DataFrame:
     return parse.breath_test(lines).select("doc_id", "line_no", "analyte_name", "value_num", "unit")
 
 
+@query("PRS-15", "", """WITH a AS (SELECT l_orderkey AS doc_id, count_if(l_linenumber <= 2) AS single, count_if(l_linenumber > 2) AS reading FROM lineitem GROUP BY 1)
+SELECT doc_id, (reading > single)::INT AS attempt, greatest(reading, single)::BIGINT AS n_rows FROM a""")
+def prs_15(t: Tables) -> DataFrame:
+    """Attempt 0 is the form of single lines, 1 the one in reading order; equals go to the first."""
+    counts = t.read("lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count_if(F.col("l_linenumber") <= 2).alias("single"), F.count_if(F.col("l_linenumber") > 2).alias("reading"))
+    attempts = counts.select("doc_id", F.posexplode(F.array("single", "reading")).alias("attempt", "n_rows"))
+    return parse.best_attempt(attempts)
+
+
+def unit_rows(t: Tables) -> DataFrame:
+    """Results with spoilt units and some heads of forms among them."""
+    spoilt = F.when(F.col("id") % 4 == 0, "10^9/л (note)").when(F.col("id") % 4 == 1, "| G/L |").when(F.col("id") % 4 == 2, "мг/дл").otherwise(F.lit(None).cast("string"))
+    name = F.when(F.col("id") % 11 == 0, "Результат").otherwise(F.col("analyte_name"))
+    return t.labs().select("id", F.col("document_id").alias("doc_id"), name.alias("analyte_name"), "value_num", "value_text", spoilt.alias("unit"), F.when(F.col("id") % 8 == 0, "first").alias("unit_raw"), "ref_low", "ref_high")
+
+
+def unit_registry(t: Tables) -> DataFrame:
+    return t.read("part").groupBy(F.col("p_name").alias("name")).agg(F.array(F.lit("×10⁹/л"), F.lit("г/л")).alias("expected_units")).where("length(name) % 2 = 0")
+
+
+UNIT_ROWS = """rows AS (SELECT id, document_id AS doc_id, CASE WHEN id % 11 = 0 THEN 'Результат' ELSE analyte_name END AS analyte_name, value_num, value_text, CASE id % 4 WHEN 0 THEN '10^9/л (note)' WHEN 1 THEN '| G/L |' WHEN 2 THEN 'мг/дл' END AS unit, CASE WHEN id % 8 = 0 THEN 'first' END AS unit_raw, ref_low, ref_high FROM labs),
+fixed AS (SELECT id, doc_id, analyte_name, value_num, value_text, ref_low, ref_high, CASE WHEN unit IS NULL THEN unit_raw ELSE coalesce(unit_raw, unit) END AS unit_raw,
+  CASE id % 4 WHEN 0 THEN CASE WHEN known THEN '×10⁹/л' ELSE '10^9/л' END WHEN 1 THEN CASE WHEN known THEN 'г/л' ELSE 'G/L' END WHEN 2 THEN 'мг/дл' END AS unit FROM (SELECT *, analyte_name <> 'Результат' AND length(analyte_name) % 2 = 0 AS known FROM rows))"""
+
+
+@query("PRS-23", "labs", f"WITH {UNIT_ROWS} SELECT id, analyte_name, unit, unit_raw FROM fixed")
+def prs_23(t: Tables) -> DataFrame:
+    return parse.correct_units(unit_rows(t), unit_registry(t)).select("id", "analyte_name", "unit", "unit_raw")
+
+
+@query("PRS-22", "labs", f"""WITH {UNIT_ROWS} SELECT doc_id, count(*) AS total, count(value_num) AS with_value_num, count_if(coalesce(value_text, '') <> '') AS with_value_text, count_if(ref_low IS NOT NULL OR ref_high IS NOT NULL) AS with_ref, count(unit) AS with_unit
+FROM fixed WHERE analyte_name <> 'Результат' AND NOT (value_num IS NULL AND value_text IS NULL AND unit IS NULL AND ref_low IS NULL AND ref_high IS NULL) GROUP BY 1""")
+def prs_22(t: Tables) -> DataFrame:
+    return parse.finished(unit_rows(t), unit_registry(t))[1]
+
+
+@query("WIN-12", "", """WITH w AS (SELECT l_orderkey AS page, l_linenumber // 3 AS k, concat('w', l_partkey, '-', l_linenumber) AS word, (l_partkey * 8 + l_linenumber) AS x FROM lineitem)
+SELECT page, (dense_rank() OVER (PARTITION BY page ORDER BY k) - 1)::INT AS line_no, line FROM (SELECT page, k, string_agg(word, ' ' ORDER BY x) AS line FROM w GROUP BY ALL)""")
+def win_12(t: Tables) -> DataFrame:
+    """Heights drift by half a point from word to word of a line; lines are twenty apart."""
+    y = F.floor(F.col("l_linenumber") / 3) * 20 + F.col("l_linenumber") % 3 * 0.5
+    words = t.read("lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_partkey") * 8 + F.col("l_linenumber")).cast("double").alias("x"), y.cast("double").alias("y"), F.concat(F.lit("w"), "l_partkey", F.lit("-"), "l_linenumber").alias("word"))
+    return parse.page_lines(words, 3.0)
+
+
 @query("PRS-17", "", "SELECT conv_id, turn, regexp_matches(lower(concat(text, CASE WHEN conv_id % 3 = 0 THEN ' СИБР' WHEN conv_id % 3 = 1 THEN ' H2 O2' ELSE '' END)), 'сибр|лактулоза') AS breath FROM conversations")
 def prs_17(t: Tables) -> DataFrame:
     said = F.concat("text", F.when(F.col("conv_id") % 3 == 0, " СИБР").when(F.col("conv_id") % 3 == 1, " H2 O2").otherwise(""))

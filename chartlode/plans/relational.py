@@ -228,9 +228,10 @@ def agg_08(t: Tables) -> DataFrame:
     return t.chunks().groupBy("source").agg(F.count("*").alias("chunks"), F.count("embedding").alias("vectors"))
 
 
-@query("AGG-09", "labs", "SELECT lower(coalesce(analyte_canonical, analyte_name)) AS analyte, array_to_string(list(value_num ORDER BY taken_at, id, value_num NULLS FIRST), ',') AS line, count(*) AS n FROM labs WHERE user_id < 50 GROUP BY 1")
+@query("AGG-09", "labs", """WITH p AS (SELECT lower(coalesce(analyte_canonical, analyte_name)) AS analyte, value_num, row_number() OVER (PARTITION BY lower(coalesce(analyte_canonical, analyte_name)) ORDER BY taken_at, id, value_num NULLS FIRST) - 1 AS place FROM labs)
+SELECT analyte, (place // 1000)::INT AS chunk, array_to_string(list(value_num ORDER BY place), ',') AS line, count(*) AS n FROM p GROUP BY 1, 2""")
 def agg_09(t: Tables) -> DataFrame:
-    return aggregates.series(t.labs().where("user_id < 50"), filters.lab_key()).select("analyte", F.array_join("values_in_order", ",").alias("line"), "n")
+    return aggregates.series(t.labs(), filters.lab_key()).select("analyte", "chunk", F.array_join("values_in_order", ",").alias("line"), "n")
 
 
 @query("AGG-10", "metrics", f"WITH d AS ({DAILY}) SELECT metric, isoyear(day)::INT AS iso_year, week(day)::INT AS iso_week, round(avg(avg_value), 2) AS avg_value, min(min_value) AS min_value, max(max_value) AS max_value FROM d GROUP BY ALL")
@@ -327,10 +328,12 @@ def agg_29(t: Tables) -> DataFrame:
     return aggregates.matched_share(t.labs())
 
 
-@query("AGG-30", "labs", """WITH p AS (SELECT analyte_name, list({'v': value_num, 'u': unit, 'l': ref_low, 'h': ref_high} ORDER BY taken_at, id, value_num, unit NULLS FIRST) AS ps FROM labs WHERE value_num IS NOT NULL AND user_id < 30 GROUP BY 1)
-SELECT analyte_name, array_to_string(list_transform(ps, lambda x: x.v::INT::VARCHAR), ' → ') AS line, ps[-1].u AS unit, ps[-1].l AS ref_low, ps[-1].h AS ref_high, CASE WHEN ps[-1].v < ps[-1].l THEN '↓' WHEN ps[-1].v > ps[-1].h THEN '↑' ELSE '' END AS marker FROM p""")
+@query("AGG-30", "labs", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY analyte_name ORDER BY taken_at, id, value_num, unit NULLS FIRST, ref_low NULLS FIRST, ref_high NULLS FIRST) - 1 AS place FROM labs WHERE value_num IS NOT NULL),
+e AS (SELECT analyte_name, arg_max({'v': value_num, 'u': unit, 'l': ref_low, 'h': ref_high}, place) AS z FROM r GROUP BY 1),
+c AS (SELECT analyte_name, (place // 1000)::INT AS chunk, array_to_string(list(value_num::INT::VARCHAR ORDER BY place), ' → ') AS line FROM r GROUP BY 1, 2)
+SELECT analyte_name, chunk, line, z.u AS unit, z.l AS ref_low, z.h AS ref_high, CASE WHEN z.v < z.l THEN '↓' WHEN z.v > z.h THEN '↑' ELSE '' END AS marker FROM c JOIN e USING (analyte_name)""")
 def agg_30(t: Tables) -> DataFrame:
-    return aggregates.period_lines(t.labs().where("user_id < 30"))
+    return aggregates.period_lines(t.labs())
 
 
 # Windows
@@ -357,11 +360,10 @@ def win_03(t: Tables) -> DataFrame:
     return ordered.stage_durations(log, 3_600_000_000)
 
 
-@query("WIN-04", "metrics", """WITH RECURSIVE s AS (SELECT metric, value_num AS v, row_number() OVER (PARTITION BY metric ORDER BY taken_at, event_id) AS k, count(*) OVER (PARTITION BY metric) AS n FROM metrics WHERE user_id < 10 AND value_num IS NOT NULL),
-f AS (SELECT metric, k, n, v::DOUBLE AS e FROM s WHERE k = 1 UNION ALL SELECT s.metric, s.k, s.n, f.e * 0.7::DOUBLE + s.v * 0.3::DOUBLE FROM f JOIN s ON s.metric = f.metric AND s.k = f.k + 1)
-SELECT metric, round(e, 6) AS ema, n::INT AS samples FROM f WHERE k = n""")
+@query("WIN-04", "metrics", """WITH s AS (SELECT metric, value_num AS v, row_number() OVER (PARTITION BY metric ORDER BY taken_at, event_id) AS k, count(*) OVER (PARTITION BY metric) AS n FROM metrics WHERE value_num IS NOT NULL)
+SELECT metric, round(sum(v * pow(0.7::DOUBLE, n - k) * CASE WHEN k = 1 THEN 1 ELSE 0.3::DOUBLE END), 6) AS ema, max(n)::INT AS samples FROM s GROUP BY metric""")
 def win_04(t: Tables) -> DataFrame:
-    return ordered.ema(t.metrics().where("user_id < 10"), "metric", ["taken_at", "event_id"], "value_num")
+    return ordered.ema(t.metrics(), "metric", ["taken_at", "event_id"], "value_num")
 
 
 @query("WIN-05", "metrics", """WITH s AS (SELECT metric, epoch_us(taken_at) AS t, value_num AS p FROM metrics WHERE value_num IS NOT NULL), l AS (SELECT metric, t, p, lag(t) OVER w AS t0, lag(p) OVER w AS p0 FROM s WINDOW w AS (PARTITION BY metric ORDER BY t, p))
