@@ -207,10 +207,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     held = sets.select(node.alias("node"), "rep", "n_shingles", "set_a", "bands")
     entries = held.select("node", F.explode("bands").alias("bucket"))
     # What is joined to a frequent bucket is written first: Spark then splits that bucket's rows over tasks.
-    # The pivot of a band is its least member: the same one in most bands that a group of copies shares.
-    full = materialize(entries.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).where("members > 1"), "full")
-    entries = materialize(entries.join(full, "bucket").select("node", "bucket", "pivot"), "entries")
-    tried = entries.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    full = materialize(entries.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "full")
+    entries = materialize(entries.join(full, "bucket"), "entries")
+    # The pivot of a band is the member that meets most others over all its bands: the same one in most bands of a group of near copies.
+    weights = entries.groupBy("node").agg(F.sum("members").alias("weight"))
+    pivots = materialize(entries.join(weights, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("pivot")), "pivots")
+    tried = entries.join(pivots, "bucket").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     met = entries.select("node").distinct()
     nodes = held.join(met, "node") if repeated else met.withColumn("rep", F.col("node")).withColumn("set_a", F.lit(0))
     texts = materialize(fine(texts_of(docs, nodes, repeated, shingle), shingle, bits), "texts")
