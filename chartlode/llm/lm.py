@@ -115,22 +115,23 @@ def step(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], tokens: np.ndarr
     h, c, m = hidden(w, near), tokens // MEMBERS, tokens % MEMBERS
     d = softmax(h @ w["wc"] + w["bc"])
     d[np.arange(n), c] -= 1
-    g = {"wc": h.T @ d / n, "bc": d.sum(axis=0) / n, "wm": np.zeros(SHAPES["wm"], np.float32), "bm": np.zeros(SHAPES["bm"], np.float32)}
+    g = {"wc": h.T @ d / n, "bc": d.sum(axis=0) / n}
     dh = d @ w["wc"].T
-    # Tokens stand by class, so a class is a slice.
-    ends = np.cumsum(np.bincount(c, minlength=CLASSES)).tolist()
-    own = [(k, slice(low, high)) for k, (low, high) in enumerate(zip([0, *ends], ends, strict=False)) if high > low]
-    d, more = np.empty((n, MEMBERS), np.float32), np.empty((n, HIDDEN), np.float32)
-    for k, at in own:
-        np.matmul(h[at], w["wm"][k], out=d[at])
-    d = softmax(d + w["bm"][c])
+    # Tokens stand by class; in a block of the size of the largest class for each, all classes are multiplied at once.
+    sizes = np.bincount(c, minlength=CLASSES)
+    width = int(sizes.max())
+    place = c * width + np.arange(n) - (np.cumsum(sizes) - sizes)[c]
+    wide_h, wide_d = np.zeros((CLASSES * width, HIDDEN), np.float32), np.zeros((CLASSES * width, MEMBERS), np.float32)
+    wide_h[place] = h
+    wide_h = wide_h.reshape(CLASSES, width, HIDDEN)
+    d = softmax((wide_h @ w["wm"]).reshape(-1, MEMBERS)[place] + w["bm"][c])
     d[np.arange(n), m] -= 1
     d /= n
-    g["bm"][[k for k, _ in own]] = np.add.reduceat(d, [at.start for _, at in own])
-    for k, at in own:
-        np.matmul(h[at].T, d[at], out=g["wm"][k])
-        np.matmul(d[at], w["wm"][k].T, out=more[at])
-    dh += n * more
+    wide_d[place] = d
+    wide_d = wide_d.reshape(CLASSES, width, MEMBERS)
+    g["bm"] = wide_d.sum(axis=1)
+    g["wm"] = wide_h.transpose(0, 2, 1) @ wide_d
+    dh += n * (wide_d @ w["wm"].transpose(0, 2, 1)).reshape(-1, HIDDEN)[place]
     dh *= (1 - h * h) / n
     g["b"] = dh.sum(axis=0)
     for name, x in g.items():
