@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -119,3 +120,41 @@ def answer_score(x: Column, forbidden: list[str]) -> Column:
 
     leaks = F.filter(F.split(x, "\n"), lambda s: F.lower(s).rlike("|".join(forbidden)) & ~F.lower(s).rlike("нет |не указан|отсутств|no |not "))
     return F.struct(F.size(evidence_ids(x)).alias("cited"), F.size(leaks).alias("leaks"))
+
+
+def verified_reports(assertions: DataFrame, records: DataFrame, scores: DataFrame) -> DataFrame:
+    """EVL-11. The reports of each patient's summary, by date and then id: patient, place, evidence_id, date and the record's other columns.
+
+    assertions: patient, evidence_id, date; records: evidence_id and more, one row for each id; scores: patient, passed. Nothing is
+    summed up from an audit that hasn't passed, or that has no score: the job fails and names the patient. A missing date
+    comes first, evidence without a record keeps its row."""
+    audited = assertions.join(scores.select("patient", "passed"), "patient", "left")
+    checked = audited.withColumn("patient", F.when(F.coalesce("passed", F.lit(False)), F.col("patient")).otherwise(F.raise_error(F.concat(F.lit("unverified audit of patient "), F.col("patient").cast("string"))).cast(assertions.schema["patient"].dataType)))
+    order = Window.partitionBy("patient").orderBy(F.asc_nulls_first("date"), F.asc_nulls_first("evidence_id"))
+    out = checked.drop("passed").join(records, "evidence_id", "left").withColumn("place", F.row_number().over(order))
+    return out.select("patient", "place", "evidence_id", "date", *[c for c in records.columns if c != "evidence_id"])
+
+
+# What a test's end is called in a log, and in the board.
+OUTCOMES = {"PASSED": "PASS", "FAILED": "FAIL", "ERROR": "FAIL", "SKIPPED": "SKIP"}
+
+
+def suite_board(lines: DataFrame, suite: str) -> DataFrame:
+    """MSC-08. Per model: tests, passed ones, pass rate, time for each passed test, score = pass rate / that time (0 without time).
+
+    lines: model, log, line_no, line of test logs. A test's line names suite::class::test with its outcome before or after;
+    `[SPEED] label: 1.5s` gives the time of the tests whose name holds the label or is held by it: the log's first such label,
+    with what it said last. A test without one took no time. A log has as many labels as its suite has tests."""
+    name, outcome = re.escape(suite) + r"::([^:\s]+)::(\S+)", f"({'|'.join(OUTCOMES)})"
+    pick = lambda g1, g2: F.coalesce(F.nullif(F.regexp_extract("line", rf"{outcome}\s.*?{name}", g1), F.lit("")), F.nullif(F.regexp_extract("line", rf"{name}\s+{outcome}", g2), F.lit("")))
+    names = F.create_map(*[F.lit(x) for pair in OUTCOMES.items() for x in pair])
+    tests = lines.select("model", "log", F.concat_ws("::", pick(2, 1), pick(3, 2)).alias("test"), names[pick(1, 3)].alias("status")).where("status is not null")
+    spoken = lines.select("model", "log", "line_no", F.regexp_extract("line", r"\[SPEED\]\s+(.+?):\s+([\d.]+)s", 1).alias("label"), F.regexp_extract("line", r"\[SPEED\]\s+(.+?):\s+([\d.]+)s", 2).try_cast("double").alias("seconds")).where("seconds is not null")
+    labels = spoken.groupBy("model", "log", F.trim("label").alias("label")).agg(F.min("line_no").alias("first"), F.max_by("seconds", "line_no").alias("seconds"))
+    speeds = labels.groupBy("model", "log").agg(F.sort_array(F.collect_list(F.struct("first", "label", "seconds"))).alias("speeds"))
+    low = F.lower("test")
+    near = F.filter(F.coalesce("speeds", F.array()), lambda s: F.contains(low, F.lower(s["label"])) | F.contains(F.lower(s["label"]), low))
+    timed = tests.join(speeds, ["model", "log"], "left").withColumn("seconds", F.coalesce(F.get(near, F.lit(0))["seconds"], F.lit(0.0)))
+    out = timed.groupBy("model").agg(F.count("*").alias("tests"), F.count_if(F.col("status") == "PASS").alias("passed"), F.sum("seconds").alias("seconds"))
+    rate, each = F.col("passed") / F.col("tests"), F.when(F.col("passed") > 0, F.col("seconds") / F.col("passed")).otherwise(0.0)
+    return out.select("model", "tests", "passed", F.round(rate, 6).alias("pass_rate"), F.round(each, 6).alias("seconds_each"), F.round(F.when(each > 0, rate / each).otherwise(0.0), 6).alias("score"))
