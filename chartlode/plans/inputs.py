@@ -71,10 +71,10 @@ def src_06(t: Tables) -> DataFrame:
     return readers.blood_pressure(payload)
 
 
-@query("SRC-07", "", "SELECT user_id, ts::DATE::TIMESTAMP AS taken_at, round((event_id % 90000 + 40000) / 1000, 2) AS value_num FROM events WHERE event_id % 10 <> 5")
+@query("SRC-07", "", "SELECT user_id, ts::DATE::TIMESTAMP AS taken_at, ((event_id % 90000 + 40005) // 10)::DOUBLE / 100 AS value_num FROM events")
 def src_07(t: Tables) -> DataFrame:
     w = F.struct(F.date_format("ts", "yyyy-MM-dd").alias("calendarDate"), (F.col("event_id") % 90_000 + 40_000).cast("double").alias("weight"))
-    return readers.weights(t.read("events").where("event_id % 10 <> 5").select("user_id", F.to_json(F.struct(F.array(w).alias("dateWeightList"))).alias("payload")))
+    return readers.weights(t.read("events").select("user_id", F.to_json(F.struct(F.array(w).alias("dateWeightList"))).alias("payload")))
 
 
 @query("SRC-08", "activities", "SELECT user_id, external_id, activity_type, date_trunc('second', started_at)::TIMESTAMP AS started_at, duration_s, distance_m, avg_hr, calories FROM activities")
@@ -83,12 +83,12 @@ def src_08(t: Tables) -> DataFrame:
     return readers.activity_rows(t.activities().groupBy("user_id").agg(F.to_json(F.collect_list(a)).alias("payload")))
 
 
-@query("SRC-09", "", "SELECT user_id, ts::DATE::TIMESTAMP AS taken_at, round((event_id % 90000 + 40000) / 1000, 2) AS value_num FROM events WHERE event_id % 4 > 0 AND event_id % 10 <> 5")
+@query("SRC-09", "", "SELECT user_id, ts::DATE::TIMESTAMP AS taken_at, ((event_id % 90000 + 40005) // 10)::DOUBLE / 100 AS value_num FROM events WHERE event_id % 4 > 0")
 def src_09(t: Tables) -> DataFrame:
     """A day that doesn't parse gives no rows and stops nothing."""
     w = F.struct(F.date_format("ts", "yyyy-MM-dd").alias("calendarDate"), (F.col("event_id") % 90_000 + 40_000).cast("double").alias("weight"))
     good = F.to_json(F.struct(F.array(w).alias("dateWeightList")))
-    return readers.weights(t.read("events").where("event_id % 10 <> 5").select("user_id", F.when(F.col("event_id") % 4 > 0, good).otherwise("{broken").alias("payload")))
+    return readers.weights(t.read("events").select("user_id", F.when(F.col("event_id") % 4 > 0, good).otherwise("{broken").alias("payload")))
 
 
 @query("SRC-11", "", "SELECT p_partkey::VARCHAR AS pmid, p_name AS title, 'AIM: ' || p_type || chr(10) || p_brand AS abstract, 'J' AS journal, (2000 + p_size)::VARCHAR AS year FROM part")

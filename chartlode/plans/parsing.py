@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartlode.operators import parse
+from chartlode.operators import panels, parse
 from chartlode.plans.scalars import FIND, VALUE_NUM, VALUE_TEXT
 from chartlode.plans.views import Register, Tables
 
@@ -100,13 +102,45 @@ def prs_16(t: Tables) -> DataFrame:
     return parse.breath_test(lines).select("doc_id", "line_no", "analyte_name", "value_num", "unit")
 
 
-@query("PRS-15", "", """WITH a AS (SELECT l_orderkey AS doc_id, count_if(l_linenumber <= 2) AS single, count_if(l_linenumber > 2) AS reading FROM lineitem GROUP BY 1)
-SELECT doc_id, (reading > single)::INT AS attempt, greatest(reading, single)::BIGINT AS n_rows FROM a""")
+#: A panel's text in single lines (with a colon, without one and with a lost decimal point, as blocks), and in reading order.
+SINGLE = r"""CASE p_partkey % 3 WHEN 0 THEN concat('  ', p_name, ': 10 ', p_size % 9, '.', p_partkey % 10, ' -0.', p_partkey % 7, ' (5-7%)', chr(10), p_brand, ': не выявлено')
+WHEN 1 THEN concat('Описание', chr(10), chr(10), p_name, ' 10 ', 40 + p_partkey % 10)
+ELSE concat('Название показателя: ', p_name, chr(10), 'Количественный результат: 10 ', p_size % 9, ',', p_partkey % 10, chr(10), 'Относительный Lg(X/CBMO): ', CASE WHEN p_partkey % 2 = 0 THEN '—' ELSE '+1.5 (9%)' END, chr(10), chr(10), 'Название показателя: ', p_brand, chr(10), 'Количественный результат: не выявлено') END"""
+READING = """concat(p_name, chr(10), '10 ', p_size % 9, '.', p_partkey % 10, chr(10), '10 100', chr(10), p_partkey, chr(10), CASE WHEN p_partkey % 4 < 2 THEN '' ELSE concat('-0.', p_partkey % 7, ' (68-91%)') END, chr(10), p_brand, chr(10), 'не выявлено', chr(10), p_type, chr(10), '10', chr(10), p_size % 9, ',', p_partkey % 10)"""
+SINGLE_ROWS = """SELECT p_partkey, p_name AS analyte_name, CASE p_partkey % 3 WHEN 1 THEN (40 + p_partkey % 10)::DOUBLE / 10 ELSE concat(p_size % 9, '.', p_partkey % 10)::DOUBLE END AS value_num, 'Lg' AS unit FROM part
+UNION ALL SELECT p_partkey, concat(p_name, ', относительный показатель'), CASE p_partkey % 3 WHEN 0 THEN concat('-0.', p_partkey % 7)::DOUBLE ELSE 1.5::DOUBLE END, 'Lg(X/СВМО)' FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 3 = 2 AND p_partkey % 2 = 1"""
+READING_ROWS = """SELECT p_partkey, unnest([p_name, p_type]) AS analyte_name, concat(p_size % 9, '.', p_partkey % 10)::DOUBLE AS value_num, 'Lg' AS unit FROM part
+UNION ALL SELECT p_partkey, concat(p_name, ', относительный показатель'), concat('-0.', p_partkey % 7)::DOUBLE, 'Lg(X/СВМО)' FROM part WHERE p_partkey % 4 >= 2"""
+
+
+def panel_rows(t: Tables, text: str, parsed: Callable[[Column], Column]) -> DataFrame:
+    texts = t.read("part").select("p_partkey", F.expr(text).alias("text"))
+    return texts.select("p_partkey", F.explode(parsed(F.col("text"))).alias("r")).select("p_partkey", "r.analyte_name", "r.value_num", "r.unit")
+
+
+@query("PRS-13", "", SINGLE_ROWS)
+def prs_13(t: Tables) -> DataFrame:
+    return panel_rows(t, SINGLE, panels.single_lines)
+
+
+@query("PRS-14", "", READING_ROWS)
+def prs_14(t: Tables) -> DataFrame:
+    return panel_rows(t, READING, panels.reading_order)
+
+
+@query("PRS-15", "", f"SELECT * FROM ({SINGLE_ROWS}) WHERE p_partkey % 5 < 3 UNION ALL SELECT * FROM ({READING_ROWS}) WHERE p_partkey % 5 >= 3")
 def prs_15(t: Tables) -> DataFrame:
-    """Attempt 0 is the form of single lines, 1 the one in reading order; equals go to the first."""
-    counts = t.read("lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count_if(F.col("l_linenumber") <= 2).alias("single"), F.count_if(F.col("l_linenumber") > 2).alias("reading"))
-    attempts = counts.select("doc_id", F.posexplode(F.array("single", "reading")).alias("attempt", "n_rows"))
-    return parse.best_attempt(attempts)
+    """Texts of both forms."""
+    return panel_rows(t, f"CASE WHEN p_partkey % 5 < 3 THEN {SINGLE} ELSE {READING} END", panels.panel)
+
+
+@query("PRS-18", "", """SELECT p_partkey AS page, CASE WHEN p_partkey % 2 = 1 AND k > 3 THEN k - 2 ELSE k - 1 END AS line_no, [concat('Показатель ', p_name, ' по: объем (RDW) 49.6 fL'), concat('Расчетная ширина ', p_size, '.00 % 11 - 14 эритроцитов, КВ (CV)'), concat(p_size, ' г/л'), concat('PDW ( ширина тромбоцитов ) ', p_partkey, ',4 фл'), concat(p_brand, ' 7')][k] AS line
+FROM part, unnest(range(1, 6)) AS u(k) WHERE k <> 3 OR p_partkey % 2 = 0""")
+def prs_18(t: Tables) -> DataFrame:
+    lines = ["concat('Показатель ', p_name, ' по:')", "'объем (RDW) 49.6 fL'", "'Расчетная ширина'", "concat(p_size, '.00 % 11 - 14')", "'эритроцитов, КВ'", "'(CV)'", "CASE WHEN p_partkey % 2 = 0 THEN '* * *' END", "CASE WHEN p_partkey % 2 = 0 THEN concat(p_size, ' г/л') END", "'PDW ( ширина'", "concat(p_partkey, ',4 фл')", "'тромбоцитов )'", "concat(p_brand, ' 7')"]
+    pages = t.read("part").select(F.col("p_partkey").alias("page"), panels.unwrap(F.expr(f"array({', '.join(lines)})")).alias("lines"))
+    whole = pages.select("page", F.filter("lines", lambda s: s != "* * *").alias("lines"))
+    return whole.select("page", F.posexplode("lines").alias("line_no", "line"))
 
 
 def unit_rows(t: Tables) -> DataFrame:

@@ -102,10 +102,12 @@ def sc_10():
     return [text.drug_head(F.concat(F.trim("name"), F.lit(" - "), "value")).alias("h")]
 
 
-@query("SC-11", "reports", "SELECT id, array_to_string(list_sort(list_distinct(list_transform(medications, lambda s: trim(split_part(split_part(s, ',', 1), '(', 1))))), '|') AS heads FROM reports WHERE trim(split_part(medications[1], ',', 1)) <> trim(split_part(medications[2], '(', 1)) AND trim(split_part(medications[1], ',', 1)) < 'drug 00'")
+HEAD = "trim(split_part(split_part(medications[{}], ',', 1), '(', 1))"
+
+
+@query("SC-11", "reports", f"SELECT id, CASE WHEN {HEAD.format(1)} = {HEAD.format(2)} THEN {HEAD.format(1)} ELSE concat({HEAD.format(1)}, '|', {HEAD.format(2)}) END AS heads FROM reports")
 def sc_11(t: Tables) -> DataFrame:
-    heads = text.medication_heads(c("medications"))
-    return t.reports().select("id", F.array_join(F.sort_array(heads), "|").alias("heads")).where((F.size(heads) == 2) & (F.get(heads, F.lit(0)) < "drug 00"))
+    return t.reports().select("id", F.array_join(text.medication_heads(c("medications")), "|").alias("heads"))
 
 
 @applied("SC-12", r"regexp_matches(lower(name), '(^|[^a-zа-яё0-9_])(елка|ёлка|ring|общ)') AS hit")

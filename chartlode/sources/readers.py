@@ -73,7 +73,7 @@ def blood_pressure(payloads: DataFrame, column: str = "payload") -> DataFrame:
 
 
 def weights(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """SRC-07. Grams as kilograms."""
+    """SRC-07. Grams as kilograms, to ten grams, five of them up."""
     rows = payloads.select("user_id", F.explode(F.from_json(column, "struct<dateWeightList:array<struct<calendarDate:string,weight:double>>>")["dateWeightList"]).alias("w"))
     return rows.select("user_id", F.try_to_timestamp("w.calendarDate", F.lit("yyyy-MM-dd")).cast("timestamp_ntz").alias("taken_at"), F.round(F.col("w.weight") / 1000, 2).alias("value_num")).where("value_num is not null")
 

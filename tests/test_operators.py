@@ -2,9 +2,10 @@
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from chartlode.functions import dates
-from chartlode.operators import aggregates, ordered, parse, scoring
+from chartlode.operators import aggregates, ordered, panels, parse, scoring
 
 
 def test_answers_of_one_id_keep_their_own_rows(spark):
@@ -96,3 +97,49 @@ def test_every_word_of_a_visit_marks_its_date(spark):
     notes = [f"Дата рождения 01.02.1980. Дата {w}: 5.3.21" for w in shown] + [f"{w} 5/3/2021" for w in ("Исследование", "прием от", "осмотр от", "приём")]
     df = spark.createDataFrame([(n,) for n in notes], "note string")
     assert {r.d for r in df.select(dates.visit_date(df["note"]).alias("d")).collect()} == {datetime.date(2021, 3, 5)}
+
+
+@pytest.mark.parametrize(
+    ("lines", "want"),
+    [
+        (["Ср. содержание в эритроците", "(MCH) 30.3 pg 27 - 34"], ["Ср. содержание в эритроците (MCH) 30.3 pg 27 - 34"]),
+        (["Ширина распределения по", "Объему (RDW) 49.6"], ["Ширина распределения по Объему (RDW) 49.6"]),
+        (["PDW ( ширина", "13.40 фл", "тромбоцитов )", "MCV 90"], ["PDW ( ширина тромбоцитов ) 13.40 фл", "MCV 90"]),
+        (["12 g", "объем 3", "", "MCV", "-4,5"], ["12 g", "объем 3", "MCV -4,5"]),
+        (["PDW ( a", "1", "2", "b", "Next"], ["PDW ( a b", "1", "2", "Next"]),
+        ([], []),
+    ],
+)
+def test_wrapped_names_are_joined(lines, want):
+    assert panels.unwrapped(lines) == want
+
+
+def test_panels_of_any_text(spark):
+    texts = {1: None, 2: "", 3: "A: 10 4.7 -0,1 (5%)\nB: не выявлено\nC 10 1047", 4: "A\n10\n5.7\n-0.1 (5%)\nB\n10 48\n10 9", 5: "показатель без полей\nA: 10 3", 6: "проза, 2016 г.\n10 5", 7: ":10 5", 8: "A 10 5\n\nB\n10 6"}
+    rows = spark.createDataFrame(list(texts.items()), "id int, text string").select("id", "text", panels.panel(F.col("text")).alias("r")).collect()
+    got = {r.id: [(x.analyte_name, x.value_num) for x in r.r] for r in rows}
+    share = ", относительный показатель"
+    assert got == {1: [], 2: [], 3: [("A", 4.7), ("A" + share, -0.1), ("C", 10.47)], 4: [("A", 5.7), ("A" + share, -0.1), ("B", 4.8)], 5: [("A", 3.0)], 6: [("проза, 2016 г.", 5.0)], 7: [], 8: [("A", 5.0)]}
+
+
+@pytest.mark.parametrize(
+    ("torn", "want"),
+    [
+        ('{"a": [1, 2', {"a": [1, 2]}),
+        ('{"a": "x\\', {"a": "x"}),
+        ('{"a": "x\\u04', {"a": "x"}),
+        ('[{"a": 12.', [{"a": 12}]),
+        ('{"a": 1, "b', {"a": 1}),
+        ('{"a": 1, "b": tru', {"a": 1}),
+        ('{"a": 1, "b" 2, "c": 3}', {"a": 1}),
+        ('{"a": , "b": 1}', {}),
+        ("[1] tail", [1]),
+        ("", None),
+    ],
+)
+def test_torn_json(torn, want):
+    assert parse.repaired(torn) == want
+
+
+def test_torn_json_takes_time_in_proportion():
+    assert len(parse.repaired('[' + '{"a": "b", "c": [1, 2, {"d": null}]}, ' * 50_000 + '{"a": tr')) == 50_001
