@@ -157,15 +157,16 @@ def tokens_of(batch: pa.RecordBatch, ids: Cached) -> list[np.ndarray]:
     return out
 
 
-def tokenized(docs: DataFrame) -> DataFrame:
-    """Tokens of each text as 16-bit numbers, written once for all rounds."""
+def tokenized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, and the tokens of each text as 16-bit numbers (none for a null text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Cached(token)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([t.astype(np.uint16).tobytes() for t in tokens_of(batch, ids)], pa.binary())], ["tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t.astype(np.uint16).tobytes() for t in tokens_of(batch, ids)], pa.binary())], ["doc_id", "tokens"])
 
-    return materialize(docs.mapInArrow(run, "tokens binary"), "tokens")
+    docs = docs_of(df, id_col, text_col)
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tokens binary")
 
 
 def texts_of(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -241,34 +242,34 @@ def train_round(docs: DataFrame, weights: np.ndarray, shift: int, stride: int, b
     return np.frombuffer(last[0]["w"], np.float16).astype(np.float32) if last else weights
 
 
-def train(df: DataFrame, text_col: str = "text", *, rounds: int = 2, stride: int = 2, batch_size: int = 512, rate: float = 0.05) -> np.ndarray:
-    """Weights from all documents: gradients from every stride-th token of every document, other ones each round.
+def train_tokens(tokens: DataFrame, *, rounds: int = 2, stride: int = 2, batch_size: int = 512, rate: float = 0.05) -> np.ndarray:
+    """Weights from all documents, tokenized(): gradients from every stride-th token of every document, other ones each round.
 
-    So stride rounds take every token as a target once; fewer would leave some out and are an error. No rounds give the first
-    weights. The biases start from the frequencies of the tokens of all documents."""
+    tokens is read once for each round and once before, so it should be written first. So stride rounds take every token as a
+    target once; fewer would leave some out and are an error. No rounds give the first weights. The biases start from the
+    frequencies of the tokens of all documents."""
     if 0 < rounds < stride:
         raise ValueError("fewer rounds than the stride leave tokens out")
     weights = start()
     if not rounds:
         return weights
-    tokens = tokenized(df.select(F.col(text_col).cast("string").alias("text")))
-    set_biases(unpack(weights), frequencies(tokens))
+    own = tokens.select("tokens")
+    set_biases(unpack(weights), frequencies(own))
     for k in range(rounds):
-        weights = train_round(tokens, weights, k % stride, stride, batch_size, rate)
+        weights = train_round(own, weights, k % stride, stride, batch_size, rate)
     return weights
 
 
-def score(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, pseudo_log_likelihood (the sum over all tokens), mean_log_p (null without tokens) of each row.
+def score_tokens(tokens: DataFrame, weights: np.ndarray) -> DataFrame:
+    """doc_id, n_tokens, pseudo_log_likelihood (the sum over all tokens), mean_log_p (null without tokens) of each row of tokenized().
 
-    A null or empty text has no tokens and the sum 0. Repeated rows each get a row; other columns of df are not read; an empty
-    table gives an empty one."""
-    shared = df.sparkSession.sparkContext.broadcast(weights)
+    A null or empty text has no tokens and the sum 0. Repeated rows each get a row; an empty table gives an empty one."""
+    shared = tokens.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, ids = unpack(shared.value), Cached(token)
+        w = unpack(shared.value)
         for batch in slices(batches, 128):
-            texts = tokens_of(batch, ids)
+            texts = [np.frombuffer(t or b"", np.uint16).astype(np.int32) for t in as_bytes(batch, "tokens")]
             sizes = np.array([len(t) for t in texts], np.int64)
             sums = np.zeros(len(texts))
             if sizes.any():
@@ -276,5 +277,14 @@ def score(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
             mean = [s / n if n else None for s, n in zip(sums.tolist(), sizes.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(sums), pa.array(mean, pa.float64())], ["doc_id", "n_tokens", "pseudo_log_likelihood", "mean_log_p"])
 
-    docs = docs_of(df, id_col, text_col)
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, pseudo_log_likelihood double, mean_log_p double")
+    return tokens.select("doc_id", "tokens").mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, n_tokens long, pseudo_log_likelihood double, mean_log_p double")
+
+
+def train(df: DataFrame, text_col: str = "text", **how) -> np.ndarray:
+    """train_tokens() of the texts of df, whose tokens are written once."""
+    return train_tokens(materialize(tokenized(df.select(F.col(text_col).alias("text"), F.lit(0).alias("doc_id")), "doc_id", "text"), "tokens"), **how)
+
+
+def score(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """score_tokens() of the texts of df; other columns of df are not read."""
+    return score_tokens(tokenized(df, id_col, text_col), weights)

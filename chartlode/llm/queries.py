@@ -40,7 +40,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return lm.score(documents, lm.train(documents))
+    tokens = common.materialize(lm.tokenized(documents), "tokens")
+    return lm.score_tokens(tokens, lm.train_tokens(tokens))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

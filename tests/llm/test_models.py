@@ -276,6 +276,31 @@ def test_registered_training_predicts_each_place_of_a_text(spark):
     assert np.mean(list(scored.values())) > (n / n.sum() * np.log(n / n.sum())).sum()
 
 
+def test_scores_equal_a_plain_version_of_the_network(spark):
+    import math
+
+    text = "a b c a d b a"
+    df = spark.createDataFrame([(1, text), (2, "a"), (2, None), (3, "")], "doc_id int, text string")
+    rng = np.random.default_rng(5)
+    flat = rng.normal(0, 0.5, lm.SIZE).astype(np.float32)
+    w = lm.unpack(flat)
+    got = sorted(((r.doc_id, r.n_tokens, r.pseudo_log_likelihood) for r in lm.score(df, flat).collect()))
+
+    def plain(words):
+        ids, total = [lm.token(x.encode()) for x in words], 0.0
+        for k, t in enumerate(ids):
+            near = [ids[k + o] if 0 <= k + o < len(ids) else lm.EDGE for o in lm.OFFSETS]
+            h = [math.tanh(float(w["b"][j]) + sum(float(w["e"][i][v][j]) for i, v in enumerate(near))) for j in range(lm.HIDDEN)]
+            c, m = divmod(t, lm.MEMBERS)
+            for x, bias, at in ((w["wc"], w["bc"], c), (w["wm"][c], w["bm"][c], m)):
+                z = [sum(h[j] * float(x[j][q]) for j in range(lm.HIDDEN)) + float(bias[q]) for q in range(len(bias))]
+                total += z[at] - math.log(sum(map(math.exp, z)))
+        return total
+
+    assert [x[:2] for x in got] == [(1, 7), (2, 0), (2, 1), (3, 0)]
+    assert [x[2] for x in got] == pytest.approx([plain(text.split()), 0, plain(["a"]), 0], abs=1e-3)
+
+
 def test_token_probabilities_are_a_distribution_and_steps_go_downhill():
     rng = np.random.default_rng(0)
     w = lm.unpack(lm.start())
