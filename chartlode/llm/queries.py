@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartlode.llm import common, decontam, html_extract, langid, lm, minhash, packing, quality_classifier, quality_rules, toxicity, warc
+from chartlode.llm import common, decontam, html_extract, langid, lm, merkle, minhash, packing, periodic, quality_classifier, quality_rules, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,43 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering deletes the line ends of every other document's text."""
+    documents = table(spark, sf_dir, "documents")
+    cut = F.when(common.crc_mod("doc_id", 2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    altered = merkle.leaf_hash(*[F.col(c) for c in merkle.FIELDS if c != "text"], cut)
+    found = merkle.manifest(documents, carry={"altered": altered}).withColumn("folded_root", merkle.folded(F.col("altered"), F.col("proof")))
+    proof = F.sha2(merkle.siblings(F.col("proof")), 256)
+    return found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def with_planted_runs(documents: DataFrame) -> DataFrame:
+    """doc_id and text, where every tenth document (by the crc32 of its id) goes on periodically from some word on."""
+    words, h = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1), F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    df = documents.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("ws"))
+    df = df.withColumn("n", F.size("ws")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    df = df.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    source = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    planted = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("ws", source(i).cast("int"))), " ")
+    return df.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    runs = F.col("runs")
+    better = lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best)
+    best = F.aggregate(runs, F.get(runs, F.lit(0)), better)
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 OP2_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS h, min(page_id) OVER (PARTITION BY payload) AS first_id FROM p)
@@ -104,6 +141,40 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce('g' || source, '') AS grp, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n,
+    list_reduce(flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda j: [ascii(substr(doc_id::VARCHAR, j, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+      lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1)), 4294967295) AS c,
+    coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head,
+    text, replace(text, chr(10), '') AS cut FROM documents),
+leaves AS (SELECT doc_id, grp, i, n, c, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+  sha256(head || coalesce(octet_length(encode(cut)) || ':' || cut, '-')) AS other FROM t),
+up AS (
+  SELECT grp, 0::BIGINT AS k, i, n, leaf AS node FROM leaves
+  UNION ALL
+  SELECT grp, k + 1, i // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY grp, k, i // 3, n),
+subs AS (SELECT grp, k AS depth, node AS subroot, row_number() OVER (ORDER BY grp) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (
+  SELECT 0::BIGINT AS k, i, n, subroot AS node FROM subs
+  UNION ALL
+  SELECT k + 1, i // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY k, i // 3, n),
+steps AS (
+  SELECT doc_id, u.k, string_agg(u.node, '' ORDER BY u.i) FILTER (u.i < l.i // (3 ** u.k)::BIGINT) AS b, string_agg(u.node, '' ORDER BY u.i) FILTER (u.i > l.i // (3 ** u.k)::BIGINT) AS a
+  FROM leaves l JOIN up u ON u.grp = l.grp AND u.n > 1 AND u.i // 3 = l.i // (3 ** (u.k + 1))::BIGINT GROUP BY doc_id, u.k
+  UNION ALL
+  SELECT doc_id, s.depth + u.k, string_agg(u.node, '' ORDER BY u.i) FILTER (u.i < s.i // (3 ** u.k)::BIGINT), string_agg(u.node, '' ORDER BY u.i) FILTER (u.i > s.i // (3 ** u.k)::BIGINT)
+  FROM leaves l JOIN subs s ON s.grp = l.grp JOIN top u ON u.n > 1 AND u.i // 3 = s.i // (3 ** (u.k + 1))::BIGINT GROUP BY doc_id, s.depth, u.k),
+fold AS (
+  SELECT doc_id, 0::BIGINT AS k, CASE WHEN xor(c, 4294967295) % 2 = 0 THEN other ELSE leaf END AS node FROM leaves
+  UNION ALL
+  SELECT f.doc_id, f.k + 1, sha256(coalesce(b, '') || node || coalesce(a, '')) FROM fold f JOIN steps s ON s.doc_id = f.doc_id AND s.k = f.k),
+ends AS (SELECT doc_id, arg_max(node, k) AS folded_root FROM fold GROUP BY doc_id),
+proofs AS (SELECT doc_id, string_agg(coalesce(b, '') || coalesce(a, ''), '' ORDER BY k) AS proof FROM steps GROUP BY doc_id)
+SELECT doc_id, leaf, subroot, (SELECT node FROM top WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = (SELECT node FROM top WHERE n = 1) AS verified
+FROM leaves JOIN subs USING (grp) JOIN ends USING (doc_id) LEFT JOIN proofs USING (doc_id)
+"""
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_warc": op2_warc,
@@ -115,6 +186,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_extraction": op10_html_extraction,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_counts": op13_token_counts,
 }
 
-ORACLES = {"op2_warc": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_decontamination": OP5_SQL}
+ORACLES = {"op2_warc": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_decontamination": OP5_SQL, "op11_merkle_manifest": OP11_SQL}
