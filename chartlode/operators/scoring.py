@@ -8,34 +8,47 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chartlode.functions.lab import near
-from chartlode.operators.fuzzy import token_set_likeness
+from chartlode.functions.text import canonical_unit
+from chartlode.operators.fuzzy import name_likeness, token_set_likeness
 
 
-def greedy_values(expected: pd.DataFrame, actual: pd.DataFrame) -> pd.DataFrame:
-    """JOIN-09 for one document: each expected row, in order, takes the free actual row of its value rounded to 2 with the best name."""
-    free = list(actual.itertuples())
-    out = []
-    for e in expected.sort_values("ordinal").itertuples():
-        same = [a for a in free if pd.notna(e.value) and pd.notna(a.value) and abs(e.value - a.value) < 0.005]
-        best = max(same, key=lambda a: (len(set(e.name.lower().split()) & set(a.name.lower().split())), -a.ordinal), default=None)
+@F.pandas_udf(T.StringType())
+def value_key(value: pd.Series, text: pd.Series) -> pd.Series:
+    """What two rows must share to be one: the number rounded to 2 (half to even, as the double stands), else the text in lower case without needless space."""
+    return pd.Series([f"t{' '.join(t.lower().split())}" if pd.isna(v) else f"n{round(v, 2) + 0.0}" for v, t in zip(value, text.fillna(""), strict=True)], dtype=object)
+
+
+def greedy(expected: list, actual: list) -> Iterator[tuple[int, int | None]]:
+    """JOIN-09 for the rows of one document and value, (ordinal, name) each: an expected row, in order, takes the free actual row with the best name, the first of equals."""
+    free = sorted(actual, key=lambda a: a["ordinal"])
+    for e in sorted(expected, key=lambda e: e["ordinal"]):
+        best = max(free, key=lambda a: name_likeness(e["name"] or "", a["name"] or "?"), default=None)
         if best is not None:
             free.remove(best)
-        out.append((e.ordinal, None if best is None else best.ordinal))
-    return pd.DataFrame(out, columns=["expected", "actual"])
+        yield e["ordinal"], None if best is None else best["ordinal"]
 
 
 def match_values(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """JOIN-09. doc, expected, actual (null: missing). Both sides: doc, ordinal, name, value. A document's rows are one form's: some dozen, so a group is small."""
+    """JOIN-09. doc, expected, actual (null: missing) for each expected row that has a value or a text. Both sides: doc, ordinal, name, value, text.
+
+    Rows with a number only meet numbers that are equal when rounded, others only texts; so the rows of a document (one form) with
+    one value are a group of their own, and what it takes no other wants. A group is one row here, and a batch has many."""
 
-    def run(key, e: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        out = greedy_values(e, a)
-        out.insert(0, "doc", key[0])
-        return out.astype({"expected": "Int64", "actual": "Int64"})
+    def side(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(*[F.col(c).alias(c) for c in ("doc", "ordinal", "name")], value_key("value", "text").alias("key"))
+        return rows.groupBy("doc", "key").agg(F.collect_list(F.struct("ordinal", "name")).alias(name))
 
-    actual = actual.select(*[F.col(c).alias(c) for c in actual.columns])  # apart from expected, should both come from one table
-    return expected.groupBy("doc").cogroup(actual.groupBy("doc")).applyInPandas(run, "doc long, expected long, actual long")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = [(doc, *pair) for doc, e, a in zip(f["doc"], f["wanted"], f["there"], strict=True) for pair in greedy(list(e), [] if a is None else list(a))]
+            yield pd.DataFrame(out, columns=["doc", "expected", "actual"]).astype({"expected": "Int64", "actual": "Int64"})
+
+    wanted = side(expected.where(F.col("value").isNotNull() | F.col("text").isNotNull()), "wanted")
+    groups = wanted.join(side(actual, "there"), ["doc", "key"], "left").select("doc", "wanted", "there")
+    return groups.mapInPandas(run, f"doc {groups.schema['doc'].dataType.simpleString()}, expected long, actual long")
 
 
 def match_lists(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -57,12 +70,27 @@ def match_lists(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("id", "expected", "actual").mapInPandas(run, "id long, n_expected int, n_found int")
 
 
+def mismatches(matches: DataFrame, expected: DataFrame, actual: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """EVL-01. doc, expected, field, want, have for each unit or bound of a match that differs. Both sides: doc, ordinal, unit, ref_low, ref_high.
+
+    Units differ if neither their canonical forms nor they themselves agree, bounds by more than tolerance; what one side doesn't have can't differ."""
+    side = lambda df, key: df.select(F.col("doc").alias("doc"), F.col("ordinal").alias(key), F.struct("unit", "ref_low", "ref_high").alias(f"{key}_row"))
+    both = matches.where("actual is not null").join(side(expected, "expected"), ["doc", "expected"]).join(side(actual, "actual"), ["doc", "actual"])
+    want, have = F.col("expected_row"), F.col("actual_row")
+    given = (F.coalesce(want["unit"], F.lit("")) != "") & (F.coalesce(have["unit"], F.lit("")) != "")
+    units = given & ~F.coalesce(canonical_unit(want["unit"]) == canonical_unit(have["unit"]), F.lit(False)) & (F.trim(want["unit"]) != have["unit"])
+    fields = [F.when(units, F.struct(F.lit("unit").alias("field"), want["unit"].alias("want"), have["unit"].alias("have")))]
+    for c in ("ref_low", "ref_high"):
+        fields.append(F.when(F.abs(want[c] - have[c]) > tolerance, F.struct(F.lit(c).alias("field"), want[c].cast("string").alias("want"), have[c].cast("string").alias("have"))))
+    return both.select("doc", "expected", F.explode(F.array_compact(F.array(*fields))).alias("m")).select("doc", "expected", "m.*")
+
+
 def precision_recall(matches: DataFrame, actual: DataFrame) -> DataFrame:
-    """EVL-01. Per document: matched, missing, extra, precision and recall."""
-    m = matches.groupBy("doc").agg(F.count("actual").alias("matched"), F.count_if(F.col("actual").isNull() & F.col("expected").isNotNull()).alias("missing"))
+    """EVL-01. Per document: matched, missing, extra, precision and recall, which are 0 where there is nothing to share."""
+    m = matches.groupBy("doc").agg(F.count("actual").alias("matched"), F.count_if(F.col("actual").isNull()).alias("missing"))
     n = actual.groupBy("doc").agg(F.count("*").alias("n"))
     both = m.join(n, "doc", "full").na.fill(0)
-    share = lambda a, b: F.when(b == 0, 1.0).otherwise(F.round(a / b, 6))
+    share = lambda a, b: F.when(b == 0, 0.0).otherwise(F.round(a / b, 6))
     return both.select("doc", "matched", "missing", (F.col("n") - F.col("matched")).alias("extra"), share(F.col("matched"), F.col("n")).alias("precision"), share(F.col("matched"), F.col("matched") + F.col("missing")).alias("recall"))
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chartlode.operators import storage
 from chartlode.plans.views import Register, Tables
 from chartlode.sources import readers
 from chartlode.streaming import streams
@@ -16,10 +15,7 @@ query = Register()
 
 def scratch(t: Tables, name: str) -> str:
     """A new folder that driver and executors see."""
-    import tempfile
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chartlode-")
-    return f"{base.rstrip('/')}/chartlode/{name}-{uuid.uuid4().hex}"
+    return storage.shared_path(t.spark, name)
 
 
 @query("SRC-01", "", "SELECT p_partkey, p_name FROM part")

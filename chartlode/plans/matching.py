@@ -56,7 +56,21 @@ def fuz_04(t: Tables) -> DataFrame:
     return fuzzy.match(asked, fuzzy.key_index(registry(t), normalize_name), max_edit_ratio=0.35, ratio_floor=0, short=3).select("query", "status", "key", "distance")
 
 
-@query("FUZ-05")
+def likeness_sql(a: str, b: str) -> str:
+    """FUZ-06 for DuckDB: the common subsequence of texts of up to 60 letters, a bit for each letter of a."""
+    masks = f"list_transform(string_split({b}, ''), lambda y: coalesce(list_sum(list_transform(range(0, length({a})), lambda i: CASE WHEN substr({a}, i::INT + 1, 1) = y THEN (1::BIGINT << i::INT) ELSE 0 END)), 0)::BIGINT)"
+    every = f"((1::BIGINT << length({a})::INT) - 1)"
+    return f"200.0 * (length({a}) - bit_count(list_reduce({masks}, lambda v, m: ((v + (v & m)) | (v - (v & m))) & {every}, {every}))) / (length({a}) + length({b}))"
+
+
+def floored_sql(kind: str, cap: float, floor: int, short: int) -> str:
+    """FUZ-05 for DuckDB, all pairs."""
+    return f"""SELECT query, CASE WHEN l >= {floor} THEN 'matched' ELSE 'unverified' END AS status, CASE WHEN l >= {floor} THEN key END AS key, CASE WHEN l >= {floor} THEN record END AS record, distance::INT AS distance, coalesce(l, 0)::DOUBLE AS ratio, '{kind}' AS kind
+FROM q LEFT JOIN (SELECT query, name AS key, ordinal AS record, d AS distance, {likeness_sql("query", "name")} AS l FROM (SELECT query, name, ordinal, damerau_levenshtein(query, name) AS d FROM q, r)
+WHERE d <= greatest(1, floor(length(query) * {cap})) AND length(query) > {short} OR d = 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY d, ordinal) = 1) USING (query)"""
+
+
+@query("FUZ-05", "", f"WITH r AS ({NAMES}), q AS (SELECT DISTINCT lower(raw) AS query FROM ({TYPOS})) {floored_sql('analyte', 0.35, 75, 3)} UNION ALL {floored_sql('drug', 0.40, 70, 0)}")
 def fuz_05(t: Tables) -> DataFrame:
     """Both thresholds, with the ratio floor."""
     index = fuzzy.key_index(registry(t), normalize_name)
@@ -81,7 +95,7 @@ def fuz_08(t: Tables) -> DataFrame:
     return fuzzy.match_panel(typos(t).select(F.col("raw").alias("query")), fuzzy.key_index(registry(t), normalize_name))
 
 
-@query("FUZ-06")
+@query("FUZ-06", "", f"SELECT id, ({likeness_sql('lower(raw)', 'p_name')})::DOUBLE AS ratio FROM ({TYPOS}) JOIN part ON p_partkey = id")
 def fuz_06(t: Tables) -> DataFrame:
     pairs = typos(t).join(t.read("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "id")
     return pairs.select("id", fuzzy.likeness_udf(F.lower("raw"), "name").alias("ratio"))

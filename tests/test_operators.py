@@ -143,3 +143,102 @@ def test_torn_json(torn, want):
 
 def test_torn_json_takes_time_in_proportion():
     assert len(parse.repaired('[' + '{"a": "b", "c": [1, 2, {"d": null}]}, ' * 50_000 + '{"a": tr')) == 50_001
+
+
+def plain_greedy(expected, actual):
+    """The rule as it is told: expected rows in order, among free rows of the same number rounded to 2 or the same text, the best name."""
+    from chartlode.operators.fuzzy import name_likeness
+
+    text = lambda s: " ".join((s or "").lower().split())
+    free, out = list(actual), []
+    for o, name, value, said in expected:
+        if value is None and said is None:
+            continue
+        same = [a for a in free if (a[2] is not None and round(a[2], 2) == round(value, 2) if value is not None else a[2] is None and text(a[3]) == text(said))]
+        best = max(same, key=lambda a: name_likeness(name, a[1]), default=None)
+        if best:
+            free.remove(best)
+        out.append((o, best and best[0]))
+    return out
+
+
+def test_greedy_matches_follow_the_rule(spark):
+    import random
+
+    rng = random.Random(6)
+    names = ["iron serum", "Iron", "ё ж", "е ж", "СИБР 20 минут h2", "СИБР h2 20 минут", "сибр 40 минут ch4", "total protein", ""]
+    values = [1.004, 1.006, 1.0049, 0.9951, 2.675, 2.665, 2.67, -0.001, 0.0, None]
+    row = lambda k: (k, rng.choice(names), (v := rng.choice(values)), None if v is not None or rng.random() < 0.3 else rng.choice(["Not  found", "not found ", ""]))
+    docs = {d: ([row(k) for k in range(rng.randint(0, 12))], [row(k) for k in range(rng.randint(0, 12))]) for d in range(40)}
+    kind = "doc long, ordinal long, name string, value double, text string"
+    table = lambda side: spark.createDataFrame([(d, *r) for d, both in docs.items() for r in both[side]], kind)
+    got = scoring.match_values(table(0), table(1))
+    assert sorted((r.doc, r.expected, r.actual if r.actual is not None else -1) for r in got.collect()) == sorted((d, o, -1 if a is None else a) for d, both in docs.items() for o, a in plain_greedy(*both))
+    scores = {r.doc: (r.matched, r.missing, r.extra, r.precision, r.recall) for r in scoring.precision_recall(got, table(1)).collect()}
+    for d, (e, a) in docs.items():
+        m = plain_greedy(e, a)
+        n = sum(x is not None for _, x in m)
+        assert scores.get(d, (0, 0, 0, 0.0, 0.0)) == (n, len(m) - n, len(a) - n, round(n / len(a), 6) if a else 0.0, round(n / len(m), 6) if m else 0.0)
+
+
+def test_mismatches_of_units_and_bounds(spark):
+    kind = "doc long, ordinal long, unit string, ref_low double, ref_high double"
+    want = spark.createDataFrame([(1, 1, "г/л", 1.0, 2.0), (1, 2, "г/л", 1.0, None), (1, 3, None, 5.0, 6.0), (1, 4, "10^9/л", 1.0, 1.0)], kind)
+    have = spark.createDataFrame([(1, 7, "G/L", 1.005, 2.5), (1, 8, "мг/л", None, 3.0), (1, 9, "x", 5.0, 6.0), (1, 10, "10⁹/л", 1.0, 1.0)], kind)
+    pairs = spark.createDataFrame([(1, 1, 7), (1, 2, 8), (1, 3, 9), (1, 4, 10), (1, 5, None)], "doc long, expected long, actual long")
+    got = sorted((r.expected, r.field, r.want, r.have) for r in scoring.mismatches(pairs, want, have).collect())
+    assert [g for g in got if g[1] != "unit"] == [(1, "ref_high", "2.0", "2.5")]
+    assert (2, "unit", "г/л", "мг/л") in got
+    assert not [g for g in got if g[0] == 4]
+
+
+def test_closest_names_equal_all_pairs(spark):
+    import random
+
+    from chartlode.operators import fuzzy
+
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choice("abcd ") for _ in range(n)).strip() or "a"
+    keys = list(dict.fromkeys(make(rng.choice([1, 2, 3, 5, 8, 13, 20, 39, 41, 43, 60])) for _ in range(150)))
+
+    def worn(s):
+        s = list(s)
+        for _ in range(rng.randint(1, 6)):
+            i, kind = rng.randrange(len(s) + 1), rng.randrange(4)
+            if kind == 0:
+                s.insert(i, rng.choice("abcdx"))
+            elif i < len(s) and kind == 1:
+                del s[i]
+            elif i < len(s) and kind == 2:
+                s[i] = "y"
+            elif i + 1 < len(s):
+                s[i], s[i + 1] = s[i + 1], s[i]
+        return "".join(s)
+
+    asked = list(dict.fromkeys(["", *[worn(k) for k in keys], *[make(9) for _ in range(20)], *keys[:5]]))
+    index = fuzzy.key_index(spark.createDataFrame(list(enumerate(keys)), "ordinal long, name string"), lambda c: c)
+    found = fuzzy.match(spark.createDataFrame([(a,) for a in asked], "query string"), index, max_edit_ratio=0.35, ratio_floor=0).collect()
+    for r in found:
+        cap = max(1, int(len(r.query) * 0.35))
+        best = min(((d, o, k) for o, k in enumerate(keys) if (d := fuzzy.damerau(r.query, k)) <= cap), default=(None, None, None)) if r.query else (None,) * 3
+        assert (r.distance, r.record, r.key) == best, r
+    assert len(found) == len(asked)
+
+
+def test_panels_by_synonyms_first(spark):
+    from chartlode.operators import fuzzy
+
+    index = fuzzy.key_index(spark.createDataFrame([(1, "blood count"), (2, "lipids")], "ordinal long, name string"), lambda c: c)
+    synonyms = spark.createDataFrame([("CBC ", "blood count"), ("lipids", "lipid panel")], "synonym string, key string")
+    asked = spark.createDataFrame([("cbc",), ("Lipids",), ("blood cuont",), ("zzzzzzzzzzzzzz",)], "query string")
+    got = {r.query: r.key for r in fuzzy.match_panel(asked, index, synonyms=synonyms).collect()}
+    assert got == {"cbc": "blood count", "lipids": "lipid panel", "blood cuont": "blood count", "zzzzzzzzzzzzzz": None}
+
+
+def test_names_score_alike_in_both_forms(spark):
+    from chartlode.operators.fuzzy import name_likeness, name_score
+
+    names = ["Ёж  белый", "еж", "", " ", "СИБР 20 минут H2", "h2 20", "сибр 120 минут h2+2ch4", "20 минут", "сибр", "b a a"]
+    rows = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    for r in rows.withColumn("s", name_score(F.col("a"), F.col("b"))).collect():
+        assert r.s == name_likeness(r.a, r.b), r
