@@ -3,53 +3,78 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def nearest(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "embedding", max_queries: int = 10_000) -> DataFrame:
+#: Rows of a cell at most, on either side; vectors that are multiplied at once.
+QUERIES, CHUNKS, BLOCK = 32_768, 65_536, 2048
+
+
+def best_of(names: np.ndarray, asked: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance) of the k nearest vectors to each row of asked, ties by id.
+
+    One matrix product a block gives all squared distances, but for rounding. What may be among the k best by them is measured
+    again, difference by difference, so the answer is that of plain distances."""
+    q_norm = (asked**2).sum(axis=1)
+    rows, found_ids, found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    worst = np.full(len(asked), np.inf)
+    for low in range(0, len(ids), BLOCK):
+        x, own = vectors[low : low + BLOCK], ids[low : low + BLOCK]
+        x_norm = (x**2).sum(axis=1)
+        new_rows, new_at = [], []
+        for top in range(0, len(asked), BLOCK):
+            part = asked[top : top + BLOCK]
+            d = q_norm[top : top + BLOCK, None] + x_norm - 2 * (part @ x.T)
+            slack = 1e-9 * (q_norm[top : top + BLOCK] + x_norm.max()) + 1e-12
+            limit = worst[top : top + BLOCK]
+            if d.shape[1] > k:
+                limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
+            r, c = np.nonzero(d <= (limit + slack)[:, None])
+            new_rows.append(r + top)
+            new_at.append(c)
+        r, c = np.concatenate(new_rows), np.concatenate(new_at)
+        exact = np.concatenate([((asked[r[i : i + 65_536]] - x[c[i : i + 65_536]]) ** 2).sum(axis=1) for i in range(0, len(r), 65_536)] or [np.zeros(0)])
+        rows, found_ids, found = np.concatenate([rows, r]), np.concatenate([found_ids, own[c]]), np.concatenate([found, exact])
+        order = np.lexsort((found_ids, found, rows))
+        rows, found_ids, found = rows[order], found_ids[order], found[order]
+        first = np.searchsorted(rows, rows)  # where each query's rows begin
+        keep = np.arange(len(rows)) - first < k
+        rows, found_ids, found = rows[keep], found_ids[keep], found[keep]
+        full = np.flatnonzero(np.bincount(rows, minlength=len(asked)) == k)
+        worst[full] = found[np.searchsorted(rows, full, "right") - 1]
+    return names[rows], found_ids, np.sqrt(found)
+
+
+def nearest(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "embedding", *, cell: tuple[int, int] = (QUERIES, CHUNKS)) -> DataFrame:
     """TOP-06, VEC-03. query_id, id, distance, place: the k nearest chunks (L2, ties by id) of each query.
 
-    Queries are taken in blocks of max_queries, each a scan of the chunks; the driver holds one block at a time. Each batch
-    keeps its own k best of each query, so what is shuffled is k rows a query and batch."""
-    if max_queries < 1:
-        raise ValueError("a block has one query at least")
-    blocks = batched(queries.select("query_id", vector_col).toLocalIterator(), max_queries)
-    found = reduce(DataFrame.union, [found_of(chunks, list(b), k, id_col, vector_col) for b in blocks] or [found_of(chunks, [], k, id_col, vector_col)])
+    Queries and chunks are dealt by id into groups of at most about cell rows; each pair of groups is a cell of one task, where
+    they are multiplied block by block. A chunk is sent once for each group of queries and a query once for each group of
+    chunks; a cell gives k rows a query. The driver gets two counts. Null vectors are left out; all have one length, ids are unique."""
+    if k < 1 or min(cell) < 1:
+        raise ValueError("k and a cell's sides are 1 at least")
+    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), F.col(vector_col).alias("v"))
+    pool = chunks.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    groups, cells = (-(-df.count() // most) or 1 for df, most in ((asked, cell[0]), (pool, cell[1])))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("*", F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("g"), every(cells).alias("c"))
+    right = pool.select("*", F.pmod(F.xxhash64("id"), F.lit(cells)).alias("c"), every(groups).alias("g"))
+
+    def run(q: pa.Table, x: pa.Table) -> pa.Table:
+        if not len(q) or not len(x):
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+        matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(len(t), -1).astype(np.float64)
+        names, ids, far = best_of(q.column("query_id").to_numpy(), matrix(q), x.column("id").to_numpy(), matrix(x), k)
+        return pa.table({"query_id": names, "id": ids, "distance": far})
+
+    found = left.groupBy("g", "c").cogroup(right.groupBy("g", "c")).applyInArrow(run, "query_id long, id long, distance double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
-def found_of(chunks: DataFrame, rows: list, k: int, id_col: str, vector_col: str) -> DataFrame:
-    """query_id, id, distance: the k nearest chunks of each query in each task."""
-    ids = [r["query_id"] for r in rows]
-    shared = chunks.sparkSession.sparkContext.broadcast((ids, np.array([r[vector_col] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 0))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, asked = shared.value
-        best: list[list[tuple[float, int]]] = [[] for _ in names]
-        for batch in batches:
-            for low in range(0, batch.num_rows, 2048):
-                part = batch.slice(low, 2048)
-                own = part.column("id").to_numpy()
-                x = part.column("v").flatten().to_numpy().reshape(len(own), -1).astype(np.float64)
-                for q, row in enumerate(asked):
-                    d = np.sqrt(((x - row) ** 2).sum(axis=1))
-                    at = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
-                    ties = np.flatnonzero(d <= d[at].max()) if len(at) else at
-                    best[q] = sorted([*best[q], *zip(d[ties].tolist(), own[ties].tolist(), strict=True)])[:k]
-        flat = [(name, i, d) for name, found in zip(names, best, strict=True) for d, i in found]
-        if flat:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*flat, strict=True)], ["query_id", "id", "distance"])
-
-    return chunks.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, "query_id long, id long, distance double")
-
-
 def search(chunks: DataFrame, queries: DataFrame, top_k: int, *, source: str | None = None, user_id: int | None = None, oversample: int = 5, prefilter: bool = False) -> DataFrame:
     """VEC-02, VEC-04, JOIN-05. The oversample * top_k nearest of all chunks, then those of the source that the user may see, then the first top_k.
 

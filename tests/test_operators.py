@@ -242,3 +242,40 @@ def test_names_score_alike_in_both_forms(spark):
     rows = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
     for r in rows.withColumn("s", name_score(F.col("a"), F.col("b"))).collect():
         assert r.s == name_likeness(r.a, r.b), r
+
+
+@pytest.mark.parametrize("cell", [(32_768, 65_536), (7, 20)])
+def test_nearest_vectors_equal_all_distances(spark, cell, monkeypatch):
+    import numpy as np
+
+    from chartlode.operators import vectors
+
+    rng = np.random.default_rng(3)
+    points = rng.integers(-2, 3, (90, 4)).astype(float)  # many ties
+    points[50:] *= 1e-3
+    points[80:] = points[:10] + 1e6
+    rows = [(int(i), p.tolist()) for i, p in enumerate(points)]
+    chunks = spark.createDataFrame([*rows, (999, None)], "chunk_id long, embedding array<float>")
+    asked = spark.createDataFrame([(i, v) for i, v in rows if i % 3 == 0], "query_id long, embedding array<float>")
+    stored = {i: np.array(v, np.float32).astype(float) for i, v in rows}
+    for k in (1, 7, 200):
+        got = vectors.nearest(chunks, asked, k, cell=cell).collect()
+        for q in range(0, 90, 3):
+            want = sorted((float(np.sqrt(((stored[q] - v) ** 2).sum())), i) for i, v in stored.items())[:k]
+            assert [(r.distance, r.id) for r in sorted(got, key=lambda r: r.place) if r.query_id == q] == want
+    assert vectors.nearest(chunks.where("false"), asked, 3).count() == 0
+    assert vectors.nearest(chunks, asked.where("false"), 3).count() == 0
+
+
+def test_blocks_keep_what_single_distances_keep(monkeypatch):
+    import numpy as np
+
+    from chartlode.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    x, q = rng.normal(size=(200, 8)), rng.normal(size=(40, 8))
+    names, ids, far = vectors.best_of(np.arange(40), q, np.arange(200), x, 5)
+    d = np.sqrt(((q[:, None] - x[None]) ** 2).sum(axis=2))
+    assert ids.reshape(40, 5).tolist() == np.argsort(d, axis=1)[:, :5].tolist()
+    assert np.allclose(far.reshape(40, 5), np.sort(d, axis=1)[:, :5])
