@@ -145,15 +145,44 @@ def str_01(t: Tables) -> DataFrame:
     path = scratch(t, "upserts")
     stream = event_stream(t)
     streams.run_upserts(stream, path, f"{path}-state", streams.METRIC_KEYS, "event_id")
+    streams.compact_upserts(t.spark, path, stream.schema, streams.METRIC_KEYS, 0)
     return streams.read_upserts(t.spark, path, stream.schema, streams.METRIC_KEYS).select("user_id", "provider", "metric", F.col("taken_at").cast("timestamp_ntz").alias("taken_at"), "value_num")
 
 
+def in_parts(t: Tables, df: DataFrame, name: str, n: int = 3) -> DataFrame:
+    """df written in n files and streamed, one file a micro-batch."""
+    path = scratch(t, name)
+    df.repartition(n).write.parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("STR-03", "metrics", """WITH a AS (SELECT DISTINCT user_id, CASE WHEN user_id % 5 > 0 THEN TIMESTAMP '2024-01-04 00:00:00' END AS t0, CASE WHEN user_id % 7 > 0 THEN user_id % 30 END AS hours FROM metrics),
+b AS (SELECT *, hours IS NOT NULL AND (t0 IS NULL OR t0 + to_hours(hours) <= TIMESTAMP '2024-01-10 00:00:00') AS first FROM a),
+c AS (SELECT *, hours IS NOT NULL AND CASE WHEN first THEN TIMESTAMP '2024-01-10 00:00:00' + to_hours(hours) <= TIMESTAMP '2024-01-10 08:00:00' ELSE t0 IS NULL OR t0 + to_hours(hours) <= TIMESTAMP '2024-01-10 08:00:00' END AS second FROM b)
+SELECT event_id, 0::BIGINT AS tick FROM metrics JOIN c USING (user_id) WHERE first AND (t0 IS NULL OR taken_at > t0) AND taken_at <= TIMESTAMP '2024-01-10 00:00:00'
+UNION ALL SELECT event_id, 1 FROM metrics JOIN c USING (user_id) WHERE second AND CASE WHEN first THEN taken_at > TIMESTAMP '2024-01-10 00:00:00' ELSE t0 IS NULL OR taken_at > t0 END AND taken_at <= TIMESTAMP '2024-01-10 08:00:00'""")
+def str_03(t: Tables) -> DataFrame:
+    """Two ticks, eight hours apart; some accounts were never synced, some have no interval."""
+    path = scratch(t, "ticks")
+    for now in ("2024-01-10 00:00:00", "2024-01-10 08:00:00"):
+        t.spark.range(1).select(F.lit(now).cast("timestamp_ntz").alias("now")).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    ticks = t.spark.readStream.schema("now timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    users = t.metrics().select("user_id").distinct()
+    accounts = users.select("user_id", F.when(F.col("user_id") % 5 != 0, F.lit("2024-01-04").cast("timestamp_ntz")).alias("last_sync_at"), F.when(F.col("user_id") % 7 != 0, (F.col("user_id") % 30).cast("int")).alias("sync_interval_hours"))
+    points = t.metrics().select("user_id", "taken_at", "event_id")
+    streams.sync_ticks(ticks, accounts, points, path, f"{path}-state")
+    return streams.synced_points(t.spark, path, points.schema).select("event_id", F.col("_batch").alias("tick"))
+
+
 @query("STR-05", "metrics", """WITH e AS (SELECT user_id AS document_id, taken_at, event_id, CASE event_id % 5 WHEN 0 THEN 'received' WHEN 1 THEN 'recognizing' WHEN 2 THEN 'normalizing' WHEN 3 THEN 'extracted' ELSE 'failed' END AS status FROM metrics),
 r AS (SELECT *, CASE status WHEN 'received' THEN 0 WHEN 'recognizing' THEN 1 WHEN 'normalizing' THEN 2 ELSE 3 END AS stage FROM e) SELECT document_id, arg_max(status, (stage, -epoch_us(taken_at))) AS status, max(stage) AS stage FROM r GROUP BY 1""")
 def str_05(t: Tables) -> DataFrame:
     k = F.col("event_id") % 5
     status = F.when(k == 0, "received").when(k == 1, "recognizing").when(k == 2, "normalizing").when(k == 3, "extracted").otherwise("failed")
-    return streams.status_now(t.metrics().select(F.col("user_id").alias("document_id"), F.col("taken_at").alias("at"), status.alias("status")))
+    path = scratch(t, "status")
+    events = in_parts(t, t.metrics().select(F.col("user_id").alias("document_id"), F.col("taken_at").alias("at"), status.alias("status")), "events")
+    streams.run_status(events, path, f"{path}-state")
+    return streams.read_status(t.spark, path, events).select("document_id", "status", "stage")
 
 
 @query("STR-06", "metrics", "SELECT metric AS queue, event_id AS id, row_number() OVER (PARTITION BY metric ORDER BY taken_at, event_id) AS place FROM metrics WHERE user_id % 4 = 0")
@@ -162,30 +191,37 @@ def str_06(t: Tables) -> DataFrame:
     return streams.queue_places(jobs).select("queue", "id", "place")
 
 
-@query("STR-09", "docs", "SELECT user_id, file_sha256, arg_max(id, (id % 5, id)) AS survivor, count(*) AS seen FROM docs GROUP BY ALL")
+@query("STR-09", "docs", """WITH RECURSIVE d AS (SELECT user_id, id, id % 5 AS n, file_sha256 AS s, doc_type || '|' || title || '|' || coalesce(clinic, '') AS f, row_number() OVER (PARTITION BY user_id ORDER BY id) AS k FROM docs),
+st AS (SELECT DISTINCT user_id, 0::BIGINT AS k, []::STRUCT(id BIGINT, n BIGINT, s VARCHAR, f VARCHAR)[] AS live FROM d
+UNION ALL SELECT user_id, k, CASE WHEN old IS NULL THEN list_append(live, me) WHEN me.n >= old.n THEN list_append(list_filter(live, lambda x: x.id <> old.id), me) ELSE live END
+FROM (SELECT st.user_id, d.k, live, {'id': d.id, 'n': d.n, 's': d.s, 'f': d.f} AS me, list_sort(list_filter(live, lambda x: x.s = d.s OR x.f = d.f))[1] AS old FROM st JOIN d ON d.user_id = st.user_id AND d.k = st.k + 1)),
+l AS (SELECT user_id, unnest(live) AS x FROM (SELECT user_id, arg_max(live, k) AS live FROM st GROUP BY 1)),
+r AS (SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT user_id, x.id AS id, coalesce(r.n, 0) AS lab_rows FROM l LEFT JOIN r ON r.id = x.id""")
 def str_09(t: Tables) -> DataFrame:
-    return streams.survivors(t.documents().select("user_id", "file_sha256", "id", (F.col("id") % 5).alias("n_rows")))
+    """The documents that are left, with the results that stay with them."""
+    path = scratch(t, "survivors")
+    documents = t.documents().select("user_id", "id", "doc_type", "title", "clinic", "file_sha256", (F.col("id") % 5).alias("n_rows"))
+    streams.run_survivors(in_parts(t, documents, "documents", 1), path, f"{path}-state")
+    rows = t.read("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("lab_rows"))
+    return streams.read_survivors(t.spark, path).join(rows, "id", "left").select("user_id", "id", F.coalesce("lab_rows", F.lit(0)).alias("lab_rows"))
 
 
-@query("STR-04")
+@query("STR-04", "metrics", """WITH s AS (SELECT metric, value_num AS v, row_number() OVER (PARTITION BY metric ORDER BY event_id) AS k, count(*) OVER (PARTITION BY metric) AS n FROM metrics WHERE value_num IS NOT NULL)
+SELECT metric, round(sum(v * pow(0.7::DOUBLE, n - k) * CASE WHEN k = 1 THEN 1 ELSE 0.3::DOUBLE END), 6) AS ema, max(n) AS samples FROM s GROUP BY metric""")
 def str_04(t: Tables) -> DataFrame:
-    """The stream's last averages; the batch form is compared with SQL as WIN-04."""
-    path = scratch(t, "ema")
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
-
-    averages = streams.ema_stream(event_stream(t), "metric", "value_num", "event_id")
-    averages.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(path).groupBy("metric").agg(F.max_by("ema", "samples").alias("ema"), F.max("samples").alias("samples"))
+    path, stream = scratch(t, "ema"), event_stream(t)
+    streams.run_ema(stream, path, f"{path}-state", "metric", "value_num", ["event_id"])
+    return streams.read_ema(t.spark, path, stream.schema, "metric").withColumn("ema", F.round("ema", 6))
 
 
-@query("STR-07")
+@query("STR-07", "metrics", "SELECT DISTINCT user_id AS document_id FROM metrics")
 def str_07(t: Tables) -> DataFrame:
+    """Each document is claimed again in later batches."""
     path = scratch(t, "claims")
-    claims = streams.first_deliveries(event_stream(t).select(F.col("user_id").alias("document_id"), "at"), "document_id", "at", "60 days")
-    claims.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").option("path", path).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(path).select("document_id")
+    claims = in_parts(t, t.metrics().select(F.col("user_id").alias("document_id"), F.col("taken_at").alias("at")), "claimed")
+    streams.run_claims(claims, path, f"{path}-state", "document_id", "at")
+    return streams.read_claims(t.spark, path, claims.schema).select("document_id")
 
 
 @query("STR-10", "metrics", "SELECT time_bucket(INTERVAL 1 DAY, taken_at)::TIMESTAMP AS from_at, metric, count(*) AS n FROM metrics GROUP BY ALL")
