@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartlode.operators import blocks
+
 
 def daily(metrics: DataFrame, digits: int = 1, *more: str) -> DataFrame:
     """AGG-01, AGG-12. Per metric and day (and more): count, mean rounded, least and most, the least unit, over all providers."""
@@ -39,10 +41,10 @@ def series(labs: DataFrame, key: Column) -> DataFrame:
 CHUNK = 1000
 
 
-def chunked(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+def chunked(rows: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
     """Rows with their place in the order of their key and the number of the chunk that holds it, both from 0."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    return rows.withColumn("_place", place).withColumn("chunk", F.floor(F.col("_place") / CHUNK).cast("int"))
+    out = blocks.ranked(rows, [key] if isinstance(key, str) else key, order).withColumnRenamed("_at", "_place").drop("_n")
+    return out.withColumn("chunk", F.floor(F.col("_place") / CHUNK).cast("int"))
 
 
 def weekly(metrics: DataFrame) -> DataFrame:
@@ -67,9 +69,10 @@ def activity_overview(activities: DataFrame) -> DataFrame:
 
 
 def fact_series(labs: DataFrame) -> DataFrame:
-    """AGG-15. Per name and unit (null as ''): ordered ids and count."""
-    ids = F.transform(F.sort_array(F.collect_list(F.struct("taken_at", "id"))), lambda p: p["id"])
-    return labs.groupBy("analyte_name", F.coalesce("unit", F.lit("")).alias("unit_key")).agg(ids.alias("ids"), F.count("*").alias("n"))
+    """AGG-15. Per name and unit (null as ''): ordered ids and count, in chunks as in AGG-09."""
+    rows = labs.select("analyte_name", F.coalesce("unit", F.lit("")).alias("unit_key"), "taken_at", "id")
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("_place", "id"))), lambda p: p["id"])
+    return chunked(rows, ["analyte_name", "unit_key"], ["taken_at", "id"]).groupBy("analyte_name", "unit_key", "chunk").agg(ids.alias("ids"), F.count("*").alias("n"))
 
 
 def series_stats(labs: DataFrame) -> DataFrame:
@@ -107,8 +110,9 @@ def weighted_rate(df: DataFrame, group: str, rate: str, weight: str) -> DataFram
 
 def leaderboard(runs: DataFrame) -> DataFrame:
     """AGG-25. Per model: accuracy, pass rate, mean precision, mean and upper median time, score = precision * pass rate / mean time."""
-    times = F.sort_array(F.collect_list("seconds"))
-    out = runs.groupBy("model").agg(F.count("*").alias("n"), (F.sum("matched") / F.sum("expected")).alias("accuracy"), F.avg(F.col("passed").cast("double")).alias("pass_rate"), F.avg("precision").alias("macro_precision"), F.avg("seconds").alias("avg_s"), F.element_at(times, F.expr("CAST(count(*) DIV 2 + 1 AS INT)")).alias("median_s"))
+    out = runs.groupBy("model").agg(F.count("*").alias("n"), (F.sum("matched") / F.sum("expected")).alias("accuracy"), F.avg(F.col("passed").cast("double")).alias("pass_rate"), F.avg("precision").alias("macro_precision"), F.avg("seconds").alias("avg_s"))
+    median = blocks.value_at(runs, "model", "seconds", lambda n: F.floor(n / 2)).select(F.col("model").alias("_model"), F.col("seconds").alias("median_s"))
+    out = out.join(median, F.col("model").eqNullSafe(F.col("_model")), "left").drop("_model")
     return out.select("model", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "pass_rate", "macro_precision", "avg_s", "median_s")], F.round(F.col("macro_precision") * F.col("pass_rate") / F.col("avg_s"), 6).alias("score"))
 
 
@@ -119,8 +123,10 @@ def nearest_rank(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def batch_p95(df: DataFrame, group: str, value: str) -> DataFrame:
-    """AGG-28. The value at place int(.95 n) of the sorted list (1 at least): not the nearest rank."""
-    return df.groupBy(group).agg(F.count(value).alias("n"), F.element_at(F.sort_array(F.collect_list(value)), F.greatest(F.floor(F.lit(0.95) * F.count(value)), F.lit(1)).cast("int")).alias("p95"))
+    """AGG-28. The value at place int(.95 n) of the sorted list (1 at least): not the nearest rank. Null for a group without values."""
+    found = blocks.value_at(df, group, value, lambda n: F.greatest(F.floor(F.lit(0.95) * n), F.lit(1)) - 1).select(F.col(group).alias("_group"), F.col(value).alias("p95"))
+    sizes = df.groupBy(group).agg(F.count(value).alias("n"))
+    return sizes.join(found, F.col(group).eqNullSafe(F.col("_group")), "left").select(group, "n", "p95")
 
 
 def matched_share(labs: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartlode.operators import blocks
+
 
 def neighbours(documents: DataFrame) -> DataFrame:
     """WIN-01. Each document's previous and next of its user, by time and id."""
@@ -43,10 +45,15 @@ def ema(df: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.
 
 
 def energy(samples: DataFrame, key: str, time: str, power: str) -> DataFrame:
-    """WIN-05. Trapezoid integral over each key's neighbouring samples in joules and watt-hours; null powers and times that don't grow are skipped."""
-    w = Window.partitionBy(key).orderBy(time, power)
-    pairs = samples.where(F.col(power).isNotNull() & F.col(time).isNotNull()).select(key, time, power, F.lag(time).over(w).alias("t0"), F.lag(power).over(w).alias("p0")).where(F.col(time) > F.col("t0"))
-    joules = F.sum((F.col(time) - F.col("t0")) * (F.col(power) + F.col("p0")) / 2)
+    """WIN-05. Trapezoid integral over each key's neighbouring samples in joules and watt-hours; null powers and times that don't grow are skipped.
+
+    A block's first sample meets the last one of the block before."""
+    rows = blocks.in_blocks(samples.where(F.col(power).isNotNull() & F.col(time).isNotNull()).select(key, time, power), [key], [time, power])
+    point = F.struct(F.col(time).alias("t"), F.col(power).alias("p"))
+    rows = blocks.with_before(rows, [key], [F.max_by(point, "_place").alias("_last")], lambda w: [F.lag("_last").over(w).alias("_before")])
+    last = F.coalesce(F.lag(point).over(blocks.block([key])), F.col("_before"))
+    pairs = rows.select(key, time, power, last.alias("_0")).where(F.col(time) > F.col("_0.t"))
+    joules = F.sum((F.col(time) - F.col("_0.t")) * (F.col(power) + F.col("_0.p")) / 2)
     return pairs.groupBy(key).agg(F.round(joules, 3).alias("joules"), F.round(joules / 3600, 6).alias("watt_hours"), F.count("*").alias("intervals"))
 
 
@@ -76,9 +83,12 @@ def merge_passes(rows: DataFrame) -> DataFrame:
 
 
 def carry_forward(lines: DataFrame, key: str, order: str, value: Column) -> DataFrame:
-    """WIN-09. The last value that isn't null, up to each line of the key's file."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("carried", F.last(value, ignorenulls=True).over(w))
+    """WIN-09. The last value that isn't null, up to each line of the key's file, which may be cut into blocks."""
+    rows = blocks.in_blocks(lines.withColumn("_value", value), [key], [order])
+    end = F.max_by(F.when(F.col("_value").isNotNull(), F.col("_value")), F.when(F.col("_value").isNotNull(), F.col("_place"))).alias("_end")
+    rows = blocks.with_before(rows, [key], [end], lambda w: [F.last("_end", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before")])
+    own = F.last("_value", ignorenulls=True).over(blocks.block([key]).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("carried", F.coalesce(own, "_before")).drop("_value", "_before", "_part", "_place")
 
 
 def last_point(labs: DataFrame, key: Column) -> DataFrame:
@@ -88,8 +98,8 @@ def last_point(labs: DataFrame, key: Column) -> DataFrame:
 
 
 def first_pairs(series: DataFrame) -> DataFrame:
-    """WIN-11. The first two ids of each series of two at least. series: name, unit, ids."""
-    return series.where(F.size("ids") >= 2).select("analyte_name", "unit_key", F.element_at("ids", 1).alias("first_id"), F.element_at("ids", 2).alias("second_id"))
+    """WIN-11. The first two ids of each series of two at least. series: name, unit, chunk, ids."""
+    return series.where((F.col("chunk") == 0) & (F.size("ids") >= 2)).select("analyte_name", "unit_key", F.element_at("ids", 1).alias("first_id"), F.element_at("ids", 2).alias("second_id"))
 
 
 def thin_daily(metrics: DataFrame) -> DataFrame:

@@ -259,7 +259,8 @@ def agg_14(t: Tables) -> DataFrame:
     return aggregates.activity_overview(t.activities())
 
 
-@query("AGG-15", "labs", "SELECT analyte_name, coalesce(unit, '') AS unit_key, array_to_string(list(id ORDER BY taken_at, id), ',') AS ids, count(*) AS n FROM labs GROUP BY ALL")
+@query("AGG-15", "labs", """WITH p AS (SELECT analyte_name, coalesce(unit, '') AS unit_key, id, row_number() OVER (PARTITION BY analyte_name, coalesce(unit, '') ORDER BY taken_at, id) - 1 AS place FROM labs)
+SELECT analyte_name, unit_key, (place // 1000)::INT AS chunk, array_to_string(list(id ORDER BY place), ',') AS ids, count(*) AS n FROM p GROUP BY ALL""")
 def agg_15(t: Tables) -> DataFrame:
     return aggregates.fact_series(t.labs()).withColumn("ids", F.array_join(F.transform("ids", lambda x: x.cast("string")), ","))
 

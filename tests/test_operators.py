@@ -279,3 +279,38 @@ def test_blocks_keep_what_single_distances_keep(monkeypatch):
     d = np.sqrt(((q[:, None] - x[None]) ** 2).sum(axis=2))
     assert ids.reshape(40, 5).tolist() == np.argsort(d, axis=1)[:, :5].tolist()
     assert np.allclose(far.reshape(40, 5), np.sort(d, axis=1)[:, :5])
+
+
+def test_blocks_of_a_hot_key_end_as_one_scan(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot"] * 9 + ["b", None]), i, rng.choice([None, float(rng.randint(0, 50))])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, i long, v double").repartition(3)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else small blocks become one
+    try:
+        from chartlode.operators import blocks
+
+        assert blocks.in_blocks(df, ["k"], ["i"]).where("k = 'hot'").select("_part").distinct().count() == 4
+        got = {(r.k, r.i): (r["_at"], r["_n"]) for r in blocks.ranked(df, ["k"], ["i"]).collect()}
+        for k in ("hot", "b", None):
+            own = [i for kk, i, _ in rows if kk == k]
+            assert [got[k, i] for i in own] == [(at, len(own)) for at in range(len(own))]
+        carried = {r.i: r.carried for r in ordered.carry_forward(df, "k", "i", F.col("v")).collect()}
+        last = {}
+        for k, i, v in rows:
+            last[k] = v if v is not None else last.get(k)
+            assert carried[i] == last[k]
+        p95 = {r.k: (r.n, r.p95) for r in aggregates.batch_p95(df, "k", "v").collect()}
+        energy = {r.k: (r.joules, r.intervals) for r in ordered.energy(df, "k", "i", "v").collect()}
+        for k in ("hot", "b", None):
+            own = sorted(v for kk, _, v in rows if kk == k and v is not None)
+            assert p95[k] == (len(own), own[max(int(0.95 * len(own)), 1) - 1])
+            points = [(i, v) for kk, i, v in rows if kk == k and v is not None]
+            assert energy[k] == (pytest.approx(sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(points, points[1:], strict=False))), len(points) - 1)
+        assert [tuple(r) for r in aggregates.batch_p95(df.where("false"), "k", "v").collect()] == []
+        (none,) = aggregates.batch_p95(spark.createDataFrame([("x", None)], "k string, v double"), "k", "v").collect()
+        assert tuple(none) == ("x", 0, None)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
