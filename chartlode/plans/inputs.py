@@ -28,7 +28,7 @@ def src_02(t: Tables) -> DataFrame:
     """With SNK-01: what the writer wrote is read again."""
     path = scratch(t, "registry")
     readers.write_registry(t.read("part").select(F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("name")), path, {"source": "part"}, "ordinal")
-    return readers.read_registry(t.spark, f"{path}/*", "ordinal long, name string")
+    return readers.read_registry(t.spark, path, "ordinal long, name string")
 
 
 @query("SRC-03", "", """SELECT CASE event_type WHEN 'click' THEN 'steps' WHEN 'view' THEN 'spo2' ELSE 'weight' END AS metric, date_trunc('second', ts)::TIMESTAMP AS taken_at, CASE WHEN event_type = 'view' AND round(value, 1) / 100 <= 1 THEN round(round(round(value, 1) / 100 * 100, 6), 1) WHEN event_type = 'view' THEN round(value, 1) / 100 ELSE value END AS value_num FROM events WHERE event_type IN ('click', 'view', 'signup') AND event_id % 7 > 0""")
@@ -95,11 +95,14 @@ def src_11(t: Tables) -> DataFrame:
     return readers.publications(t.read("part").select(F.concat(F.lit("<PubmedArticle>"), tag("MedlineCitation", tag("PMID", F.col("p_partkey").cast("string")), article), F.lit("</PubmedArticle>")).alias("xml")))
 
 
-@query("SRC-12", "", r"""WITH a AS (SELECT page_id, regexp_extract_all(html, '(?s)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1) AS us, regexp_extract_all(html, '(?s)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2) AS ts FROM pages),
-r AS (SELECT page_id AS id, k AS place, us[k] AS url, ts[k] AS title FROM (SELECT *, unnest(range(1, len(us) + 1)) AS k FROM a)), f AS (SELECT * FROM r WHERE NOT contains(url, '/the') QUALIFY row_number() OVER (PARTITION BY id, url ORDER BY place) = 1)
-SELECT * FROM (SELECT id, row_number() OVER (PARTITION BY id ORDER BY place) AS rank, url FROM f) x WHERE x.rank <= 3""")
+@query("SRC-12", "", r"""WITH p AS (SELECT page_id, '<a class="r" href="' || url || '">Own <b>page</b> ' || page_id || '</a><td class="snippet">About &amp; more ' || page_id || '</td>' || html AS html FROM pages),
+a AS (SELECT page_id, regexp_extract_all(html, '(?s)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1) AS us, regexp_extract_all(html, '(?s)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2) AS ts FROM p),
+r AS (SELECT page_id AS id, k AS place, us[k] AS url, ts[k] AS title FROM (SELECT *, unnest(range(1, len(us) + 1)) AS k FROM a)), f AS (SELECT * FROM r WHERE NOT contains(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)', 1), 'own.example') QUALIFY row_number() OVER (PARTITION BY id, url ORDER BY place) = 1)
+SELECT id, rank, url, CASE WHEN title LIKE 'Own <b>%' THEN 'Own page ' || id ELSE title END AS title, CASE WHEN rank = 1 THEN 'About & more ' || id ELSE '' END AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY place) AS rank FROM f) x WHERE x.rank <= 3""")
 def src_12(t: Tables) -> DataFrame:
-    return readers.links(t.read("pages"), "page_id", "html", "/the", 3).drop("title")
+    """Pages with a result in front of their own links."""
+    result = F.concat(F.lit('<a class="r" href="'), "url", F.lit('">Own <b>page</b> '), "page_id", F.lit('</a><td class="snippet">About &amp; more '), "page_id", F.lit("</td>"), "html")
+    return readers.links(t.read("pages").select("page_id", result.alias("html")), "page_id", "html", "own.example", 3)
 
 
 @query("SRC-14", "", "SELECT p_partkey, CASE WHEN p_type LIKE 'ECO%' THEN 'cheap' WHEN p_type LIKE 'S%' THEN 'plain' END AS status FROM part")
@@ -123,11 +126,20 @@ def src_18(t: Tables) -> DataFrame:
     return readers.telemetry(t.read("events").select("event_id", line.alias("line")), ["power", "temp"])
 
 
-@query("SRC-19", "", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'jpg' WHEN 2 THEN 'png' WHEN 3 THEN 'webp' END AS kind FROM part")
+@query("SRC-18b", "", "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN value END AS power, (event_id % 70)::DOUBLE AS temp FROM events")
+def src_18b(t: Tables) -> DataFrame:
+    """The same samples as JSON lines."""
+    line = F.to_json(F.struct(F.when(F.col("event_id") % 3 == 0, "N/A").otherwise(F.col("value").cast("string")).alias("power"), (F.col("event_id") % 70).alias("temp"), F.lit(None).cast("string").alias("fan")))
+    return readers.telemetry_json(t.read("events").select("event_id", line.alias("line")), ["power", "temp"])
+
+
+@query("SRC-19", "", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'jpg' WHEN 2 THEN 'png' WHEN 3 THEN 'webp' END AS kind, CASE WHEN p_partkey % 4 = 0 THEN '.heic' WHEN p_partkey % 5 < 4 THEN '.' || CASE p_partkey % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'jpg' WHEN 2 THEN 'png' ELSE 'webp' END END AS extension FROM part")
 def src_19(t: Tables) -> DataFrame:
+    """The name goes first, if its extension is allowed."""
     k = F.col("p_partkey") % 5
-    head = F.when(k == 0, "255044462D312E370A0A0A0A").when(k == 1, "FFD8FFE000104A4649460001").when(k == 2, "89504E470D0A1A0A0000000D").when(k == 3, "524946460000000057454250").otherwise("000000000000000000000000")
-    return t.read("part").select("p_partkey", readers.sniff(F.unhex(head)).alias("kind"))
+    head = F.unhex(F.when(k == 0, "255044462D312E370A0A0A0A").when(k == 1, "FFD8FFE000104A4649460001").when(k == 2, "89504E470D0A1A0A0000000D").when(k == 3, "524946460000000057454250").otherwise("000000000000000000000000"))
+    name = F.when(F.col("p_partkey") % 4 == 0, "a.b/Scan.HEIC").when(F.col("p_partkey") % 4 == 1, "notes.txt").when(F.col("p_partkey") % 4 == 2, ".pdf")
+    return t.read("part").select("p_partkey", readers.sniff(head).alias("kind"), readers.resolve_extension(name, head, [".pdf", ".jpg", ".png", ".webp", ".heic"]).alias("extension"))
 
 
 # Streams

@@ -212,7 +212,11 @@ def sc_61(t: Tables) -> DataFrame:
 @query("SC-62", "", "SELECT p_partkey AS doc_id, 0 AS ordinal, p_name AS analyte_name, p_size::VARCHAR AS value_raw, 'g' AS unit, concat('1 - ', p_size) AS ref_raw FROM part UNION ALL SELECT p_partkey, 1, p_brand, concat('< ', p_size), NULL, NULL FROM part WHERE p_partkey % 2 = 0")
 def sc_62(t: Tables) -> DataFrame:
     """With SC-63 and SC-64: nested tables, one of two cut off."""
+    return parse.harvest(payloads(t))
+
+
+def payloads(t: Tables) -> DataFrame:
     first = F.concat(F.lit('{"показатель": "'), "p_name", F.lit('", "x": "'), "p_size", F.lit('", "unit": "g", "y": "1 - '), "p_size", F.lit('"}'))
     second = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(', {"name": "'), "p_brand", F.lit('", "result": "< '), "p_size", F.lit('"}'))).otherwise("")
     payload = F.concat(F.lit('{"meta": {"a": 1}, "pages": [{"table": ['), first, second, F.when(F.col("p_partkey") % 3 == 0, "]}]}").otherwise(""))
-    return parse.harvest(t.read("part").select(F.col("p_partkey").alias("doc_id"), payload.alias("payload")))
+    return t.read("part").select(F.col("p_partkey").alias("doc_id"), payload.alias("payload"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartlode.operators import filters, ordered, parse, registry, scoring
-from chartlode.plans import inputs
+from chartlode.functions import tables
+from chartlode.operators import extractors, filters, ordered, parse, registry, scoring
+from chartlode.plans import inputs, matching, parsing
 from chartlode.plans.views import Register, Tables
-from chartlode.sources import readers
+from chartlode.sources import paged, readers
 
 query = Register()
 
@@ -41,22 +42,27 @@ def agg_20(t: Tables) -> DataFrame:
     return joined(registry.drug_registry(rows), "types", "statuses", "reg_numbers")
 
 
-@query("SNK-01", "", "SELECT count(*) AS records, 'part' AS source FROM part")
+@query("SNK-01", "", "SELECT row_number() OVER (ORDER BY p_partkey) AS line_no, p_partkey AS ordinal FROM part UNION ALL SELECT 0, NULL")
 def snk_01(t: Tables) -> DataFrame:
+    """The file's lines as a reader meets them: what _meta says first, then the records in order."""
     path = inputs.scratch(t, "sink")
     readers.write_registry(t.read("part").select(F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("name")), path, {"source": "part"}, "ordinal")
-    rows = t.spark.read.schema("ordinal long, name string, _meta map<string,string>").json(f"{path}/*")
-    return rows.agg(F.count("ordinal").alias("records"), F.max(F.col("_meta")["source"]).alias("source"))
+    lines = t.spark.read.schema("ordinal long, _meta map<string,string>").json(path).withColumns({"file": F.input_file_name(), "at": F.monotonically_increasing_id()})
+    by_file = ordered.Window.partitionBy(F.lit(0)).orderBy("file", "at")  # a registry is one person's file: some thousand records
+    return lines.select((F.row_number().over(by_file) - 1).cast("long").alias("line_no"), "ordinal")
 
 
 @query("SRC-10", "activities", """WITH n AS (SELECT user_id, external_id, (row_number() OVER (PARTITION BY user_id ORDER BY external_id) - 1) // 2 + 1 AS page FROM activities)
 SELECT user_id, external_id FROM n WHERE page <= 3 AND NOT (user_id % 2 = 0 AND page > 1)""")
 def src_10(t: Tables) -> DataFrame:
-    """Pages of two activities; the second page of every other user is empty."""
+    """Pages of two activities, as a fetcher leaves them; the second page of every other user is empty."""
+    path = inputs.scratch(t, "pages")
     place = F.row_number().over(ordered.Window.partitionBy("user_id").orderBy("external_id")) - 1
-    page = t.activities().withColumn("page", F.floor(place / 2) + 1).groupBy("user_id", "page").agg(F.to_json(F.collect_list(F.struct(F.col("external_id").alias("activityId")))).alias("payload"))
+    page = t.activities().withColumn("page", F.floor(place / 2).cast("int") + 1).where("page <= 3").groupBy("user_id", "page").agg(F.to_json(F.collect_list(F.struct(F.col("external_id").alias("activityId")))).alias("payload"))
     page = page.withColumn("payload", F.when((F.col("user_id") % 2 == 0) & (F.col("page") == 2), "[]").otherwise(F.col("payload")))
-    return readers.paged_activities(page).select("user_id", "external_id")
+    page.withColumn("bucket", F.pmod("user_id", F.lit(8))).repartition("bucket").write.partitionBy("bucket", "user_id", "page").text(path)
+    t.spark.dataSource.register(paged.PagedActivities)
+    return t.spark.read.format("paged_activities").option("path", path).load().where("error is null").select("user_id", "external_id")
 
 
 @query("SRC-13", "", "SELECT 'analysis' AS doc_type, n_name AS clinic, 1 AS analytes FROM nation")
@@ -163,3 +169,41 @@ def evl_10(t: Tables) -> DataFrame:
     reports = t.reports()
     lists = reports.select("user_id", "id", F.posexplode("medications").alias("part", "line"))
     return first(labs, "labs").unionByName(first(reports.withColumn("part", F.lit(0)), "reports")).unionByName(first(lists, "medications"))
+
+
+@query("UDF-03", "", f"WITH r AS ({matching.NAMES}), q AS (SELECT DISTINCT lower(raw) AS query FROM ({matching.TYPOS})), m AS ({matching.floored_sql('x', 0.35, 75, 3)}) SELECT id, raw, status, key, record FROM ({matching.TYPOS}) JOIN m ON query = lower(raw)")
+def udf_03(t: Tables) -> DataFrame:
+    return extractors.ANALYTES.resolve(matching.typos(t), matching.registry(t)).select("id", "raw", "status", "key", "record")
+
+
+@query("UDF-04", "", "SELECT l_orderkey AS document_id, 'analysis' AS doc_type, l_quantity::VARCHAR AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'doctor_report', o_orderstatus FROM orders WHERE o_orderkey % 3 = 1")
+def udf_04(t: Tables) -> DataFrame:
+    """Analyses have their results, reports their verdict; a third of the documents is of no known type."""
+    known = extractors.Extractors()
+    known.register("analysis")(lambda d: d.join(t.read("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("document_id"), F.col("l_quantity").cast("string").alias("value")))
+    known.register("doctor_report")(lambda d: d.select(F.col("o_orderkey").alias("document_id"), F.col("o_orderstatus").alias("value")))
+    kind = F.when(F.col("o_orderkey") % 3 == 0, "analysis").when(F.col("o_orderkey") % 3 == 1, "doctor_report").otherwise("letter")
+    return known.run(t.read("orders").withColumn("doc_type", kind)).select("document_id", "doc_type", "value")
+
+
+@query("UDF-05", "", parsing.query.oracles["SC-62"])
+def udf_05(t: Tables) -> DataFrame:
+    """SC-62 as a table function in SQL."""
+    tables.register(t.spark)
+    payloads = parsing.payloads(t)
+    return t.spark.sql("SELECT doc_id, r.* FROM {docs} d, LATERAL harvest(d.payload) r", docs=payloads)
+
+
+@query("UDF-05b", "raw", "SELECT id AS doc_id, count(*) * CASE WHEN id % 6 = 0 THEN 2 ELSE 1 END AS n FROM raw GROUP BY id")
+def udf_05b(t: Tables) -> DataFrame:
+    """PRS-07 as a table function in SQL."""
+    tables.register(t.spark)
+    return t.spark.sql("SELECT doc_id, count(*) AS n FROM {lines} l, LATERAL lab_lines(l.line) r GROUP BY doc_id", lines=parsing.layer(t))
+
+
+@query("UDF-05c", "", parsing.query.oracles["PRS-14"])
+def udf_05c(t: Tables) -> DataFrame:
+    """PRS-14 as a table function in SQL."""
+    tables.register(t.spark)
+    texts = t.read("part").select("p_partkey", F.expr(parsing.READING).alias("text"))
+    return t.spark.sql("SELECT p_partkey, r.analyte_name, r.value_num, r.unit FROM {texts} x, LATERAL panel_rows(x.text) r", texts=texts)

@@ -101,15 +101,20 @@ def publications(xml: DataFrame, column: str = "xml") -> DataFrame:
     return xml.select(c["PMID"].alias("pmid"), c["Article"]["ArticleTitle"].alias("title"), F.array_join(parts, "\n").alias("abstract"), c["Article"]["Journal"]["Title"].alias("journal"), c["Article"]["Journal"]["JournalIssue"]["PubDate"]["Year"].alias("year"))
 
 
-def links(pages: DataFrame, id_col: str, html_col: str, own: str, first: int) -> DataFrame:
-    """SRC-12. The first links of a page with their text, each URL once, none of its own domain."""
+def links(pages: DataFrame, id_col: str, html_col: str, own: str, first: int, snippet: str = "snippet") -> DataFrame:
+    """SRC-12. The first links of a page with title and snippet, each URL once, none whose host has own in its name.
+
+    The k-th link that is left gets the k-th element of the class snippet, '' where there are fewer."""
     from chartlode.functions.text import plain_html
 
     pattern = r'(?s)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>'
     pairs = F.arrays_zip(F.regexp_extract_all(html_col, F.lit(pattern), F.lit(1)).alias("url"), F.regexp_extract_all(html_col, F.lit(pattern), F.lit(2)).alias("title"))
-    rows = pages.select(F.col(id_col).alias("id"), F.posexplode(pairs).alias("place", "x")).select("id", "place", "x.url", plain_html(F.col("x.title")).alias("title")).where(~F.contains("url", F.lit(own)))
-    once = rows.withColumn("n", F.row_number().over(Window.partitionBy("id", "url").orderBy("place"))).where("n = 1").drop("n")
-    return once.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("place"))).where(F.col("rank") <= first).select("id", "rank", "url", "title")
+    texts = F.regexp_extract_all(html_col, F.lit(rf"""(?s)<(?:td|div|p|span)[^>]*class=['"][^'"]*{snippet}[^'"]*['"][^>]*>(.*?)</(?:td|div|p|span)>"""), F.lit(1))
+    host = F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)
+    rows = pages.select(F.col(id_col).alias("id"), texts.alias("_texts"), F.posexplode(pairs).alias("place", "x")).select("id", "_texts", "place", "x.url", "x.title").where(~F.contains(host, F.lit(own)))
+    once = rows.groupBy("id", "url").agg(F.min("place").alias("place"), F.min_by("title", "place").alias("title"), F.first("_texts").alias("_texts"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("place"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= first).select("id", "rank", "url", plain_html(F.col("title")).alias("title"), plain_html(F.coalesce(F.get("_texts", F.col("rank") - 1), F.lit(""))).alias("snippet"))
 
 
 def sidecars(spark: SparkSession, path: str) -> DataFrame:
@@ -142,6 +147,19 @@ def telemetry(lines: DataFrame, columns: list[str]) -> DataFrame:
     return ok.select(*[c for c in lines.columns if c != "line"], *[F.get(fields, F.lit(k)).try_cast("double").alias(c) for k, c in enumerate(columns)])
 
 
+def telemetry_json(lines: DataFrame, columns: list[str]) -> DataFrame:
+    """SRC-18. Samples of JSON objects, a line each; what is no number is null, and a line that is no object is an error."""
+    one = F.from_json("line", F.lit("map<string,string>"))
+    checked = lines.select(*[c for c in lines.columns if c != "line"], F.when(F.col("line").rlike(r"^\s*\{") & one.isNotNull(), one).otherwise(F.raise_error(F.lit("a telemetry line must be a JSON object"))).alias("_sample"))
+    return checked.select(*[c for c in checked.columns if c != "_sample"], *[F.try_element_at("_sample", F.lit(c)).try_cast("double").alias(c) for c in columns])
+
+
+def resolve_extension(name: Column, content: Column, allowed: list[str]) -> Column:
+    """SRC-19. The extension of the file's name if it is an allowed one, else that of its first bytes, null if neither is."""
+    named = F.concat(F.lit("."), F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"[^/]\.([^./]+)$", 1)))
+    return F.when(named.isin(*allowed), named).otherwise(F.concat(F.lit("."), sniff(content)))
+
+
 def sniff(content: Column) -> Column:
     """SRC-19. Kind of a file by its first bytes, null if unknown."""
     head = F.hex(F.substring(content, 1, 12))
@@ -149,7 +167,9 @@ def sniff(content: Column) -> Column:
 
 
 def write_registry(df: DataFrame, path: str, meta: dict[str, str], key: str) -> None:
-    """SNK-01. JSON lines in the key's order, and the source's description in a file beside them."""
-    spark = df.sparkSession
-    df.orderBy(key).write.mode("overwrite").json(f"{path}/rows")
-    spark.createDataFrame([(meta,)], "_meta map<string,string>").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+    """SNK-01. JSON lines in the key's order, the first of which is the source's description: {"_meta": {..}}.
+
+    Files are named in order; a registry's are few, as a range of keys is at least as large as the session's partitions are."""
+    records = df.select(F.lit(1).alias("_o"), F.col(key).alias("_k"), F.to_json(F.struct("*")).alias("value"))
+    first = df.sparkSession.range(1).select(F.lit(0).alias("_o"), F.lit(None).cast(df.schema[key].dataType).alias("_k"), F.to_json(F.struct(F.create_map(*[F.lit(x) for pair in meta.items() for x in pair]).alias("_meta"))).alias("value"))
+    first.unionByName(records).orderBy("_o", "_k").select("value").write.mode("overwrite").text(path)
