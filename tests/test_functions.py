@@ -135,7 +135,7 @@ def test_search_filters_after_it_oversamples(spark):
 def test_any_number_of_queries_is_answered_in_blocks(spark):
     chunks = spark.createDataFrame([(k, [float(k), 0.0]) for k in range(30)], "chunk_id long, embedding array<float>")
     asked = spark.createDataFrame([(q, [q + 0.2, 0.0]) for q in range(7)], "query_id long, embedding array<float>")
-    got = {(r.query_id, r.place, r.id) for r in vectors.nearest(chunks, asked, 2, max_queries=3).collect()}
+    got = {(r.query_id, r.place, r.id) for r in vectors.nearest(chunks, asked, 2, cell=(3, 8)).collect()}
     assert got == {(q, place, q + place - 1) for q in range(7) for place in (1, 2)}
     assert vectors.nearest(chunks, asked.limit(0), 2).count() == 0
 
