@@ -18,9 +18,12 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where that is unset (tests on one machine)."""
+    """Folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where that is unset, which only a local master may use."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set, and executors don't see the driver's folders")
         app = spark.sparkContext.applicationId
         if app not in _local:
             _local[app] = tempfile.mkdtemp(prefix="chartlode-")
