@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from chartlode.functions.lab import near
 from chartlode.functions.text import canonical_unit
-from chartlode.operators.fuzzy import name_likeness, token_set_likeness
+from chartlode.operators.fuzzy import name_likeness, token_set_likeness, token_set_udf
 
 
 @F.pandas_udf(T.StringType())
@@ -94,14 +94,66 @@ def precision_recall(matches: DataFrame, actual: DataFrame) -> DataFrame:
     return both.select("doc", "matched", "missing", (F.col("n") - F.col("matched")).alias("extra"), share(F.col("matched"), F.col("n")).alias("precision"), share(F.col("matched"), F.col("matched") + F.col("missing")).alias("recall"))
 
 
-def report_verdict(hard: list[Column], soft: list[Column], medication_recall: Column) -> Column:
-    """EVL-02. pass if all hard fields agree and half of the medications are there, warn if a soft field differs, else fail."""
-    all_hard, all_soft = F.lit(True), F.lit(True)
-    for h in hard:
-        all_hard = all_hard & F.coalesce(h, F.lit(False))
-    for s in soft:
-        all_soft = all_soft & F.coalesce(s, F.lit(False))
-    return F.when(~all_hard | (medication_recall < 0.5), "fail").when(~all_soft, "warn").otherwise("pass")
+# Likeness from which texts, list items, loose texts and anamneses agree; the least share of medications; what begins a conclusion.
+TEXTS, ITEMS, LOOSE, ANAMNESES, LEAST_MEDICATIONS, CONCLUSION = 55, 50, 50, 45, 0.5, "заключение:"
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def items_found(expected: pd.Series, actual: pd.Series) -> pd.Series:
+    """Which expected items, in order, get a free actual one that is like enough: the likest, the first of equals."""
+
+    def found(want: list, have: list) -> list[bool]:
+        free, out = [h for h in have if h and h.strip()], []
+        for w in want:
+            best = max(free, key=lambda h: token_set_likeness(w, h), default=None)
+            out.append(best is not None and token_set_likeness(w, best) >= ITEMS)
+            if out[-1]:
+                free.remove(best)
+        return out
+
+    return pd.Series([found(list(x), list(y)) for x, y in zip(expected, actual, strict=True)], dtype=object)
+
+
+def report_differences(reports: DataFrame) -> DataFrame:
+    """EVL-02. id, matched, missing, soft (names of fields, and list items as `medications: x`), recall and verdict of each report.
+
+    reports: id, expected and got, both structs of diagnosis, doctor_name, visit_date, anamnesis, medications, recommendations; got is
+    null where nothing was extracted. A diagnosis may stand anywhere in what was got; medications may stand among the
+    recommendations and the other way round. What isn't expected can't be missing. fail: something is missing (medications only
+    if fewer than half are there); warn: something soft is; else pass. Recall is 0 where nothing hard was expected or got."""
+    e, g = F.col("expected"), F.col("got")
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    items = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != ""))
+    like = lambda x, y, least: F.when((x != "") & (y != ""), token_set_udf(x, y) >= least).otherwise(False)
+    rows = reports.select("id", g.isNull().alias("none"), text(e["diagnosis"]).alias("diagnosis"), text(e["doctor_name"]).alias("doctor"), text(e["anamnesis"]).alias("anamnesis"), F.to_date(e["visit_date"]).alias("visit"), F.to_date(g["visit_date"]).alias("got_visit"), text(g["diagnosis"]).alias("got_diagnosis"), text(g["doctor_name"]).alias("got_doctor"), text(g["anamnesis"]).alias("got_anamnesis"), *[items(side[c]).alias(f"{name}{c}") for side, name in ((e, ""), (g, "got_")) for c in ("medications", "recommendations")])
+    anywhere = F.concat_ws(" ", "got_diagnosis", "got_anamnesis", "got_recommendations", "got_medications")
+    tail = F.element_at(F.split(F.lower("diagnosis"), CONCLUSION), -1)
+    rows = rows.withColumns(
+        {
+            "diagnosis_ok": like(F.col("diagnosis"), F.col("got_diagnosis"), TEXTS) | like(F.col("diagnosis"), anywhere, LOOSE) | (F.contains(F.lower("diagnosis"), F.lit(CONCLUSION)) & like(F.trim(tail), anywhere, LOOSE)),
+            "doctor_ok": like(F.col("doctor"), F.col("got_doctor"), LOOSE),
+            "visit_ok": F.coalesce(F.col("visit") == F.col("got_visit"), F.lit(False)),
+            "anamnesis_ok": like(F.col("anamnesis"), F.col("got_anamnesis"), ANAMNESES),
+            "medications_ok": items_found("medications", F.concat("got_medications", "got_recommendations")),
+            "recommendations_ok": items_found("recommendations", F.concat("got_recommendations", "got_medications")),
+        }
+    )
+    hard = [(name, there, ok) for name, there, ok in (("diagnosis", F.col("diagnosis") != "", "diagnosis_ok"), ("doctor_name", F.col("doctor") != "", "doctor_ok"), ("visit_date", F.col("visit").isNotNull(), "visit_ok"))]
+    named = lambda there, ok, name: F.when(there & ok, F.lit(name))
+    listed = lambda c, ok: F.transform(F.filter(F.arrays_zip(F.col(c).alias("x"), F.col(f"{c}_ok").alias("ok")), lambda p: p["ok"] == ok), lambda p: F.concat(F.lit(f"{c}: "), p["x"]))
+    anamnesis = F.col("anamnesis") != ""
+    share = F.size(listed("medications", True)) / F.size("medications")
+    few = F.coalesce(F.when(F.size("medications") > 0, share < LEAST_MEDICATIONS), F.lit(False))
+    nothing = F.array().cast("array<string>")
+    out = rows.select(
+        "id",
+        F.concat(F.array_compact(F.array(*[named(t, F.col(ok), n) for n, t, ok in hard], named(anamnesis, F.col("anamnesis_ok"), "anamnesis"))), listed("medications", True), listed("recommendations", True)).alias("matched"),
+        F.concat(F.array_compact(F.array(*[named(t, ~F.col(ok), n) for n, t, ok in hard])), F.when(few, listed("medications", False)).otherwise(nothing)).alias("missing"),
+        F.concat(F.when(few, nothing).otherwise(listed("medications", False)), listed("recommendations", False), F.array_compact(F.array(named(anamnesis & ~F.col("none"), ~F.col("anamnesis_ok"), "anamnesis")))).alias("soft"),
+    )
+    every = F.size("matched") + F.size("missing")
+    verdict = F.when(F.size("missing") > 0, "fail").when(F.size("soft") > 0, "warn").otherwise("pass")
+    return out.withColumn("recall", F.when(every > 0, F.size("matched") / every).otherwise(0.0)).withColumn("verdict", verdict)
 
 
 def audited(facts: DataFrame, said: DataFrame, value: str) -> DataFrame:

@@ -153,10 +153,20 @@ def evl_01(t: Tables) -> DataFrame:
     return scoring.precision_recall(matches, a).join(wrong, "doc", "left").na.fill(0, ["mismatched"])
 
 
-@query("EVL-02", "reports", "SELECT id, CASE WHEN doctor_name IS NULL OR id % 4 = 0 THEN 'fail' WHEN visit_date IS NULL THEN 'warn' ELSE 'pass' END AS verdict FROM reports")
+@query("EVL-02", "reports", """WITH r AS (SELECT id, id % 11 > 0 AS g, doctor_name IS NOT NULL AS hd, visit_date IS NOT NULL AS hv, id % 11 > 0 AND id % 9 > 0 AS ok_diagnosis, id % 11 > 0 AND id % 6 > 0 AS ok_doctor, id % 11 > 0 AND id % 7 > 0 AS ok_visit,
+CASE WHEN id % 11 = 0 OR id % 4 = 0 THEN 0 WHEN id % 4 = 1 THEN 1 ELSE 2 END AS meds FROM reports),
+n AS (SELECT *, ok_diagnosis::INT + (hd AND ok_doctor)::INT + (hv AND ok_visit)::INT + meds AS matched, (NOT ok_diagnosis)::INT + (hd AND NOT ok_doctor)::INT + (hv AND NOT ok_visit)::INT + CASE WHEN meds = 0 THEN 2 ELSE 0 END AS missing, CASE WHEN meds = 1 THEN 1 ELSE 0 END AS soft FROM r)
+SELECT id, matched, missing, soft, round(matched / (matched + missing), 6) AS recall, CASE WHEN missing > 0 THEN 'fail' WHEN soft > 0 THEN 'warn' ELSE 'pass' END AS verdict FROM n""")
 def evl_02(t: Tables) -> DataFrame:
-    v = scoring.report_verdict([F.col("doctor_name") == F.col("doctor_name")], [F.col("visit_date") == F.col("visit_date")], F.when(F.col("id") % 4 == 0, 0.4).otherwise(1.0))
-    return t.reports().select("id", v.alias("verdict"))
+    """What was got of a report: nothing, or with another diagnosis, doctor or day, or with fewer medications."""
+    r = t.reports()
+    none = F.lit(None).cast("string")
+    side = lambda diagnosis, doctor, visit, medications: F.struct(diagnosis.alias("diagnosis"), doctor.alias("doctor_name"), visit.alias("visit_date"), none.alias("anamnesis"), medications.alias("medications"), F.array().cast("array<string>").alias("recommendations"))
+    c, i = F.col, F.col("id")
+    meds = F.when(i % 4 == 0, F.array(F.lit("xyxyxyxyxyxyxyxy"))).when(i % 4 == 1, F.slice("medications", 1, 1)).otherwise(F.reverse("medications"))
+    got = side(F.when(i % 9 == 0, "zzz").otherwise(c("diagnosis")), F.when(i % 6 > 0, F.upper("doctor_name")), F.when(i % 7 == 0, F.date_add("visit_date", 1)).otherwise(F.to_date("visit_date")), meds)
+    rows = r.select("id", side(c("diagnosis"), c("doctor_name"), F.to_date("visit_date"), c("medications")).alias("expected"), F.when(i % 11 > 0, got).alias("got"))
+    return scoring.report_differences(rows).select("id", *[F.size(x).alias(x) for x in ("matched", "missing", "soft")], F.round("recall", 6).alias("recall"), "verdict")
 
 
 @query("EVL-03", "", "SELECT o_orderkey AS evidence_id, CASE WHEN o_orderkey % 5 = 0 THEN 'missing' WHEN o_orderkey % 7 = 0 THEN 'wrong' ELSE 'ok' END AS verdict FROM orders")

@@ -129,7 +129,7 @@ def test_search_filters_after_it_oversamples(spark):
     assert [r.id for r in vectors.search(chunks, asked, 2, source="drug", prefilter=True).orderBy("place").collect()] == [10, 12]
     assert [r.id for r in vectors.search(chunks, asked, 2, user_id=7).orderBy("place").collect()] == [0, 1]
     with pytest.raises(ValueError):
-        vectors.nearest(chunks, asked, 1, max_queries=0)
+        vectors.nearest(chunks, asked, 1, cell=(0, 8))
 
 
 def test_any_number_of_queries_is_answered_in_blocks(spark):

@@ -314,3 +314,25 @@ def test_blocks_of_a_hot_key_end_as_one_scan(spark):
         assert tuple(none) == ("x", 0, None)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_differences_of_reports(spark):
+    side = "struct<diagnosis:string,doctor_name:string,visit_date:date,anamnesis:string,medications:array<string>,recommendations:array<string>>"
+    import datetime
+
+    day, other = datetime.date(2024, 1, 2), datetime.date(2024, 1, 3)
+    want = ("Арит­мия лёгкая", "Dr A B", day, "long story", ["aspirin 5 mg", " ", "iron"], ["walk more"])
+    rows = [
+        (1, want, want),
+        (2, want, None),
+        (3, want, ("", "dr b a", other, "qqqqq", ["walk more"], ["aspirin  5 MG", "Арит­мия лёгкая"])),
+        (4, (None, "", None, None, None, []), None),
+        (5, ("x. Заключение: stable angina", None, None, None, None, None), (None, None, None, "stable angina", None, None)),
+    ]
+    got = {r.id: r for r in scoring.report_differences(spark.createDataFrame(rows, f"id long, expected {side}, got {side}")).collect()}
+    assert (got[1].verdict, got[1].recall, got[1].missing, got[1].soft) == ("pass", 1.0, [], [])
+    assert got[2].missing == ["diagnosis", "doctor_name", "visit_date", "medications: aspirin 5 mg", "medications: iron"] and got[2].soft == ["recommendations: walk more"]
+    assert got[3].matched == ["diagnosis", "doctor_name", "medications: aspirin 5 mg", "recommendations: walk more"]
+    assert (got[3].missing, got[3].soft, got[3].verdict) == (["visit_date"], ["medications: iron", "anamnesis"], "fail")
+    assert (got[4].matched, got[4].verdict, got[4].recall) == ([], "pass", 0.0)
+    assert (got[5].matched, got[5].verdict) == (["diagnosis"], "pass")
