@@ -45,12 +45,13 @@ def lab_key() -> Column:
 def exact_or_like(labs: DataFrame, queries: DataFrame) -> DataFrame:
     """FLT-07. For each query (column q): results whose key equals it; only where there are none, results whose name contains it.
 
-    Both sides are joined by distinct names, of which a registry has some thousand, so the LIKE never meets all rows."""
+    Keys are met by an equal join. Only queries without one are searched in names, and only in distinct ones, of which a registry
+    has some thousand, so the LIKE never meets all rows."""
     names = labs.select(lab_key().alias("key"), F.lower("analyte_name").alias("name")).distinct()
     wanted = queries.select(F.lower("q").alias("q")).distinct()
-    hits = names.join(F.broadcast(wanted), (F.col("key") == F.col("q")) | F.col("name").contains(F.col("q")))
-    any_exact = F.max(F.col("key") == F.col("q")).over(Window.partitionBy("q"))
-    hits = hits.withColumn("any_exact", any_exact).where((F.col("key") == F.col("q")) | ~F.col("any_exact")).select("q", "key", "name").distinct()
+    exact = wanted.join(names, F.col("q") == F.col("key"))
+    parts = wanted.join(names.select(F.col("key").alias("q")).distinct(), "q", "left_anti").join(names, F.col("name").contains(F.col("q")))
+    hits = exact.unionByName(parts).select("q", "key", "name")
     return labs.withColumn("key", lab_key()).withColumn("name", F.lower("analyte_name")).join(hits, ["key", "name"]).drop("key", "name")
 
 

@@ -162,6 +162,44 @@ def audited(facts: DataFrame, said: DataFrame, value: str) -> DataFrame:
     return joined.select("evidence_id", F.when(F.col("_said").isNull(), "missing").when(near(F.col("want"), F.col("have")), "ok").otherwise("wrong").alias("verdict"))
 
 
+def audit_scores(required: DataFrame, facts: DataFrame, said: DataFrame, groups: DataFrame, needed: DataFrame) -> DataFrame:
+    """EVL-03. A row for each patient of needed: what an audit left out or got wrong, and whether it passed.
+
+    required: patient, kind (lab, date, medication), evidence_id. facts: patient, evidence_id, name, value_num, unit, status, day, raw,
+    canonical, schedule. said: patient, kind (also contradiction and finding), ordinal, evidence_ids and the same fields. groups:
+    patient, group_id, evidence_ids of facts that contradict each other. needed: patient, findings. The first assertion that cites
+    an id is the one that counts. A lab must have the fact's number, unit, status and name; a date its day; a medication its text, and
+    what the fact knows of canonical name and schedule. A contradiction is found if one assertion cites the whole group, a finding
+    counts if it cites something and nothing unknown. Passed: no unknown ids, nothing missing or wrong, all groups and enough findings."""
+    fields = ["name", "value_num", "unit", "status", "day", "raw", "canonical", "schedule"]
+    cited = said.select("patient", "kind", "ordinal", F.explode(F.array_distinct("evidence_ids")).alias("evidence_id"), *fields)
+    first = cited.groupBy("patient", "kind", "evidence_id").agg(F.min_by(F.struct(*fields), "ordinal").alias("have"))
+    known = facts.select("patient", "evidence_id", F.struct(*fields).alias("want"))
+    both = required.join(known, ["patient", "evidence_id"], "left").join(first, ["patient", "kind", "evidence_id"], "left")
+    w, h = F.col("want"), F.col("have")
+    norm = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    same = lambda c: norm(w[c]) == norm(h[c])
+    lab = w["value_num"].eqNullSafe(h["value_num"]) & same("unit") & w["status"].eqNullSafe(h["status"]) & same("name")
+    drug = same("raw") & (w["canonical"].isNull() | same("canonical")) & (w["schedule"].isNull() | same("schedule"))
+    right = F.when(F.col("kind") == "lab", lab).when(F.col("kind") == "date", F.coalesce(w["day"] == h["day"], F.lit(False))).otherwise(drug)
+    verdict = F.when(w.isNull() | h.isNull(), "missing").when(right, "ok").otherwise("wrong")
+    kinds = [(k, v) for k in ("lab", "date", "medication") for v in ("missing", "wrong")]
+    judged = both.select("patient", "kind", verdict.alias("verdict")).groupBy("patient").agg(*[F.count_if((F.col("kind") == k) & (F.col("verdict") == v)).alias(f"{k}_{v}") for k, v in kinds])
+    marked = cited.join(known.select("patient", "evidence_id", F.lit(1).alias("_known")), ["patient", "evidence_id"], "left")
+    unknown = marked.where("_known is null").groupBy("patient").agg(F.countDistinct("evidence_id").alias("invalid"))
+    sound = marked.where("kind = 'finding'").groupBy("patient", "ordinal").agg(F.count("*").alias("n"), F.count("_known").alias("k")).where("n = k").groupBy("patient").agg(F.count("*").alias("findings_found"))
+    members = groups.select("patient", "group_id", F.size(F.array_distinct("evidence_ids")).alias("size"), F.explode(F.array_distinct("evidence_ids")).alias("evidence_id"))
+    whole = members.join(cited.where("kind = 'contradiction'").select("patient", "evidence_id", "ordinal"), ["patient", "evidence_id"]).groupBy("patient", "group_id", "ordinal").agg(F.count("*").alias("n"), F.max("size").alias("size")).where("n = size")
+    met = whole.groupBy("patient").agg(F.countDistinct("group_id").alias("contradictions_found"))
+    wanted = groups.groupBy("patient").agg(F.count("*").alias("contradictions"))
+    out = needed.select("patient", "findings")
+    for part in (judged, unknown, sound, met, wanted):
+        out = out.join(part, "patient", "left")
+    out = out.na.fill(0, [c for c in out.columns if c != "patient"])
+    failed = [F.col("invalid") > 0, *[F.col(f"{k}_{v}") > 0 for k, v in kinds], F.col("contradictions_found") < F.col("contradictions"), F.col("findings_found") < F.col("findings")]
+    return out.withColumn("passed", ~F.greatest(*failed))
+
+
 def golden(labs: DataFrame, most: int) -> DataFrame:
     """EVL-05, EVL-10. The first so many results outside their bounds of each user, by id."""
     from chartlode.operators.filters import out_of_reference

@@ -176,6 +176,26 @@ def evl_03(t: Tables) -> DataFrame:
     return scoring.audited(facts, said, "v")
 
 
+@query("EVL-03b", "labs", """WITH f AS (SELECT DISTINCT document_id AS patient, id FROM labs), g AS (SELECT patient, min(id) AS a, max(id) AS b FROM f GROUP BY 1),
+v AS (SELECT patient, id, id % 3 AS k, id % 5 = 0 AS gone, id % 7 = 0 AS bad FROM f),
+c AS (SELECT patient, count_if(k = 0 AND gone) AS lab_missing, count_if(k = 0 AND bad AND NOT gone) AS lab_wrong, count_if(k = 1 AND gone) AS date_missing, count_if(k = 1 AND bad AND NOT gone) AS date_wrong, count_if(k = 2 AND gone) AS medication_missing, count_if(k = 2 AND bad AND NOT gone) AS medication_wrong FROM v GROUP BY 1),
+n AS (SELECT *, (patient % 3 > 0)::INT AS invalid, 1 AS contradictions, (patient % 2 = 0)::INT AS contradictions_found, 1 AS findings, (patient % 3 = 0)::INT AS findings_found FROM c)
+SELECT *, lab_missing + lab_wrong + date_missing + date_wrong + medication_missing + medication_wrong + invalid = 0 AND contradictions_found = 1 AND findings_found = 1 AS passed FROM n""")
+def evl_03b(t: Tables) -> DataFrame:
+    """Whole audits of documents: labs, dates and medications by turns, a fifth left out, a seventh wrong; contradictions and findings."""
+    i, none = F.col("id"), F.lit(None).cast("string")
+    facts = t.labs().select(F.col("document_id").alias("patient"), i.alias("evidence_id"), F.col("analyte_name").alias("name"), "value_num", F.lit("g").alias("unit"), F.lit("high").alias("status"), F.to_date("taken_at").alias("day"), F.concat(F.lit("Drug "), i).alias("raw"), none.alias("canonical"), F.when(i % 2 == 0, "daily").alias("schedule"), "id").dropDuplicates(["id"])
+    kind = F.when(i % 3 == 0, "lab").when(i % 3 == 1, "date").otherwise("medication")
+    bad = i % 7 == 0
+    row = facts.where(i % 5 > 0).select("patient", kind.alias("kind"), i.alias("ordinal"), F.array("evidence_id").alias("evidence_ids"), F.upper("name").alias("name"), F.when(bad, F.lit(-1.0)).otherwise(F.col("value_num")).alias("value_num"), F.lit(" G ").alias("unit"), "status", F.when(bad, F.date_add("day", 1)).otherwise(F.col("day")).alias("day"), F.when(bad, "x").otherwise(F.concat(F.lit(" drug  "), i)).alias("raw"), F.lit("any").alias("canonical"), F.lit("Daily").alias("schedule"))
+    ends = facts.groupBy("patient").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.array_distinct(F.array(F.min("id"), F.max("id"))).alias("evidence_ids"))
+    blank = [F.lit(None).cast(x.dataType).alias(x.name) for x in row.schema.fields[4:]]
+    contradictions = ends.where("patient % 2 = 0").select("patient", F.lit("contradiction").alias("kind"), F.lit(0).cast("long").alias("ordinal"), "evidence_ids", *blank)
+    findings = ends.select("patient", F.lit("finding").alias("kind"), F.lit(0).cast("long").alias("ordinal"), F.when(F.col("patient") % 3 == 0, F.array("a")).otherwise(F.array(F.col("a"), F.lit(-1).cast("long"))).alias("evidence_ids"), *blank)
+    said = row.unionByName(contradictions).unionByName(findings)
+    return scoring.audit_scores(facts.select("patient", kind.alias("kind"), "evidence_id"), facts, said, ends.select("patient", F.lit(1).alias("group_id"), "evidence_ids"), ends.select("patient", F.lit(1).cast("long").alias("findings")))
+
+
 @query("EVL-05", "labs", "SELECT id, user_id FROM labs WHERE (ref_low IS NOT NULL OR ref_high IS NOT NULL) AND (value_num < coalesce(ref_low, -1e18) OR value_num > coalesce(ref_high, 1e18)) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY id, taken_at, value_num) <= 20")
 def evl_05(t: Tables) -> DataFrame:
     return scoring.golden(t.labs(), 20).select("id", "user_id")
