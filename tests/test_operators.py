@@ -336,3 +336,71 @@ def test_differences_of_reports(spark):
     assert (got[3].missing, got[3].soft, got[3].verdict) == (["visit_date"], ["medications: iron", "anamnesis"], "fail")
     assert (got[4].matched, got[4].verdict, got[4].recall) == ([], "pass", 0.0)
     assert (got[5].matched, got[5].verdict) == (["diagnosis"], "pass")
+
+
+def plain_likeness(a, b):
+    """Twice the longest common subsequence over both lengths, by recursion over both ends."""
+    from functools import cache
+
+    @cache
+    def common(i, j):
+        if i == len(a) or j == len(b):
+            return 0
+        return 1 + common(i + 1, j + 1) if a[i] == b[j] else max(common(i + 1, j), common(i, j + 1))
+
+    return 100.0 if not a and not b else 200.0 * common(0, 0) / (len(a) + len(b))
+
+
+def plain_token_set(a, b):
+    x, y = {*a.lower().split()}, {*b.lower().split()}
+    if x & y and (x <= y or y <= x):
+        return 100.0
+    shared, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+    full = [f"{shared} {s}".strip() for s in (left, right)]
+    return max([plain_likeness(*full)] + ([plain_likeness(shared, s) for s in full] if shared else []))
+
+
+def test_likeness_equals_a_plain_one(spark):
+    import random
+
+    from chartlode.operators import fuzzy
+
+    rng = random.Random(12)
+    text = lambda: " ".join(rng.choice(["iron", "Iron", "zinc", "b12", "of", "ferritin"]) for _ in range(rng.randint(0, 4)))
+    rows = [(text(), text()) for _ in range(120)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for r in df.select("a", "b", fuzzy.likeness_udf("a", "b").alias("one"), fuzzy.token_set_udf("a", "b").alias("two")).collect():
+        assert r.one == pytest.approx(plain_likeness(r.a, r.b)), r
+        assert r.two == pytest.approx(plain_token_set(r.a, r.b)), r
+
+
+def test_lists_match_in_order_and_once(spark):
+    import random
+
+    rng = random.Random(13)
+    items = ["aspirin 5 mg", "aspirin 10 mg", "iron tablets", "iron", "zinc drops", "vitamin d3"]
+    rows = [(k, rng.choices(items, k=rng.randint(0, 5)), rng.choices(items, k=rng.randint(0, 5))) for k in range(60)]
+    got = {r.id: (r.n_expected, r.n_found) for r in scoring.match_lists(spark.createDataFrame(rows, "id long, expected array<string>, actual array<string>"), 80).collect()}
+    for k, want, have in rows:
+        free, n = list(have), 0
+        for w in want:
+            scores = [plain_token_set(w, h) for h in free]
+            if scores and max(scores) >= 80:
+                free.pop(scores.index(max(scores)))
+                n += 1
+        assert got[k] == (len(want), n)
+
+
+def test_embeddings_come_in_batches_and_in_order(spark):
+    from chartlode.operators import vectors
+
+    def embed(texts):
+        if len(texts) > 7:
+            raise ValueError("too many at once")
+        return [[float(len(t)), float(i == 0)] for i, t in enumerate(texts)]
+
+    df = spark.createDataFrame([(k, "x" * k) for k in range(40)], "id int, text string").coalesce(1)
+    rows = vectors.embedded(df, embed, batch=7).collect()
+    assert [(r.id, r.embedding) for r in rows] == [(k, [float(k), float(k % 7 == 0)]) for k in range(40)]
+    with pytest.raises(PySparkException, match="as many vectors as texts"):
+        vectors.embedded(df, lambda texts: [[0.0]], batch=7).collect()
