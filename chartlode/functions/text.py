@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import html
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Unit spellings and the unit that each stands for.
 UNIT_ALIASES = {
@@ -149,12 +152,15 @@ def citation_ratio(x: Column) -> Column:
     return F.when(F.size(lines) == 0, 0.0).otherwise(F.size(F.filter(lines, lambda s: s.rlike(r"\[[A-Z]+:"))) / F.size(lines))
 
 
+@F.pandas_udf(T.StringType())
+def decoded(x: pd.Series) -> pd.Series:
+    """Character references as their characters, white space around gone."""
+    return x.map(lambda s: html.unescape(s).strip(), na_action="ignore")
+
+
 def plain_html(x: Column) -> Column:
-    """SC-22. Tags gone, the common character references decoded, trimmed. Others stay."""
-    out = F.regexp_replace(x, r"(?s)<.*?>", "")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.trim(out)
+    """SC-22. Tags gone, all character references decoded, trimmed. What no reference names stays."""
+    return decoded(F.regexp_replace(x, r"(?s)<.*?>", ""))
 
 
 def short_label(x: Column) -> Column:

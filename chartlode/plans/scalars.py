@@ -174,11 +174,11 @@ def sc_21(t: Tables) -> DataFrame:
 
 
 HTML = "regexp_replace(html, '(?s)<.*?>', '', 'g')"
-for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
     HTML = f"replace({HTML}, '{name}', '{char}')"
 
 
-@query("SC-22", "", f"SELECT page_id, trim({HTML}) AS plain FROM pages")
+@query("SC-22", "", f"SELECT page_id, trim({HTML}, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) AS plain FROM pages")
 def sc_22(t: Tables) -> DataFrame:
     return t.read("pages").select("page_id", text.plain_html(c("html")).alias("plain"))
 

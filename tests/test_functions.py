@@ -145,3 +145,11 @@ def test_citations_of_large_keys_are_valid(spark, tmp_path):
 
     spark.createDataFrame([(20_000_000,), (20_000_003,), (7,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
     assert {(r.id, r.precision) for r in evl_06(Tables(spark, str(tmp_path))).collect()} == {(20_000_000, 0.5), (20_000_003, 0.5), (7, 0.5)}
+
+
+def test_character_references_are_all_decoded(spark):
+    from chartlode.functions.text import plain_html
+
+    rows = [(0, " <p>caf&eacute; &#8217;s&#x2019; &amp;lt; &nbsp;&unknown; </p>\n"), (1, None), (2, "<br>")]
+    got = {r.i: r.s for r in spark.createDataFrame(rows, "i int, x string").select("i", plain_html(F.col("x")).alias("s")).collect()}
+    assert got == {0: "café ’s’ &lt;  &unknown;", 1: None, 2: ""}
