@@ -76,8 +76,17 @@ def due(accounts: DataFrame, now: str) -> DataFrame:
     return accounts.where(F.col("sync_interval_hours").isNotNull() & (F.col("last_sync_at").isNull() | (next_at <= F.lit(now).cast("timestamp_ntz"))))
 
 
-def snippets(docs: DataFrame, terms: DataFrame, length: int, per_term: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """FLT-14. For each term (a stated, broadcast list): the first per_term texts by id that contain it, cut to length."""
-    hits = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(terms.select("term").distinct()), F.lower("text").contains(F.lower("term")))
+def snippets(docs: DataFrame, terms: DataFrame, length: int, per_term: int, id_col: str = "doc_id", text_col: str = "text", most_terms: int = 1000) -> DataFrame:
+    """FLT-14. For each term (a stated list): the first per_term texts by id that contain it, in any case, cut to length.
+
+    Each text is read once and meets all terms, so there may be most_terms of them at most; more are an error. Spark keeps per_term
+    rows of a term in each task before it ranks them. Null and empty terms find nothing."""
+    wanted = [r["term"] for r in terms.select("term").where("term <> ''").distinct().limit(most_terms + 1).collect()]
+    if len(wanted) > most_terms:
+        raise ValueError(f"over {most_terms} terms; ask in parts")
+    text = F.col(text_col)
+    low = F.lower(text)
+    hit = F.filter(F.array(*[F.lit(t) for t in sorted(wanted)]).cast("array<string>"), lambda t: F.contains(low, F.lower(t)))
+    hits = docs.select(F.col(id_col).alias("id"), F.substring(text, 1, length).alias("snippet"), F.explode(hit).alias("term"))
     rank = F.row_number().over(Window.partitionBy("term").orderBy("id"))
-    return hits.select("term", "id", F.substring("text", 1, length).alias("snippet"), rank.alias("place")).where(F.col("place") <= per_term)
+    return hits.select("term", "id", "snippet", rank.alias("place")).where(F.col("place") <= per_term)

@@ -404,3 +404,15 @@ def test_embeddings_come_in_batches_and_in_order(spark):
     assert [(r.id, r.embedding) for r in rows] == [(k, [float(k), float(k % 7 == 0)]) for k in range(40)]
     with pytest.raises(PySparkException, match="as many vectors as texts"):
         vectors.embedded(df, lambda texts: [[0.0]], batch=7).collect()
+
+
+def test_snippets_of_a_stated_list_of_terms(spark):
+    from chartlode.operators import filters
+
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["Iron and zinc", "zinc", None, "ZINC only", "irons"])], "doc_id int, text string")
+    terms = spark.createDataFrame([("Zinc",), ("iron",), ("",), (None,), ("absent",), ("iron",)], "term string")
+    got = sorted((r.term, r.place, r.id, r.snippet) for r in filters.snippets(docs, terms, 4, 2).collect())
+    assert got == [("Zinc", 1, 0, "Iron"), ("Zinc", 2, 1, "zinc"), ("iron", 1, 0, "Iron"), ("iron", 2, 4, "iron")]
+    assert filters.snippets(docs, terms.where("false"), 4, 2).count() == 0
+    with pytest.raises(ValueError):
+        filters.snippets(docs, terms, 4, 2, most_terms=2)
