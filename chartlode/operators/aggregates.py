@@ -33,7 +33,7 @@ def facets(documents: DataFrame) -> DataFrame:
 def series(labs: DataFrame, key: Column) -> DataFrame:
     """AGG-09. Per analyte: its points in time order, in chunks of CHUNK points, so that no row grows with a frequent analyte."""
     points = F.sort_array(F.collect_list(F.struct("_place", "value_num")))
-    rows = chunked(labs.withColumn("analyte", key), "analyte", ["taken_at", "id", "value_num"])
+    rows = chunked(labs.select(key.alias("analyte"), "taken_at", "id", "value_num"), "analyte", ["taken_at", "id", "value_num"])
     return rows.groupBy("analyte", "chunk").agg(F.transform(points, lambda p: p["value_num"]).alias("values_in_order"), F.count("*").alias("n"))
 
 
@@ -137,7 +137,7 @@ def matched_share(labs: DataFrame) -> DataFrame:
 def period_lines(labs: DataFrame) -> DataFrame:
     """AGG-30. Per analyte: its values in time order with arrows between, in chunks as in AGG-09; on each the last unit and bounds and the last point's marker."""
     order = ["taken_at", "id", "value_num", "unit", "ref_low", "ref_high"]
-    rows = labs.where("value_num is not null")
+    rows = labs.where("value_num is not null").select("analyte_name", *order)
     ends = rows.groupBy("analyte_name").agg(F.max(F.struct(*order)).alias("last"))
     points = F.sort_array(F.collect_list(F.struct("_place", "value_num")))
     out = chunked(rows, "analyte_name", order).groupBy("analyte_name", "chunk").agg(points.alias("points")).join(ends, "analyte_name")
