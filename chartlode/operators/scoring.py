@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -227,9 +229,34 @@ def verdict(accuracy: Column) -> Column:
 
 
 def packages(facts: DataFrame, key: list[str]) -> DataFrame:
-    """EVL-09, D23. Per patient: number of facts and the SHA-256 of their canonical JSON, whatever their order."""
-    rows = F.array_sort(F.collect_list(F.to_json(F.struct(*[c for c in sorted(facts.columns) if c not in key]))))
-    return facts.groupBy(*key).agg(F.count("*").alias("n_facts"), F.sha2(F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]")), 256).alias("sha256"))
+    """EVL-09, D23. Per patient: number of facts and the SHA-256 of their canonical JSON, whatever their order.
+
+    Facts are sorted by Spark, which may spill, and hashed as they come by: a patient's facts are in one task, as their hash is of one
+    sequence, but never in its memory at once."""
+    fact = F.to_json(F.struct(*[c for c in sorted(facts.columns) if c not in key])).alias("_fact")
+    rows = facts.select(F.struct(*key).alias("_key"), fact).repartition("_key").sortWithinPartitions("_key", "_fact")
+    names = ["_key", "n_facts", "sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n, sha = None, 0, None
+        for batch in batches:
+            done = []
+            for row, text in zip(batch.column("_key").to_pylist(), batch.column("_fact").to_pylist(), strict=True):
+                if sha is None or row != own:
+                    if sha is not None:
+                        sha.update(b"]")
+                        done.append((own, n, sha.hexdigest()))
+                    own, n, sha = row, 0, hashlib.sha256(b"[")
+                sha.update((b"," if n else b"") + text.encode())
+                n += 1
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (batch.column("_key").type, pa.int64(), pa.string()), strict=True)], names)
+        if sha is not None:
+            sha.update(b"]")
+            yield pa.RecordBatch.from_arrays([pa.array([own], batch.column("_key").type), pa.array([n], pa.int64()), pa.array([sha.hexdigest()])], names)
+
+    out = T.StructType([rows.schema["_key"], T.StructField("n_facts", T.LongType()), T.StructField("sha256", T.StringType())])
+    return rows.mapInArrow(run, out).select("_key.*", "n_facts", "sha256")
 
 
 def answer_score(x: Column, forbidden: list[str]) -> Column:

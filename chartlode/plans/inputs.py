@@ -120,6 +120,32 @@ def src_15(t: Tables) -> DataFrame:
     return readers.log_documents(body.unionByName(heads))
 
 
+#: A run's log for each supplier: what is measured of each order, then the summary in which orders are rows, then failures that look like rows.
+SUMMARY_SQL = """WITH l AS (SELECT DISTINCT l_suppkey AS f, l_orderkey AS o FROM lineitem), m AS (SELECT l_suppkey AS f, l_orderkey AS o, round(avg(l_quantity), 4) AS tps, sum(l_linenumber)::DOUBLE AS matched, (9 * count(*))::DOUBLE AS expected FROM lineitem WHERE l_orderkey % 5 > 0 GROUP BY ALL)
+SELECT concat('f', l.f) AS file, concat('doc', l.o, '.pdf') AS doc, CASE WHEN l.o % 3 = 0 THEN 'FAIL' ELSE 'PASS' END AS status, (l.o % 90)::DOUBLE / 2 AS classify_s, (l.o % 70)::DOUBLE AS extract_s, (l.o % 90)::DOUBLE / 2 + l.o % 70 AS total_s,
+CASE WHEN l.o % 4 > 0 THEN (l.o % 4)::DOUBLE / 4 ELSE 0.0 END AS precision, (l.o % 2)::DOUBLE AS recall, coalesce(tps, 0.0) AS tps, coalesce(matched, 0.0) AS matched, coalesce(expected, 0.0) AS expected FROM l LEFT JOIN m USING (f, o)"""
+
+
+@query("SRC-15b", "", SUMMARY_SQL)
+def src_15b(t: Tables) -> DataFrame:
+    """The summary table of the same logs; every fifth order was never measured, and what stands after the failures' heading is no row."""
+    li = t.read("lineitem").select(F.concat(F.lit("f"), "l_suppkey").alias("file"), F.col("l_orderkey").alias("o"), "l_linenumber", "l_quantity")
+    doc, measured, far = F.concat(F.lit("doc"), "o", F.lit(".pdf")), li.where("o % 5 > 0"), 1 << 40
+    text = lambda *parts: F.concat(*[F.lit(p) if p[0] in " [" else F.expr(p).cast("string") for p in parts]).alias("line")
+    heads = measured.select("file", (F.col("o") * 10).alias("line_no"), F.concat(F.lit("[E2E] "), doc).alias("line")).distinct()
+    body = measured.select("file", (F.col("o") * 10 + 1).alias("line_no"), text("[METRICS] tps=", "l_quantity", " matched=", "l_linenumber", "'/9'"))
+    once = li.select("file", "o").distinct()
+    row = F.concat(doc, text(" ", "if(o % 3 = 0, 'FAIL', 'PASS')", "   ", "round(o % 90 / 2, 1)", "'s'", "   ", "o % 70", "'.0s'", "  ", "round(o % 90 / 2 + o % 70, 1)", "'s'", "     ", "if(o % 4 > 0, string(o % 4 / 4), '—')", "     ", "o % 2", "    ", "o % 3")).alias("line")
+    rows = once.select("file", (F.col("o") + far).alias("line_no"), row)
+    late = once.select("file", (F.col("o") + 3 * far).alias("line_no"), row)
+    files = once.select("file").distinct()
+    frame = [files.select("file", F.lit(n).alias("line_no"), F.lit(s).alias("line")) for n, s in ((far - 1, "=== ИТОГОВАЯ СВОДКА E2E ==="), (far, "-----"), (2 * far, "Документов: 9"), (2 * far + 1, "ПРОВАЛЫ"))]
+    lines = heads
+    for more in (body, rows, late, *frame):
+        lines = lines.unionByName(more)
+    return readers.log_summary(lines)
+
+
 @query("SRC-18", "", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS power, (event_id % 70)::DOUBLE AS temp FROM events WHERE event_id % 5 > 0")
 def src_18(t: Tables) -> DataFrame:
     line = F.concat(F.when(F.col("event_id") % 3 == 0, "[N/A]").otherwise(F.col("value").cast("string")), F.lit(", "), F.col("event_id") % 70, F.when(F.col("event_id") % 5 == 0, ", 1").otherwise(""))

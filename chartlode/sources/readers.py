@@ -140,6 +140,28 @@ def log_documents(lines: DataFrame) -> DataFrame:
     return under.where("doc is not null").groupBy("file", "doc").agg(F.round(F.avg("tps"), 4).alias("tps"), F.sum("m").alias("matched"), F.sum("e").alias("expected"))
 
 
+#: Fixed values of the benchmark's output: the summary's heading, the heading of what follows it, and the outcomes of a document.
+SUMMARY, FAILURES, OUTCOMES = "ИТОГОВАЯ СВОДКА E2E", "ПРОВАЛЫ", ("PASS", "FAIL", "SKIP")
+
+
+def log_summary(lines: DataFrame) -> DataFrame:
+    """SRC-15. Rows of a file's summary table, between its heading and the list of failures: name, status, three times, precision and recall
+    (0.0 for what is no number), with the document's rate and matches from the lines above (0 for a document without any).
+
+    A row is eight fields: a name with a dot, an outcome, three seconds `1.5s`, and three more. Where the table begins and ends are two
+    aggregates of a file, not a scan of it in order. Lines without number or text are in no table."""
+    begins = lines.where(F.col("line").contains(SUMMARY)).groupBy("file").agg(F.min("line_no").alias("_from"))
+    ends = lines.where(F.col("line").startswith(FAILURES)).join(begins, "file").where("line_no > _from").groupBy("file").agg(F.min("line_no").alias("_to"))
+    part = F.split(F.trim("line"), r"\s+")
+    at = lambda k: F.get(part, F.lit(k))
+    seconds = lambda k: F.when(at(k).rlike(r"^[0-9.]+s$"), F.rtrim(at(k), F.lit("s")).try_cast("double"))
+    row = lines.where(F.col("line").rlike(r"^\s*\S+\.\S+\s+(?:" + "|".join(OUTCOMES) + r")\s"))
+    row = row.join(begins, "file").join(ends, "file", "left").where("line_no > _from and (_to is null or line_no < _to)")
+    fields = row.select("file", at(0).alias("doc"), at(1).alias("status"), *[seconds(k).alias(c) for k, c in enumerate(("classify_s", "extract_s", "total_s"), 2)], F.coalesce(at(5).try_cast("double"), F.lit(0.0)).alias("precision"), F.coalesce(at(6).try_cast("double"), F.lit(0.0)).alias("recall"), at(7).alias("_last"))
+    whole = fields.where("classify_s is not null and extract_s is not null and total_s is not null and _last is not null").drop("_last")
+    return whole.join(log_documents(lines), ["file", "doc"], "left").na.fill(0, ["tps", "matched", "expected"])
+
+
 def telemetry(lines: DataFrame, columns: list[str]) -> DataFrame:
     """SRC-18. CSV samples with N/A as null; lines of another number of fields are left out."""
     fields = F.transform(F.split("line", ","), lambda s: F.trim(s))

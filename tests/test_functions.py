@@ -153,3 +153,33 @@ def test_character_references_are_all_decoded(spark):
     rows = [(0, " <p>caf&eacute; &#8217;s&#x2019; &amp;lt; &nbsp;&unknown; </p>\n"), (1, None), (2, "<br>")]
     got = {r.i: r.s for r in spark.createDataFrame(rows, "i int, x string").select("i", plain_html(F.col("x")).alias("s")).collect()}
     assert got == {0: "café ’s’ &lt;  &unknown;", 1: None, 2: ""}
+
+
+def test_summary_table_ends_at_the_failures(spark):
+    from chartlode.sources import readers
+
+    log = """[E2E] a.pdf
+    [METRICS] tps=10 matched=1/2
+    a.pdf  PASS   9.0s   9.0s  9.0s   1  1  0
+    ===== ИТОГОВАЯ СВОДКА E2E =====
+    a.pdf  PASS   10.5s   38.0s  48.5s      1.00     —        0
+    b.v2.pdf  SKIP   0.5s   0.0s  0.5s      0.50     0.25        -
+    short.pdf  PASS   10.5s   38.0s
+    bad.pdf  PASS   1.5   38.0s  48.5s      1.00     1.00        0
+    nodot  PASS   1.5s   38.0s  48.5s      1.00     1.00        0
+    Документов: 2""".split("\n") + ["ПРОВАЛЫ", "late.pdf  FAIL   1.0s   1.0s  2.0s   1  1  0"]
+    rows = [("x", k, s.strip()) for k, s in enumerate(log)] + [("y", 0, log[4]), ("z", 1, "ПРОВАЛЫ"), ("z", 2, "# ИТОГОВАЯ СВОДКА E2E"), ("z", 3, log[5]), ("z", None, log[5]), ("z", 4, None)]
+    got = readers.log_summary(spark.createDataFrame(rows, "file string, line_no long, line string")).orderBy("file", "doc").collect()
+    assert [tuple(r) for r in got] == [
+        ("x", "a.pdf", "PASS", 10.5, 38.0, 48.5, 1.0, 0.0, 10.0, 1.0, 2.0),
+        ("x", "b.v2.pdf", "SKIP", 0.5, 0.0, 0.5, 0.5, 0.25, 0.0, 0.0, 0.0),
+        ("z", "b.v2.pdf", "SKIP", 0.5, 0.0, 0.5, 0.5, 0.25, 0.0, 0.0, 0.0),
+    ]
+
+
+def test_birth_dates_of_names_with_one_two_or_none(spark):
+    from chartlode.operators import joins
+
+    people = spark.createDataFrame([(1, "a", 5), (2, "a", None), (3, "b", 5), (4, "b", 6), (5, "b", None), (6, "c", None), (7, None, 9), (8, None, None), (9, "a", 5)], "id long, name string, birth long")
+    assert {r.id: r.birth for r in joins.impute_birth(people).collect()} == {1: 5, 2: 5, 3: 5, 4: 6, 5: None, 6: None, 7: 9, 8: None, 9: 5}
+    assert joins.impute_birth(people.where("false")).count() == 0
