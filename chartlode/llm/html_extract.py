@@ -1,7 +1,7 @@
 """Main-text extraction: a linear-chain conditional random field over the leaf blocks of a page.
 
-A block is the text between two block-level tags. Its features are the tags, classes and ids above it and traits of its text;
-the field is trained by maximum likelihood on labelled pages and decoded by Viterbi.
+A block is the text between two block-level tags. Its features are the tags, classes and ids above it, traits of its text, and how it
+stands to the rest of the page: the length and links of its neighbours, and the share of the page's text that has its path. The field is trained by maximum likelihood on labelled pages and decoded by Viterbi.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from chartlode.llm.common import slices
 # Fixed values of HTML: elements that break the line, that have no end tag, whose text is never shown, and that end an open one.
 BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style title template textarea iframe noembed noframes".split())
+HIDDEN = set("script style title template textarea iframe noembed noframes noscript".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 
@@ -194,16 +194,40 @@ def path_features(path: Path | None) -> list[str]:
     return [*path.features, f"own:{path.tag}"] if path else ["own:none"]
 
 
-def text_features(block: Block) -> list[str]:
+def shape(block: Block) -> tuple[int, int, bool, bool]:
+    """Traits of a block's text: length, share of links, whether a sentence ends it, whether it says what only notes say."""
     text = block.text
-    words = text.count(" ") + 1
-    return [
-        f"words:{min(words.bit_length(), 7)}",
-        f"linked:{int(block.linked * 3.99)}",
-        f"stop:{text[-1] in '.!?…'}",
-        f"note:{any(map(text.lower().__contains__, NOTES))}:{min(words.bit_length(), 7)}",
-        "bias",
-    ]
+    return min((text.count(" ") + 1).bit_length(), 7), int(block.linked * 3.99), text[-1] in ".!?…", any(map(text.lower().__contains__, NOTES))
+
+
+def shape_features(own: tuple[int, int, bool, bool]) -> list[str]:
+    words, linked, stop, note = own
+    return [f"words:{words}", f"linked:{linked}", f"stop:{stop}", f"note:{note}:{words}", "bias"]
+
+
+def text_features(block: Block) -> list[str]:
+    return shape_features(shape(block))
+
+
+def near_features(before: tuple | None, after: tuple | None, part: int) -> list[str]:
+    """The length and links of the blocks before and after, if any, and the level of shares()."""
+    return [f"{side}:{other[0]}:{other[1]}" if other else f"{side}:none" for side, other in (("before", before), ("after", after))] + [f"part:{part}"]
+
+
+def shares(blocks: list[Block]) -> list[int]:
+    """For each block the level (0 to 4) of the share that the blocks of its path have in the page's text outside links."""
+    sizes: dict[int, float] = {}
+    for b in blocks:
+        sizes[id(b.path)] = sizes.get(id(b.path), 0) + len(b.text) * (1 - b.linked)
+    whole = max(1, sum(sizes.values()))
+    levels = {path: (size >= 0.02 * whole) + (size >= 0.06 * whole) + (size >= 0.2 * whole) + (size >= 0.5 * whole) for path, size in sizes.items()}
+    return [levels[id(b.path)] for b in blocks]
+
+
+def page_features(blocks: list[Block]) -> list[list[str]]:
+    """All features of each block."""
+    shapes, parts = [shape(b) for b in blocks], shares(blocks)
+    return [[*path_features(b.path), *shape_features(own), *near_features(before, after, part)] for b, own, before, after, part in zip(blocks, shapes, [None, *shapes], [*shapes[1:], None], parts, strict=False)]
 
 
 class Field:
@@ -214,18 +238,26 @@ class Field:
         self.weights = np.zeros(0)
         self.moves = np.zeros((2, 2))
         self.paths: dict[tuple, Path] = {}
+        self.shapes: dict[tuple, float] = {}
+        self.nears: dict[tuple, float] = {}
 
     def value(self, features: list[str]) -> float:
-        return sum(self.weights[self.numbers[f]] for f in sorted(features) if f in self.numbers)
+        return float(sum(self.weights[self.numbers[f]] for f in sorted(features) if f in self.numbers))
 
     def scores(self, blocks: list[Block]) -> list[float]:
-        out = []
-        for b in blocks:
+        """Sums of the weights of page_features(); those of the few shapes and surroundings are kept."""
+        shapes, out = [shape(b) for b in blocks], []
+        for b, own, before, after, part in zip(blocks, shapes, [None, *shapes], [*shapes[1:], None], shares(blocks), strict=False):
             if b.path is None:
-                own = self.value(path_features(None))
-            elif (own := b.path.score) is None:
-                own = b.path.score = self.value(path_features(b.path))
-            out.append(own + sum(self.weights[self.numbers[f]] for f in text_features(b) if f in self.numbers))
+                above = self.value(path_features(None))
+            elif (above := b.path.score) is None:
+                above = b.path.score = self.value(path_features(b.path))
+            if (text := self.shapes.get(own)) is None:
+                text = self.shapes[own] = self.value(shape_features(own))
+            around = (before and before[:2], after and after[:2], part)
+            if (near := self.nears.get(around)) is None:
+                near = self.nears[around] = self.value(near_features(*around))
+            out.append(above + text + near)
         return out
 
     def decode(self, blocks: list[Block]) -> list[int]:
@@ -244,11 +276,32 @@ class Field:
             labels.append(0 if (came1 if labels[-1] else came0) else 1)
         return labels[::-1]
 
-    def fit(self, pages: list[tuple[list[Block], list[int]]], epochs: int = 25, rate: float = 0.3, decay: float = 1e-3, seed: int = 6) -> None:
+    def slope(self, features: list[np.ndarray], labels: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log likelihood of a page's labels, and its derivatives by the weights and by the transitions: forward and backward sums."""
+        s = np.array([self.weights[f].sum() for f in features])
+        e = np.stack([np.zeros(len(s)), s], axis=1)
+        a, b = np.zeros_like(e), np.zeros_like(e)
+        a[0] = e[0]
+        for t in range(1, len(e)):
+            a[t] = e[t] + np.logaddexp(a[t - 1, 0] + self.moves[0], a[t - 1, 1] + self.moves[1])
+        for t in range(len(e) - 2, -1, -1):
+            x = self.moves + (e[t + 1] + b[t + 1])[None, :]
+            b[t] = np.logaddexp(x[:, 0], x[:, 1])
+        z = np.logaddexp(*a[-1])
+        p = np.exp(a + b - z)[:, 1]
+        g, gm = np.zeros(len(self.weights)), np.zeros((2, 2))
+        for f, d in zip(features, labels - p, strict=True):
+            np.add.at(g, f, d)
+        for t in range(1, len(e)):
+            gm[labels[t - 1], labels[t]] += 1
+            gm -= np.exp(a[t - 1][:, None] + self.moves + (e[t] + b[t])[None, :] - z)
+        return float(s @ labels + self.moves[labels[:-1], labels[1:]].sum() - z), g, gm
+
+    def fit(self, pages: list[tuple[list[Block], list[int]]], epochs: int = 25, rate: float = 0.5, decay: float = 1e-4, seed: int = 6) -> None:
         """Adagrad on the log likelihood of the label sequences, by forward and backward sums."""
         rows = []
         for blocks, labels in pages:
-            rows.append(([np.array([self.numbers.setdefault(f, len(self.numbers)) for f in (*path_features(b.path), *text_features(b))]) for b in blocks], np.array(labels)))
+            rows.append(([np.array([self.numbers.setdefault(f, len(self.numbers)) for f in own]) for own in page_features(blocks)], np.array(labels)))
         self.weights = np.zeros(len(self.numbers))
         seen, seen_moves = np.full(len(self.weights), 1e-2), np.full((2, 2), 1e-2)
         rng = np.random.default_rng(seed)
@@ -257,34 +310,20 @@ class Field:
                 features, labels = rows[i]
                 if not features:
                     continue
-                s = np.array([self.weights[f].sum() for f in features])
-                e = np.stack([np.zeros(len(s)), s], axis=1)
-                a, b = np.zeros_like(e), np.zeros_like(e)
-                a[0] = e[0]
-                for t in range(1, len(e)):
-                    a[t] = e[t] + np.logaddexp(a[t - 1, 0] + self.moves[0], a[t - 1, 1] + self.moves[1])
-                for t in range(len(e) - 2, -1, -1):
-                    x = self.moves + (e[t + 1] + b[t + 1])[None, :]
-                    b[t] = np.logaddexp(x[:, 0], x[:, 1])
-                z = np.logaddexp(*a[-1])
-                p = np.exp(a + b - z)[:, 1]
-                g = np.zeros(len(self.weights))
-                for f, d in zip(features, labels - p, strict=True):
-                    np.add.at(g, f, d)
+                _, g, gm = self.slope(features, labels)
                 g -= decay * self.weights
                 seen += g * g
                 self.weights += rate * g / np.sqrt(seen)
-                gm = np.zeros((2, 2))
-                for t in range(1, len(e)):
-                    gm[labels[t - 1], labels[t]] += 1
-                    gm -= np.exp(a[t - 1][:, None] + self.moves + (e[t] + b[t])[None, :] - z)
                 seen_moves += gm * gm
                 self.moves += 0.3 * rate * gm / np.sqrt(seen_moves)
 
 
-def labelled_pages(n: int = 240, seed: int = 9) -> list[tuple[list[Block], list[int]]]:
-    """Training pages: layouts drawn from the parts that web pages are made of, each part's blocks labelled by its kind."""
-    rng = np.random.default_rng(seed)
+def labelled_pages(n: int = 500, seed: int = 9) -> list[tuple[list[Block], list[int]]]:
+    """Training pages: layouts drawn from the parts that web pages are made of, each part's blocks labelled by its kind.
+
+    On a third of the pages the names of text, menus and footers say nothing, so that the field learns to go by tags, text and
+    surroundings where it knows no name; there the text may also stand in bare `div` or in a cell of a layout table."""
+    rng, plain = np.random.default_rng(seed), False
     pick = lambda *xs: xs[int(rng.integers(len(xs)))]
     marked: list[str] = []
 
@@ -296,23 +335,28 @@ def labelled_pages(n: int = 240, seed: int = 9) -> list[tuple[list[Block], list[
         marked.append(" ".join(entities.unescape(re.sub(r"<[^>]*>", " ", text)).split()))
         return text
 
-    def wrapped(tag: str, names: str, inside: str) -> str:
+    def neutral() -> str:
+        return pick("", f"css-{rng.integers(1 << 20):x}", f"{pick('x', 'c', 'sc', 'u', 'el', 'block', 'wrap', 'container', 'row', 'inner')}{rng.integers(100)}")
+
+    def wrapped(tag: str, names: str, inside: str, plain: bool = False) -> str:
+        if plain:  # a page whose names say nothing
+            names = neutral()
         return f"<{tag}{f' {pick("class", "class", "id")}="{names}"' if names else ''}>{inside}</{tag}>"
 
     def links(low: int, high: int) -> str:
         return "<ul>" + "".join(f'<li><a href="/{k}">{words(1, 4)}</a></li>' for k in range(int(rng.integers(low, high + 1)))) + "</ul>"
 
     def header() -> str:
-        return wrapped(pick("header", "header", "div"), pick("header", "masthead", "site header", "top banner", "topbar", "branding"), pick("", f"<p>{words(2, 6)}</p>", f"<h1>{words(1, 3)}</h1><p>{words(3, 8)}</p>") + pick("", links(2, 5)))
+        return wrapped(pick("header", "header", "div"), pick("header", "masthead", "site header", "top banner", "topbar", "branding"), pick("", f"<p>{words(2, 6)}</p>", f"<h1>{words(1, 3)}</h1><p>{words(3, 8)}</p>") + pick("", links(2, 5)), plain and rng.random() < 0.5)
 
     def nav() -> str:
-        return pick(f"<nav>{links(3, 9)}</nav>", wrapped("div", pick("menu", "nav", "navigation", "breadcrumb", "navbar", "toolbar", "tabs", "site nav", "pagination"), links(3, 9)))
+        return pick(f"<nav>{links(3, 9)}</nav>", wrapped("div", pick("menu", "nav", "navigation", "breadcrumb", "navbar", "toolbar", "tabs", "site nav", "pagination"), links(3, 9), plain), wrapped("div", neutral(), "".join(f'<a href="/{k}">{words(1, 3)}</a> ' for k in range(4))))
 
     def notice() -> str:
         return wrapped(pick("div", "section", "p", "aside"), pick("cookie notice", "notice", "alert", "cookie-banner", "consent", "gdpr", "privacy popup", "message bar"), pick("We use cookies to improve this site.", "Please accept cookies.", words(5, 25, ".")))
 
     def advert() -> str:
-        return wrapped(pick("div", "aside", "section"), pick("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner ad", "sponsor", "advertising slot"), pick(words(3, 30, "."), f"<p>{words(5, 40, '.')}</p>", f'<a href="/x">{words(3, 9)}</a>'))
+        return wrapped(pick("div", "aside", "section"), pick("ad", "ad", "ads", "ad unit", "advert", "advertisement", "sponsored", "promo", "banner ad", "sponsor", "advertising slot"), pick(words(3, 30, "."), f"<p>{words(5, 40, '.')}</p>", f'<a href="/x">{words(3, 9)}</a>'))
 
     def sidebar() -> str:
         return wrapped(pick("aside", "aside", "div", "section"), pick("sidebar", "related", "widget", "side bar", "recommended", "popular", "share social", "author bio", "see also", "rail", "trending"), f"<h3>{words(1, 4)}</h3>" + pick(links(2, 7), f"<p>{words(6, 40, '.')}</p>"))
@@ -325,16 +369,18 @@ def labelled_pages(n: int = 240, seed: int = 9) -> list[tuple[list[Block], list[
         return wrapped(pick("section", "div", "ol"), pick("comments", "comment list", "discussion comments", "responses comments", "respond"), f"<h2>{words(1, 2)}</h2>" + "".join(each() for _ in range(int(rng.integers(1, 6)))))
 
     def footer() -> str:
-        return wrapped(pick("footer", "footer", "div"), pick("", "footer", "site footer", "copyright"), pick("&copy; ", "© ", "") + words(3, 25, ".") + pick("", links(1, 5), f" &middot; {words(2, 30, '.')}"))
+        return wrapped(pick("footer", "footer", "div"), pick("", "footer", "site footer", "copyright"), pick("&copy; ", "© ", "" if not plain else "© ") + words(3, 25, ".") + pick("", links(1, 5), f" &middot; {words(2, 30, '.')}"), plain)
 
     def body() -> str:
         out = [f"<h1>{main(words(2, 10))}</h1>"] if rng.random() < 0.85 else []
+        para = pick("p", "p", "p", "p", "div")
+        line = f' class="{neutral()}"' if para == "div" else ""
         for _ in range(int(rng.integers(1, 14))):
             kind = rng.random()
             if kind < 0.55:
-                out.append(f"<p>{main(words(6, 90, '.'))}{pick('</p>', '</p>', '</p>', '')}")
+                out.append(f"<p>{main(words(6, 90, '.'))}{pick('</p>', '</p>', '</p>', '')}" if para == "p" else f"<{para}{line}>{main(words(6, 90, '.'))}</{para}>")
             elif kind < 0.75:
-                out.append(f"<p>{main(words(1, 6, pick('.', '', '|', '***')))}</p>")
+                out.append(f"<{para}{line}>{main(words(1, 6, pick('.', '', '|', '***')))}</{para}>")
             elif kind < 0.8:
                 out.append(f"<p><b>{main(words(3, 60, '.'))}<br>")
             elif kind < 0.85:
@@ -357,13 +403,21 @@ def labelled_pages(n: int = 240, seed: int = 9) -> list[tuple[list[Block], list[
     pages = []
     for _ in range(n):
         marked.clear()
+        plain = bool(rng.random() < 0.35)
         tag, names = pick(("article", ""), ("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "entry content"), ("div", "article body"), ("section", "story"), ("div", "post"), ("div", "text"), ("", ""))
+        if plain:
+            tag, names = pick("div", "div", "section", "td"), neutral()
         parts = [f() for f in (header, nav, notice, advert) if rng.random() < 0.6]
         rng.shuffle(parts)
         inner = body() if rng.random() < 0.95 else ""
         if rng.random() < 0.1:
             inner += comments()
-        parts.append(wrapped(tag, names, inner) if tag else inner)
+        if tag == "td":  # a table that lays out the page: menus in cells beside the text
+            cell = f"<td>{pick(links(3, 8), '')}" + "".join(f'<a href="/{k}">{words(1, 3)}</a><br>' for k in range(3)) + "</td>"
+            menu = "<tr>" + "".join(f'<td><a href="/{k}">{words(1, 3)}</a></td>' for k in range(int(rng.integers(2, 7)))) + "</tr>"
+            parts.append(f"<table>{pick('', menu)}<tr>{pick('', cell)}<td>{inner}</td></tr></table>")
+        else:
+            parts.append(wrapped(tag, names, inner) if tag else inner)
         parts += [f() for f in (sidebar, comments, form, advert, footer) if rng.random() < 0.5]
         blocks = blocks_of("<html><head><title>x</title></head><body>" + "".join(parts) + "</body></html>")
         wanted, at, labels = list(marked), 0, []
