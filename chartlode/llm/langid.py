@@ -85,33 +85,41 @@ class Profiles:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9), has
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, folds: int = 5, held_fold: int = 0, per_language: int = 1000, dim: int = 1024, n: int = 3) -> tuple[list[str], np.ndarray]:
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, folds: int = 5, held_fold: int = 0, per_language: int = 1000, most_languages: int = 1000, dim: int = 1024, n: int = 3) -> tuple[list[str], np.ndarray]:
     """Prototypes from rows with text, language and id whose crc32(id) modulo folds isn't held_fold.
 
     Of each language, about per_language documents are taken, by a hash of their ids: the bound on the rows that the fit
-    reads. Each task bundles its own documents; one vector for each language and task comes back. Returns the languages, in
-    order, and their prototypes; none for an empty table."""
+    reads. Each task bundles its own documents; the vectors of tasks are summed place by place in Spark, in a tree, so that one a language
+    comes back, however many tasks there are. Only the most_languages most frequent languages (ties: in order) are learned, a bound
+    on what the driver and each task hold. Returns the languages, in order, and their prototypes; none for an empty table."""
     docs = docs_of(df, id_col, text_col, lang_col).withColumnRenamed(lang_col, "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", folds) != held_fold))
     sizes = docs.groupBy("lang").count()
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # A frequent language is thinned to per_language documents as expected, a rare one is taken whole. The languages are few.
-    rates = {r["lang"]: min(1.0, per_language / r["count"]) for r in sizes.collect()}
-    if not rates:
-        return [], np.zeros((0, dim), np.float32)
-    rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])[F.col("lang")]
+    # A frequent language is thinned to per_language documents as expected, a rare one is taken whole. There are at most most_languages rates.
+    rates = sizes.orderBy(F.desc("count"), "lang").limit(most_languages).select("lang", F.least(F.lit(1.0), per_language / F.col("count")).alias("rate"))
+    chosen = docs.join(F.broadcast(rates), "lang").where(share < F.col("rate")).select("text", F.col("lang").cast("string").alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, sums = Profiles(dim, n), {}
         for batch in slices(batches, 64):
             vectors, _ = profiles.documents(batch.column("text").to_pylist())
             for lang, v in zip(batch.column("lang").to_pylist(), vectors, strict=True):
-                sums[lang] = sums.get(lang, 0) + v
+                sums[lang] = sums.get(lang, 0) + np.rint(v.astype(np.float64) * 2**32).astype(np.int64)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.astype(np.float32).tobytes() for v in sums.values()], pa.binary())], ["lang", "v"])
-
-    totals: dict[str, np.ndarray] = {}
-    for row in docs.where(share < rate).select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, "lang string, v binary").toLocalIterator():
-        totals[row["lang"]] = totals.get(row["lang"], 0) + np.frombuffer(row["v"], np.float32).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "v"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, v in zip(batch.column("lang").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                totals[lang] = totals.get(lang, 0) + np.frombuffer(v, np.int64)
+        if totals:
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([v.tobytes() for v in totals.values()], pa.binary())], ["lang", "v"])
+
+    sums = chosen.mapInArrow(run, "lang string, v binary")
+    # A language's vectors are dealt over 64 partial sums first, and one task adds those up; in whole numbers, so that their order is all the same.
+    parts = sums.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(64))).repartition("lang", "part").select("lang", "v").mapInArrow(add, "lang string, v binary")
+    totals = {r["lang"]: np.frombuffer(r["v"], np.int64).astype(np.float64) for r in parts.repartition("lang").mapInArrow(add, "lang string, v binary").collect()}
     langs = sorted(totals)
     protos = np.array([totals[x] / max(np.linalg.norm(totals[x]), 1e-9) for x in langs], np.float32).reshape(len(langs), dim)
     return langs, protos
