@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from chartlode.llm.common import Cached, as_bytes, crc_mod, docs_of, slices
 
 BITS = 17
+#: Traits of a whole text.
+TRAITS = 7
 SIGNS = b"#*$%&|<>{}[]=_/\\"
 
 
@@ -40,8 +42,13 @@ def features(text: bytes | None, buckets: Cached) -> tuple[np.ndarray, np.ndarra
         b"\x00lines%d" % level(len(set(lines)) / len(lines), 10),
         b"\x00stops%d" % level(sum(w.endswith((b".", b"!", b"?")) for w in words) / max(1, n), 40),
     ]
-    index = np.fromiter(map(buckets.__getitem__, [*words, *traits]), np.int64, n + len(traits))
-    return index, np.concatenate([np.full(n, 1 / max(1, n)), np.ones(len(traits))])
+    return values_of(np.fromiter(map(buckets.__getitem__, [*words, *traits]), np.int64, n + TRAITS))
+
+
+def values_of(index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a text, its traits last, and their values."""
+    n = len(index) - TRAITS
+    return index, np.concatenate([np.full(n, 1 / max(1, n)), np.ones(TRAITS)])
 
 
 class CumulativeLink:
@@ -92,17 +99,28 @@ class CumulativeLink:
         return (1 - c[:, 1:-1]).sum(axis=1), 1 - c[:, min(tail, c.shape[1] - 1)]
 
 
-def train(df: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rating_id_col: str = "doc_id", grade_col: str = "grade", folds: int = 4, held_fold: int = 2, max_rows: int = 6000, max_chars: int = 200_000) -> CumulativeLink:
+def train(df: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rating_id_col: str = "doc_id", grade_col: str = "grade", folds: int = 4, held_fold: int = 2, max_rows: int = 6000, max_chars: int = 200_000, max_words: int = 4_000_000) -> CumulativeLink:
     """Fit on max_rows rated rows at most (those of the least hashes) whose crc32(id) modulo folds isn't held_fold.
 
     Grades are 0, 1, 2, ...; an id that is rated twice has its lowest grade; null ids and grades and texts over max_chars
-    aren't learned from. Without rows every weight is 0."""
+    aren't learned from. Tasks hash the texts; what comes to the driver is numbers, of max_words words in all at most: of longer
+    samples, whole texts are taken in the order of their ids until the next one would pass it. Without rows every weight is 0."""
     rated = ratings.select(F.col(rating_id_col).alias("doc_id"), F.col(grade_col).cast("int").alias("grade")).where((F.col("grade") >= 0) & (crc_mod("doc_id", folds) != held_fold))
     chosen = rated.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = docs_of(df, id_col, text_col).join(F.broadcast(chosen), "doc_id").where(F.length("text") <= max_chars).orderBy("doc_id", "text").limit(max_rows)
-    rows, grades, buckets = [], [], Cached(bucket)
-    for r in sample.select("text", "grade").toLocalIterator():
-        rows.append(features(r["text"].encode(), buckets))
+    sample = docs_of(df, id_col, text_col).join(F.broadcast(chosen), "doc_id").where(F.length("text") <= max_chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = Cached(bucket)
+        for batch in slices(batches):
+            found = [features(t, buckets) for t in as_bytes(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array([len(i) for i, _ in found], pa.int64()), pa.array([i.astype(np.int32).tobytes() for i, _ in found], pa.binary())], ["doc_id", "grade", "n", "places"])
+
+    rows, grades, held = [], [], 0
+    hashed = sample.mapInArrow(run, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, grade int, n long, places binary")
+    for r in hashed.orderBy("doc_id", "places").limit(max_rows).toLocalIterator():
+        if (held := held + r["n"]) > max_words:
+            break
+        rows.append(values_of(np.frombuffer(r["places"], np.int32)))
         grades.append(r["grade"])
     model = CumulativeLink(max(grades, default=1) + 1)
     model.fit(rows, np.array(grades, int))
