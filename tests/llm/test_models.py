@@ -106,6 +106,57 @@ def test_quality_grades_on_held_out_rows(labelled, odd, empty, texts):
     assert {r.kept for r in quality_classifier.grade(odd, quality_classifier.train(empty, ratings)).collect()} == {True}
 
 
+def test_quality_training_keeps_its_bounds(labelled, spark):
+    """The fit is that of the chosen rows, by loops; bounds cut whole rows."""
+    docs, labels, rows, truth = labelled
+    ratings = labels.select("doc_id", F.col("quality").alias("grade"))
+    free = [(k, q) for k, q, _ in truth if zlib.crc32(str(k).encode()) % 4 != 2]
+    ids = [r.doc_id for r in spark.createDataFrame([(k,) for k, _ in free], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").limit(40).collect()]
+    grades, buckets = dict(free), Cached(quality_classifier.bucket)
+
+    def plain(chosen):
+        m = quality_classifier.CumulativeLink(max(grades[k] for k in chosen) + 1)
+        m.fit([quality_classifier.features(rows[k][1].encode(), buckets) for k in chosen], np.array([grades[k] for k in chosen]))
+        return m
+
+    got, want = quality_classifier.train(docs, ratings, max_rows=40), plain(sorted(ids))
+    assert np.allclose(got.weights, want.weights) and np.allclose(got.thresholds, want.thresholds)
+    by_row = {r.doc_id: r for r in quality_classifier.grade(docs, got).collect()}
+    for k in (0, 1, 2, 3):
+        index, values = quality_classifier.features(rows[k][1].encode(), buckets)
+        f = sum(want.weights[i] * v for i, v in zip(index, values, strict=True))
+        p = [1 / (1 + math.exp(f - t)) for t in want.thresholds]
+        assert by_row[k].expected_grade == pytest.approx(sum(1 - x for x in p)) and by_row[k].p_tail == pytest.approx(1 - p[0])
+    sizes = np.cumsum([len(quality_classifier.features(rows[k][1].encode(), buckets)[0]) for k in sorted(ids)])
+    few = quality_classifier.train(docs, ratings, max_rows=40, max_words=int(sizes[20]))
+    assert np.allclose(few.weights, plain(sorted(ids)[:21]).weights)
+    short = [k for k in sorted(ids) if len(rows[k][1]) <= 150]
+    assert np.allclose(quality_classifier.train(docs, ratings, max_rows=40, max_chars=150).weights, plain(short).weights if short else 0)
+
+
+def test_languages_by_a_plain_version_and_within_bounds(labelled, spark):
+    docs, _, rows, _ = labelled
+    profiles, sums = langid.Profiles(), {}
+    for k, text, lang in rows:
+        if lang is not None and zlib.crc32(str(k).encode()) % 5 != 0:
+            sums[lang] = sums.get(lang, 0) + profiles.documents([text])[0][0].astype(np.float64)
+    names = sorted(sums)
+    model = langid.train(docs, per_language=10**6)
+    assert model[0] == names
+    for r in langid.predict(docs, model).collect():
+        v = profiles.documents([rows[r.doc_id][1]])[0][0]
+        cosines = [float(v @ sums[x] / np.linalg.norm(sums[x])) for x in names]
+        assert r.score == pytest.approx((1 + max(cosines)) / 2, abs=1e-5) and cosines[names.index(r.lang_pred)] == pytest.approx(max(cosines), abs=1e-5)
+    again = langid.train(docs.repartition(7), per_language=10**6)
+    assert again[0] == names and np.allclose(again[1], model[1], atol=1e-6)
+    dirty = docs.union(spark.createDataFrame([(10_000 + k, "abc def", f"x{k}") for k in range(50)], "doc_id long, text string, lang string"))
+    assert langid.train(dirty, most_languages=len(names))[0] == names
+    thin = langid.train(docs, per_language=3)
+    assert set(thin[0]) <= set(names) and not np.allclose(thin[1][0], model[1][names.index(thin[0][0])])
+    tied = docs.sparkSession.createDataFrame([(k, "same words", x) for k, x in ((1, "b"), (2, "a"), (3, "b"), (4, "a"))], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.predict(tied, langid.train(tied)).collect()} == {"a"}
+
+
 def test_cumulative_links_gradient():
     """The step's gradient is that of the negative log likelihood."""
     m = quality_classifier.CumulativeLink(3)
@@ -358,6 +409,22 @@ BY_HAND = [
 <BLOCKQUOTE><P>The roof can't wait another winter.</P></BLOCKQUOTE><PRE>Votes: 7 to 2</PRE></MAIN><ASIDE CLASS=trending><H4>Most read</H4><UL><LI><A HREF=/z>Ten roofs</A></UL></ASIDE></BODY>""",
         ["Minutes of the meeting", "The minutes of May were read.", "The roof is to be mended.", "The roof can't wait another winter.", "Votes: 7 to 2"],
     ),
+    (  # names that say nothing, and text in bare div
+        """<body><div class="css-1ab2"><div class="css-9">The council met on Monday to hear what had been done about the bridge since last spring.</div><div class="css-9">Residents asked when the road would open again.</div></div></body>""",
+        ["The council met on Monday to hear what had been done about the bridge since last spring.", "Residents asked when the road would open again."],
+    ),
+    (
+        """<body><div class="c-hdr"><a href="/">Home</a> <a href="/n">News</a></div><div class="x1"><p>First paragraph of a real article that goes on for a while.</p><p>Second paragraph, which says a little more about the matter at hand.</p></div><div class="ftr">© 2021 The Herald. All rights reserved.</div></body>""",
+        ["First paragraph of a real article that goes on for a while.", "Second paragraph, which says a little more about the matter at hand."],
+    ),
+    (
+        """<body><noscript>Please enable JavaScript to view this page.</noscript><article><h1>Title here</h1><p>The text of the article is here for all to read.</p></article></body>""",
+        ["Title here", "The text of the article is here for all to read."],
+    ),
+    (  # a table that lays out the page
+        """<body><table><tr><td><a href="/">Home</a></td><td><a href="/b">News</a></td><td><a href="/c">About us</a></td></tr><tr><td colspan=3>The ferry leaves at six in the morning and comes back in the evening, if the weather allows it.<p>Tickets are sold on board by the mate, who takes coins alone.</p></td></tr></table></body>""",
+        ["The ferry leaves at six in the morning and comes back in the evening, if the weather allows it.", "Tickets are sold on board by the mate, who takes coins alone."],
+    ),
 ]
 
 
@@ -392,6 +459,34 @@ def test_extraction_on_held_out_layouts():
     assert hits / total > 0.97
 
 
+def test_slope_of_the_likelihood_is_its_derivative():
+    field, rng = html_extract.Field(), np.random.default_rng(1)
+    field.weights, field.moves = rng.normal(size=6), rng.normal(size=(2, 2))
+    features, labels = [np.array([0, 3]), np.array([1, 3, 5]), np.array([2]), np.array([4, 0])], np.array([0, 1, 1, 0])
+    import itertools
+
+    def value(path):
+        return sum(field.weights[f].sum() for f, y in zip(features, path, strict=True) if y) + sum(field.moves[a, b] for a, b in zip(path, path[1:], strict=False))
+
+    whole, g, gm = field.slope(features, labels)
+    assert whole == pytest.approx(value(labels) - np.log(sum(np.exp(value(p)) for p in itertools.product((0, 1), repeat=4))))
+    for array, slope in ((field.weights, g), (field.moves, gm)):
+        for at in np.ndindex(array.shape):
+            array[at] += 1e-5
+            more = field.slope(features, labels)[0]
+            array[at] -= 2e-5
+            less = field.slope(features, labels)[0]
+            array[at] += 1e-5
+            assert slope[at] == pytest.approx((more - less) / 2e-5, abs=1e-6)
+
+
+def test_kept_scores_are_sums_of_the_features():
+    field = FIELD()
+    for page, _ in BY_HAND:
+        blocks = html_extract.blocks_of(page, field.numbers, field.paths)
+        assert field.scores(blocks) == pytest.approx([field.value(f) for f in html_extract.page_features(blocks)])
+
+
 def test_viterbi_finds_the_best_path():
     field = html_extract.train(html_extract.labelled_pages(20, seed=1))
     blocks, _ = max(html_extract.labelled_pages(20, seed=2), key=lambda p: -abs(len(p[0]) - 9))
