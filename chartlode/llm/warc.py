@@ -100,14 +100,16 @@ def read_archive(spark: SparkSession, path: str, id_type: str = "long") -> DataF
 
 
 def digests(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
-    """For each record: record_id, payload_bytes, payload_digest, record_type, refers_to, from what the archive gives back.
+    """For each record: record_id, payload_bytes, payload_digest, record_type, refers_to, from the record that the archive gives back.
 
-    Each stored payload is read, verified and hashed once; only its length and digest join the headers, of which the type and
-    the record referred to are read."""
-    own = read_payloads(spark, path).select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
+    Every record is rebuilt, revisits too: its header block, joined with its payload. Length and digest are those of the rebuilt payload;
+    where they aren't what the header block states (the length: of responses), the job fails."""
     field = lambda name: F.nullif(F.regexp_extract("header", rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
     refers = F.regexp_extract(F.coalesce(field("WARC-Refers-To"), F.lit("")), "<urn:record:(.*)>", 1)
-    return read_headers(spark, path, id_type).join(own, "sha256").select("record_id", "payload_bytes", "payload_digest", field("WARC-Type").alias("record_type"), F.nullif(refers, F.lit("")).cast(id_type).alias("refers_to"))
+    back = read_archive(spark, path, id_type).select("record_id", field("WARC-Type").alias("record_type"), F.nullif(refers, F.lit("")).cast(id_type).alias("refers_to"), field("WARC-Payload-Digest").alias("_stated"), field("Content-Length").cast("long").alias("_length"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
+    same = (F.col("_stated") == F.concat(F.lit("sha1:"), "payload_digest")) & (F.col("_length") == F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("payload_bytes")))
+    checked = F.when(same, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("damaged record "), F.coalesce(F.col("record_id").cast("string"), F.lit("null")))).cast("string"))
+    return back.select("record_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
 
 
 def write_warc_files(spark: SparkSession, path: str, out: str, compression: str = "none", id_type: str = "long") -> None:

@@ -47,3 +47,15 @@ def test_empty_table_and_damage(spark, tmp_path):
     spark.createDataFrame(bad, "sha256 string, payload binary, payload_bytes long").write.mode("overwrite").parquet(str(tmp_path / "d/payloads"))
     with pytest.raises(Exception, match="damaged payload"):
         warc.digests(spark, str(tmp_path / "d")).collect()
+
+
+def test_a_record_that_is_not_what_its_header_states(spark, tmp_path):
+    path = str(tmp_path / "h")
+    warc.write_archive(spark.createDataFrame([(1, "u", "a"), (2, "u", "a")], "page_id long, url string, html string"), path)
+    rows = warc.read_headers(spark, path).collect()
+    assert warc.digests(spark, path).count() == 2
+    for old, new in (("Digest: sha1:", "Digest: sha1:A"), ("Content-Length: ", "Content-Length: 1")):
+        bad = [(*r[:1], r.header.replace(old, new), *r[2:]) for r in rows]
+        spark.createDataFrame(bad, "record_id long, header string, sha256 string, record_type string, refers_to long").write.mode("overwrite").parquet(f"{path}/headers")
+        with pytest.raises(Exception, match="damaged record"):
+            warc.digests(spark, path).collect()
