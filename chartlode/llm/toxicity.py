@@ -62,6 +62,7 @@ class Network:
         self.out[0] = 1
         self.shift = np.float32(0)
         self.languages, self.centroids, self.thresholds = [], np.zeros((0, 256), np.float32), np.zeros(0)
+        self.learned = False
 
     def pooled(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Largest value of each filter over the text (0 at least) and where its window begins. x: word vectors."""
@@ -84,6 +85,7 @@ class Network:
 
     def fit(self, texts: list[np.ndarray], y: np.ndarray, epochs: int = 4, batch: int = 16, rate: float = 0.02, seed: int = 2) -> None:
         """texts: pieces of each word (words x PIECES). Adagrad on the cross-entropy, both labels weighing the same in sum."""
+        self.learned = True
         positive = max(1, int(y.sum()))
         share = positive / max(2, len(y))
         toxic, clean = np.zeros(1 << BITS), np.zeros(1 << BITS)
@@ -154,7 +156,9 @@ class Network:
                 self.thresholds[k] = (n * best(own) + weight * everything) / (n + weight)
 
     def scores(self, logits: np.ndarray, shares: np.ndarray, at: float) -> np.ndarray:
-        """The logits as 0..1, a language's threshold being brought to at."""
+        """The logits as 0..1, a language's threshold being brought to at. 0 from a network that has learned nothing."""
+        if not self.learned:
+            return np.zeros(len(logits))
         which = (shares @ self.centroids.T).argmax(axis=1) if len(self.languages) > 1 else np.zeros(len(logits), int)
         z = logits - self.thresholds[which] if len(self.thresholds) else logits
         return 1 / (1 + np.exp(-np.clip(z + np.log(at / (1 - at)), -40, 40)))
@@ -175,7 +179,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     max_toxic and max_clean bound the rows (those of the least hashes), max_words the words in all of them: whole texts are
     taken in the order of their hashes as far as they fit in. One task fits, so that no text comes to the driver. An
     id that is labelled twice is toxic if either label is; null ids, labels and texts teach nothing. lang only groups the
-    calibration rows by language and is told from bytes later. Without labels of both kinds every score is the same."""
+    calibration rows by language and is told from bytes later. Without labels of both kinds nothing is learned: every score is 0, and no row is toxic."""
     rated = labels.select(F.col(label_id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & (crc_mod("doc_id", folds) != held_fold))
     rated = rated.groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = [rated.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for label, most in ((1, max_toxic), (0, max_clean))]

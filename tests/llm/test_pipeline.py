@@ -100,3 +100,21 @@ def test_the_whole_pipeline_and_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").where(F.lit(False)).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize(("name", "stage"), [("labels", "toxicity"), ("benchmark", "decontaminate")])
+def test_a_stage_without_its_other_table_keeps_all(spark, folder, tmp_path, name, stage):
+    """Nothing is toxic where no label is known, and nothing is contaminated by an empty benchmark."""
+    spark.read.parquet(f"{folder}/{name}.parquet").where(F.lit(False)).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = dict(corpus_pipeline.STAGES)[stage](spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert got.count() == docs.count()
+
+
+def test_every_operator_is_registered():
+    import __spark_entry__
+
+    names = [n for n in __spark_entry__.queries() if n.startswith("op")]
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
