@@ -60,8 +60,9 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_
     pool = chunks.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     groups, cells = (-(-df.count() // most) or 1 for df, most in ((asked, cell[0]), (pool, cell[1])))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select("*", F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("g"), every(cells).alias("c"))
-    right = pool.select("*", F.pmod(F.xxhash64("id"), F.lit(cells)).alias("c"), every(groups).alias("g"))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")  # noqa: E731 - cogroup hashes 1 and 1L apart, so both sides' keys are ints
+    left = asked.select("*", dealt("query_id", groups).alias("g"), every(cells).alias("c"))
+    right = pool.select("*", dealt("id", cells).alias("c"), every(groups).alias("g"))
 
     def run(q: pa.Table, x: pa.Table) -> pa.Table:
         if not len(q) or not len(x):

@@ -267,6 +267,20 @@ def test_nearest_vectors_equal_all_distances(spark, cell, monkeypatch):
     assert vectors.nearest(chunks, asked.where("false"), 3).count() == 0
 
 
+def test_cells_meet_without_coalesced_partitions(spark):
+    from chartlode.operators import vectors
+
+    points = spark.range(40).selectExpr("id AS chunk_id", "array(double(id), 0D) AS embedding")
+    asked = points.where("chunk_id % 8 = 0").withColumnRenamed("chunk_id", "query_id")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for cell in ((32_768, 65_536), (2, 9)):
+            got = {(r.query_id, r.id) for r in vectors.nearest(points, asked, 2, cell=cell).collect()}
+            assert got == {(q, i) for q in range(0, 40, 8) for i in (q, max(q - 1, 0) or 1)}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_blocks_keep_what_single_distances_keep(monkeypatch):
     import numpy as np
 
