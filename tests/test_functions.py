@@ -155,6 +155,14 @@ def test_character_references_are_all_decoded(spark):
     assert got == {0: "café ’s’ &lt;  &unknown;", 1: None, 2: ""}
 
 
+def test_references_that_a_tag_cuts_stay(spark):
+    from chartlode.functions.text import plain_html
+
+    rows = [(0, "a &amp<script>p</script> &am<b>p;</b> &notit; &amp"), (1, "&ltb &lt;b&gt &#39 &#39;")]
+    got = {r.i: r.s for r in spark.createDataFrame(rows, "i int, x string").select("i", plain_html(F.col("x")).alias("s")).collect()}
+    assert got == {0: "a &ampp & &notit; &amp", 1: "&ltb <b&gt &#39 '"}
+
+
 def test_summary_table_ends_at_the_failures(spark):
     from chartlode.sources import readers
 
