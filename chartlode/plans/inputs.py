@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,14 +34,21 @@ def src_02(t: Tables) -> DataFrame:
     return readers.read_registry(t.spark, path, "ordinal long, name string")
 
 
+def exported(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """An export of a task's records in one root element: a file for each task, not for each user, and none held whole."""
+    line = lambda x: pa.RecordBatch.from_arrays([pa.array([x])], ["value"])
+    yield line("<HealthData>")
+    yield from records
+    yield line("</HealthData>")
+
+
 @query("SRC-03", "", """SELECT CASE event_type WHEN 'click' THEN 'steps' WHEN 'view' THEN 'spo2' ELSE 'weight' END AS metric, date_trunc('second', ts)::TIMESTAMP AS taken_at, CASE WHEN event_type = 'view' AND round(value, 1) / 100 <= 1 THEN round(round(round(value, 1) / 100 * 100, 6), 1) WHEN event_type = 'view' THEN round(value, 1) / 100 ELSE value END AS value_num FROM events WHERE event_type IN ('click', 'view', 'signup') AND event_id % 7 > 0""")
 def src_03(t: Tables) -> DataFrame:
     kind = F.when(F.col("event_type") == "click", "HKQuantityTypeIdentifierStepCount").when(F.col("event_type") == "view", "HKQuantityTypeIdentifierOxygenSaturation").when(F.col("event_type") == "signup", "HKQuantityTypeIdentifierBodyMass").otherwise("other")
     value = F.when(F.col("event_id") % 7 == 0, "n/a").when(F.col("event_type") == "view", (F.round("value", 1) / 100).cast("string")).otherwise(F.col("value").cast("string"))
     row = F.concat(F.lit('<Record type="'), kind, F.lit('" startDate="'), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(' +0300" value="'), value, F.lit('"/>'))
     path = scratch(t, "export")
-    whole = F.concat(F.lit("<HealthData>\n"), F.array_join(F.collect_list(row), "\n"), F.lit("\n</HealthData>"))
-    t.read("events").groupBy("user_id").agg(whole.alias("value")).write.partitionBy("user_id").text(path)  # an export, of one root element, for each user
+    t.read("events").repartition("event_id").select(row.alias("value")).mapInArrow(exported, "value string").write.text(path)
     return readers.export_records(t.spark, path)
 
 

@@ -49,6 +49,20 @@ def test_pages_as_a_stream_equal_the_batch(spark, pages, tmp_path):
     assert key(got) == key(spark.read.format("paged_activities").option("path", pages).load())
 
 
+def test_exports_are_files_of_tasks_not_of_users(spark, tmp_path, monkeypatch):
+    import datetime
+
+    from chartlode.plans import inputs
+    from chartlode.plans.views import Tables
+
+    monkeypatch.setattr(inputs, "scratch", lambda t, name: f"{tmp_path}/{name}")
+    rows = [(i, i % 60, ("click", "view", "signup", "buy", None)[i % 5], datetime.datetime(2024, 1, 1), float(i)) for i in range(300)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = inputs.src_03(Tables(spark, str(tmp_path)))
+    assert got.groupBy("metric").count().count() == 3 and got.count() == sum(i % 5 < 3 and i % 7 > 0 for i in range(300))
+    assert len([p for p in (tmp_path / "export").rglob("part-*")]) <= 4
+
+
 def test_table_functions_in_sql(spark):
     tables.register(spark)
     docs = spark.createDataFrame([(1, '{"rows": [{"name": "iron", "value": "7"}, {"name": "b", "value": "8"}]}'), (2, None), (3, '[{"name": "cut", "value": "1"}, {"name": "o')], "id long, payload string")
