@@ -12,6 +12,8 @@ from chartlode.plans.views import Register, Tables
 from chartlode.sources import paged, readers
 
 query = Register()
+#: Buckets of a paged export: tasks that read it.
+BUCKETS = 96
 
 
 def joined(df: DataFrame, *columns: str) -> DataFrame:
@@ -60,7 +62,8 @@ def src_10(t: Tables) -> DataFrame:
     place = F.row_number().over(ordered.Window.partitionBy("user_id").orderBy("external_id")) - 1
     page = t.activities().withColumn("page", F.floor(place / 2).cast("int") + 1).where("page <= 3").groupBy("user_id", "page").agg(F.to_json(F.collect_list(F.struct(F.col("external_id").alias("activityId")))).alias("payload"))
     page = page.withColumn("payload", F.when((F.col("user_id") % 2 == 0) & (F.col("page") == 2), "[]").otherwise(F.col("payload")))
-    page.withColumn("bucket", F.pmod("user_id", F.lit(8))).repartition("bucket").write.partitionBy("bucket", "user_id", "page").text(path)
+    dealt = page.select("*", F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)).alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", "user_id", "page")
+    dealt.select(F.to_json(F.struct("user_id", "page", "payload")).alias("value"), "bucket").write.partitionBy("bucket").text(path)
     t.spark.dataSource.register(paged.PagedActivities)
     return t.spark.read.format("paged_activities").option("path", path).load().where("error is null").select("user_id", "external_id")
 

@@ -1,14 +1,18 @@
 """SRC-09, SRC-10. A paged service as a Spark data source: users are dealt over partitions, each reads its users' pages one after another.
 
-The pages are files that a fetcher has left, `bucket=B/user_id=U/page=P/*`; a live service overrides PagedReader.fetch(). Register with
+The pages are files that a fetcher has left, `bucket=B/user_id=U/page=P/*`, or lines `{"user_id": U, "page": P, "payload": ".."}` of
+files `bucket=B/*`, each user's in one file together: a file for each page costs more than what stands in it when users are many.
+A live service overrides PagedReader.fetch(). Register with
 spark.dataSource.register(PagedActivities), then spark.read.format("paged_activities").option("path", ..).load(), or
 readStream for pages as they come.
 """
 
 from __future__ import annotations
 
+import io
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -47,22 +51,37 @@ class PagedReader:
         texts = [store.open_input_stream(i.path).read().decode() for i in files if i.is_file and not i.base_name.startswith(("_", "."))]
         return "".join(texts) if texts else None
 
+    def users(self, part: Bucket) -> Iterator[tuple[int, Callable[[int], str | None]]]:
+        """Each user of a bucket and what answers for a page. Of lines, one user's pages are held at a time; one that is torn stops the read, as nobody knows whose page it was."""
+        from pyarrow import fs
+
+        for user, folder in listed(part.path, "user_id"):
+            yield int(user), lambda page, folder=folder: self.fetch(folder, page)
+        store, at = fs.FileSystem.from_uri(part.path) if "://" in part.path or part.path.startswith("file:") else (fs.LocalFileSystem(), part.path)
+        for info in store.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+            if info.is_file and not info.base_name.startswith(("_", ".")):
+                with store.open_input_stream(info.path) as raw:
+                    lines = map(json.loads, io.TextIOWrapper(raw, "utf-8", newline="\n"))
+                    for user, own in groupby(lines, lambda x: x["user_id"]):
+                        pages = {x["page"]: x["payload"] for x in own if x["page"] <= self.max_pages}
+                        yield int(user), pages.get
+
     def rows(self, part: Bucket) -> Iterator[tuple]:
         """A user's pages until one is empty or absent. A page that can't be read is a row with its error, and no others stop for it."""
-        for user, folder in listed(part.path, "user_id"):
+        for user, answered in self.users(part):
             for page in range(1, self.max_pages + 1 if part.upto is None else min(self.max_pages, part.upto) + 1):
                 try:
-                    answer = self.fetch(folder, page)
+                    answer = answered(page)
                     found = [] if answer is None else json.loads(answer)
                     ids = [str(x["activityId"]) for x in found]
                 except (ValueError, TypeError, KeyError, OSError) as e:
                     if page > part.after:
-                        yield int(user), page, None, f"{type(e).__name__}: {e}"[:200]
+                        yield user, page, None, f"{type(e).__name__}: {e}"[:200]
                     continue
                 if not ids:
                     break
                 if page > part.after:
-                    yield from ((int(user), page, i, None) for i in ids)
+                    yield from ((user, page, i, None) for i in ids)
 
 
 class BatchReader(PagedReader, DataSourceReader):

@@ -36,6 +36,35 @@ def test_pages_until_an_empty_one_and_errors_apart(spark, pages):
     assert spark.read.format("paged_activities").option("path", pages + "/nothing").load().count() == 0
 
 
+def test_pages_in_lines_equal_pages_in_folders(spark, pages, tmp_path):
+    import json
+
+    for user, page in sorted(PAGES):
+        folder = tmp_path / "lines" / f"bucket={user % 2}"
+        folder.mkdir(parents=True, exist_ok=True)
+        with open(folder / "part-0.txt", "a") as f:
+            f.write(json.dumps({"user_id": user, "page": page, "payload": PAGES[user, page] + "\n"}) + "\n")
+    read = lambda path, most: sorted(map(str, spark.read.format("paged_activities").option("path", path).option("max_pages", most).load().collect()))
+    for most in (1, 3, 4):
+        assert read(f"{tmp_path}/lines", most) == read(pages, most)
+
+
+def test_a_paged_export_has_no_file_for_each_page(spark, tmp_path, monkeypatch):
+    import datetime
+
+    from chartlode.plans import inputs, registries
+    from chartlode.plans.views import Tables
+
+    monkeypatch.setattr(inputs, "scratch", lambda t, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(registries, "BUCKETS", 3)
+    rows = [(i, i % 60, "view", datetime.datetime(2024, 1, 1), float(i)) for i in range(300)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in registries.src_10(Tables(spark, str(tmp_path))).collect())
+    ids = {u: sorted(str(i) for i in range(300) if i % 60 == u) for u in range(60)}
+    assert got == sorted((u, i) for u in ids for i in ids[u][: 2 if u % 2 == 0 else 6])
+    assert len(list((tmp_path / "pages").rglob("part-*"))) <= 3
+
+
 def test_pages_as_a_stream_equal_the_batch(spark, pages, tmp_path):
     stream = spark.readStream.format("paged_activities").option("path", pages).load()
     write = lambda b, n: b.write.mode("overwrite").json(f"{tmp_path}/out/{n}")
