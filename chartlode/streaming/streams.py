@@ -10,8 +10,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
@@ -214,49 +216,45 @@ class Status(StatefulProcessor):
         pass
 
 
-class Survivors(StatefulProcessor):
-    """STR-09. The documents of one user that are left, by file and by form."""
+def survive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """STR-09. What becomes of each user's documents: rows of SURVIVOR in, by user, those left from before first, and the changed ones out.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getMapState("kept", "id long", "n_rows long, file string, form string")
-        self.files = handle.getMapState("files", "file string", "ids array<long>")
-        self.forms = handle.getMapState("forms", "form string", "ids array<long>")
+    A task holds the documents of one user that are left at that moment, by id, file and form."""
+    user, kept, files, forms, alive = None, {}, {}, {}, {}
 
-    def ids(self, index, name: str | None) -> list[int]:
-        return list(index.getValue((name,))[0]) if name is not None and index.containsKey((name,)) else []
+    def ended() -> list[tuple]:
+        return [(user, doc, n, on, file, form) for doc, (n, on, file, form) in alive.items()]
 
-    def put(self, index, name: str | None, ids: list[int]) -> None:
-        if name is not None and ids:
-            index.updateValue((name,), (ids,))
-        elif name is not None and index.containsKey((name,)):
-            index.removeKey((name,))
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * len(SURVIVOR)
+        return pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, SURVIVOR, strict=True)], SURVIVOR.names)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        alive: dict[int, tuple[bool, int]] = {}
-        batch = pd.concat(list(rows)).sort_values("id")
-        for doc, n, file, form in zip(batch["id"], batch["n_rows"], batch["file"], batch["form"], strict=True):
-            doc, n, file, form = int(doc), int(n), None if pd.isna(file) else file, None if pd.isna(form) else form
-            if self.kept.containsKey((doc,)):
+    for batch in batches:
+        out = []
+        for own, doc, n, old, file, form in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if own != user:
+                out += ended()
+                user, kept, files, forms, alive = own, {}, {}, {}, {}
+            if doc in kept:
                 continue
-            twin = min({*self.ids(self.files, file), *self.ids(self.forms, form)}, default=None)
+            twin = None if old else min({*files.get(file, ()), *forms.get(form, ())}, default=None)
             if twin is not None:
-                old = self.kept.getValue((twin,))
-                if n < old[0]:
-                    alive[doc] = (False, n)
+                if n < kept[twin][0]:
+                    alive[doc] = (n, False, file, form)
                     continue
-                self.kept.removeKey((twin,))
-                for index, name in ((self.files, old[1]), (self.forms, old[2])):
-                    self.put(index, name, [i for i in self.ids(index, name) if i != twin])
-                alive[twin] = (False, int(old[0]))
-            self.kept.updateValue((doc,), (n, file, form))
-            for index, name in ((self.files, file), (self.forms, form)):
-                self.put(index, name, [*self.ids(index, name), doc])
-            alive[doc] = (True, n)
-        if alive:
-            yield pd.DataFrame([(key[0], doc, n, on) for doc, (on, n) in alive.items()], columns=["user_id", "id", "n_rows", "alive"])
-
-    def close(self) -> None:
-        pass
+                gone = kept.pop(twin)
+                for index, name in ((files, gone[1]), (forms, gone[2])):
+                    if name is not None:
+                        index[name].remove(twin)
+                alive[twin] = (gone[0], False, *gone[1:])
+            kept[doc] = (n, file, form)
+            for index, name in ((files, file), (forms, form)):
+                if name is not None:
+                    index.setdefault(name, []).append(doc)
+            if not old:
+                alive[doc] = (n, True, file, form)
+        yield rows(out)
+    yield rows(ended())
 
 
 def with_keyed_state(spark: SparkSession) -> None:
@@ -293,7 +291,7 @@ def read_status(spark: SparkSession, path: str, events: DataFrame) -> DataFrame:
     return last_left(left(spark, path, status_type(events)), ["document_id"])
 
 
-SURVIVOR = StructType().add("user_id", "long").add("id", "long").add("n_rows", "long").add("alive", "boolean")
+SURVIVOR = StructType().add("user_id", "long").add("id", "long").add("n_rows", "long").add("alive", "boolean").add("file", "string").add("form", "string")
 
 
 def run_survivors(documents: DataFrame, path: str, checkpoint: str) -> None:
@@ -301,17 +299,26 @@ def run_survivors(documents: DataFrame, path: str, checkpoint: str) -> None:
 
     Twins have one file, or one type, title (not null) and clinic (null as ''); of several the first by id is the old one. The loser
     is taken back, so later documents don't meet it. documents: user_id, id, doc_type, title, clinic, file_sha256, n_rows; by
-    id within a batch. An id that is alive and comes again changes nothing."""
-    with_keyed_state(documents.sparkSession)
+    id within a batch. An id that is alive and comes again changes nothing. A batch reads what earlier ones have left of its own users."""
+    spark = documents.sparkSession
     form = F.when(F.col("title").isNotNull() & F.col("doc_type").isNotNull(), F.to_json(F.array("doc_type", "title", F.coalesce("clinic", F.lit("")))))
-    rows = documents.select("user_id", "id", "n_rows", F.col("file_sha256").alias("file"), form.alias("form"))
-    found = rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Survivors(), outputStructType=SURVIVOR, outputMode="Update", timeMode="None")
-    run_batches(found, lambda batch, number: leave(batch, path, number), checkpoint, "update")
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.select("user_id", "id", "n_rows", F.lit(False).alias("alive"), F.col("file_sha256").alias("file"), form.alias("form"))
+        if number:
+            users = rows.select(F.col("user_id").alias("_user")).distinct()
+            before = last_left(left(spark, path, SURVIVOR, before=number), ["user_id", "id"]).where("alive")
+            rows = rows.unionByName(before.join(users, F.col("user_id").eqNullSafe(F.col("_user")), "left_semi"))
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in SURVIVOR])
+        ordered = rows.repartition("user_id").sortWithinPartitions("user_id", F.desc("alive"), "id", "n_rows", "file", "form")
+        leave(ordered.mapInArrow(survive, SURVIVOR), path, number)
+
+    run_batches(documents, write, checkpoint)
 
 
 def read_survivors(spark: SparkSession, path: str) -> DataFrame:
     """user_id, id, n_rows of the documents that are left."""
-    return last_left(left(spark, path, SURVIVOR), ["user_id", "id"]).where("alive").drop("alive")
+    return last_left(left(spark, path, SURVIVOR), ["user_id", "id"]).where("alive").select("user_id", "id", "n_rows")
 
 
 def run_claims(claims: DataFrame, path: str, checkpoint: str, key: str, order: str) -> None:

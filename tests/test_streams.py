@@ -133,6 +133,15 @@ def test_survivors_equal_the_fold(spark, tmp_path, sizes):
     assert {(r.user_id, r.id, r.n_rows) for r in streams.read_survivors(spark, f"{path}/out").collect()} == plain_survivors(rows)
 
 
+def test_survivors_are_left_by_batches_not_asked_for_one_by_one(spark, tmp_path):
+    """No state store, which is asked for each document on its own; users without documents in a batch stay as they are, as does the null user."""
+    kind, path = "user_id long, id long, doc_type string, title string, clinic string, file_sha256 string, n_rows long", str(tmp_path)
+    rows = [(1, 1, "a", "t", None, "f", 2), (2, 2, "a", "t", None, "f", 2), (None, 3, "a", "t", None, "f", 2), (2, 4, "a", "u", None, "f", 1), (None, 5, "b", "t", None, "f", 3), (2, 6, None, None, None, None, 0)]
+    feed(spark, path, cut(rows, [3, 1, 1]), kind, lambda s: streams.run_survivors(s, f"{path}/out", f"{path}/state"))
+    assert {(r.user_id, r.id, r.n_rows) for r in streams.read_survivors(spark, f"{path}/out").collect()} == {(1, 1, 2), (2, 2, 2), (None, 5, 3), (2, 6, 0)}
+    assert not (tmp_path / "state" / "state").exists()
+
+
 def test_a_missed_tick_is_made_up_for_once(spark, tmp_path):
     at = lambda h: f"2024-01-01 {h:02d}:00:00"
     stamp = lambda df, *cs: df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cs})
