@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -37,11 +36,7 @@ class Harvest:
         return of_text(payload, RESULT)
 
     def eval(self, payload: str) -> Iterator[tuple]:
-        try:
-            node, torn = json.loads(payload or "null"), False
-        except ValueError:
-            node, torn = parse.repaired(payload), True
-        for k, r in enumerate(parse.harvested(node, torn)):
+        for k, r in enumerate(parse.harvested_text(payload)):
             yield k, r["name"], r["value"], r["unit"], r["ref"]
 
 

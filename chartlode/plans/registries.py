@@ -193,7 +193,7 @@ def udf_04(t: Tables) -> DataFrame:
 def udf_05(t: Tables) -> DataFrame:
     """SC-62 as a table function in SQL."""
     tables.register(t.spark)
-    payloads = parsing.payloads(t)
+    payloads = parse.spread(parsing.payloads(t))
     return t.spark.sql("SELECT doc_id, r.* FROM {docs} d, LATERAL harvest(d.payload) r", docs=payloads)
 
 

@@ -457,3 +457,13 @@ def test_snippets_of_a_stated_list_of_terms(spark):
     assert filters.snippets(docs, terms.where("false"), 4, 2).count() == 0
     with pytest.raises(ValueError):
         filters.snippets(docs, terms, 4, 2, most_terms=2)
+
+
+def test_payloads_of_one_small_file_are_parsed_by_all_cores(spark):
+    """As a table of one partition gives them; a key's role doesn't depend on what was asked before."""
+    payload = '[{"Показатель": "a", "Value": "1"}, {"name": "b", "value": "2"}, {"name": "c'
+    docs = spark.range(2_000).coalesce(1).select(F.col("id").alias("doc_id"), F.lit(payload).alias("payload"))
+    got = parse.harvest(docs)
+    used = got.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used == 4 * spark.sparkContext.defaultParallelism
+    assert {(r.ordinal, r.analyte_name, r.value_raw) for r in got.collect()} == {(0, "a", "1"), (1, "b", "2")} and got.count() == 4_000
