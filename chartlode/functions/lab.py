@@ -19,21 +19,22 @@ def to_float(x: Column) -> Column:
 def lab_value(x: Column) -> Column:
     """SC-31. (num, text): a leading number without what follows; an operator or anything else is text; nothing for a blank."""
     s = F.trim(x)
-    lead = F.nullif(F.regexp_extract(s, f"^({NUMBER})", 1), F.lit(""))
-    return F.struct(F.when(~s.rlike("^[<>≤≥]"), to_float(lead)).alias("num"), F.when((s != "") & (s.rlike("^[<>≤≥]") | lead.isNull()), s).alias("text"))
+    lead, signed = F.nullif(F.regexp_extract(s, f"^({NUMBER})", 1), F.lit("")), F.substring(s, 1, 1).isin("<", ">", "≤", "≥")
+    return F.struct(F.when(~signed, to_float(lead)).alias("num"), F.when((s != "") & (signed | lead.isNull()), s).alias("text"))
 
 
 def reference(x: Column) -> Column:
     """SC-32. (low, high, op, text) of a whole reference, digits apart by spaces joined first."""
     s = F.regexp_replace(F.trim(x), r"(?<=[0-9])\s+(?=[0-9])", "")
     part = lambda pattern, k: F.nullif(F.regexp_extract(s, pattern, k), F.lit(""))
-    span, upper, lower = rf"^({NUMBER})\s*[-–—]\s*({NUMBER})$", rf"^[<≤]\s*({NUMBER})$", rf"^[>≥]\s*({NUMBER})$"
-    up, down = part(upper, 1), part(lower, 1)
-    known = part(span, 1).isNotNull() | up.isNotNull() | down.isNotNull()
+    # Which pattern is tried is seen by the first character.
+    upper, lower = (F.coalesce(F.substring(s, 1, 1).isin(*signs), F.lit(False)) for signs in (("<", "≤"), (">", "≥")))
+    span, bound = rf"^({NUMBER})\s*[-–—]\s*({NUMBER})$", part(rf"^[<≤>≥]\s*({NUMBER})$", 1)
+    known = F.when(upper | lower, bound.isNotNull()).otherwise(part(span, 1).isNotNull())
     return F.struct(
-        F.coalesce(to_float(part(span, 1)), to_float(down)).alias("low"),
-        F.coalesce(to_float(part(span, 2)), to_float(up)).alias("high"),
-        F.when(up.isNotNull(), "<").when(down.isNotNull(), ">").alias("op"),
+        F.when(lower, to_float(bound)).when(~upper, to_float(part(span, 1))).alias("low"),
+        F.when(upper, to_float(bound)).when(~lower, to_float(part(span, 2))).alias("high"),
+        F.when(upper & bound.isNotNull(), "<").when(lower & bound.isNotNull(), ">").alias("op"),
         F.when((s != "") & ~known, s).alias("text"),
     )
 
@@ -72,7 +73,7 @@ def number_tokens(x: Column) -> Column:
 
 def looks_like_reference(x: Column) -> Column:
     """SC-38."""
-    return x.rlike(rf"^{NUMBER}\s*[-–—]\s*{NUMBER}$") | x.rlike(rf"^[<≤>≥]\s*{NUMBER}$")
+    return x.rlike(rf"^(?:{NUMBER}\s*[-–—]\s*{NUMBER}|[<≤>≥]\s*{NUMBER})$")
 
 
 def looks_like_number(x: Column) -> Column:

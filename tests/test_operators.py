@@ -467,3 +467,15 @@ def test_payloads_of_one_small_file_are_parsed_by_all_cores(spark):
     used = got.select(F.spark_partition_id().alias("p")).distinct().count()
     assert used == 4 * spark.sparkContext.defaultParallelism
     assert {(r.ordinal, r.analyte_name, r.value_raw) for r in got.collect()} == {(0, "a", "1"), (1, "b", "2")} and got.count() == 4_000
+
+
+def test_a_parse_is_in_one_place_of_the_plan(spark):
+    """A filter or an explode above it would have it evaluated once more below."""
+    lines = spark.createDataFrame([(1, 1, "20 мин: H2 = 1, ch4=2,5; H2+2CH4=\t3 O2=4, H2=9"), (1, 2, "0 мин: 5=6 H2=1, CH4=2, O2=4"), (1, 3, "x мин: H2=1, CH4=2, H2+2CH4=3, O2=4"), (1, 4, None), (1, 5, "-1 мин: H2=1 CH4=2 H2+2CH4=3 O2=4")], "doc_id long, line_no int, line string")
+    got = parse.breath_test(lines)
+    assert [(r.line_no, r.ordinal, r.value_num) for r in got.orderBy("ordinal").collect()] == [(1, 0, 1.0), (1, 1, 2.5), (1, 2, 3.0), (1, 3, 4.0)]
+    answers = spark.createDataFrame([(1, '{"results": [null, {"name": "a", "value": "1"}, {"test_name": "b", "result": "<2"}], "tests": []}'), (2, "{}"), (3, None), (4, "[")], "doc_id long, payload string")
+    rows = parse.flatten_analysis(answers)
+    assert sorted((r.doc_id, r.line_no, r.analyte_name) for r in rows.collect()) == [(1, 1, "a"), (1, 2, "b")]
+    for df, call in ((got, "regexp_extract_all("), (rows, "from_json(")):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count(call) == 1
