@@ -29,6 +29,8 @@ SHAPES = {"e": (len(OFFSETS), VOCABULARY + 1, HIDDEN), "b": (HIDDEN,), "wc": (HI
 SIZE = sum(math.prod(s) for s in SHAPES.values())
 #: How many weight vectors one task of the averaging tree adds up.
 FAN_IN = 16
+#: How many tokens are scored at once: what is computed for them stays in a core's cache.
+SCORED = 4096
 
 
 def token(word: bytes) -> int:
@@ -67,16 +69,18 @@ def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hidden(w: dict[str, np.ndarray], near: np.ndarray) -> np.ndarray:
-    h = w["b"] + w["e"][0][near[0]]
+    h = w["e"][0].take(near[0], axis=0)
+    h += w["b"]
     for k in range(1, len(OFFSETS)):
-        h += w["e"][k][near[k]]
-    return np.tanh(h)
+        h += w["e"][k].take(near[k], axis=0)
+    return np.tanh(h, out=h)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
+def chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log of the softmax of each row at its place."""
     x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+    own = x[np.arange(len(x)), at]
+    return own - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -97,13 +101,13 @@ def groups(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 def log_p(w: dict[str, np.ndarray], tokens: np.ndarray, near: np.ndarray) -> np.ndarray:
     """Log probability of each token given its neighbours."""
     out = np.empty(len(tokens), np.float32)
-    for low in range(0, len(tokens), 32_768):
-        t = tokens[low : low + 32_768]
-        h, c, m = hidden(w, near[:, low : low + 32_768]), t // MEMBERS, t % MEMBERS
-        own = log_softmax(h @ w["wc"] + w["bc"])[np.arange(len(t)), c]
+    for low in range(0, len(tokens), SCORED):
+        t = tokens[low : low + SCORED]
+        h, c, m = hidden(w, near[:, low : low + SCORED]), t // MEMBERS, t % MEMBERS
+        own = chosen(h @ w["wc"] + w["bc"], c)
         for k, at in groups(c):
-            own[at] += log_softmax(h[at] @ w["wm"][k] + w["bm"][k])[np.arange(len(at)), m[at]]
-        out[low : low + 32_768] = own
+            own[at] += chosen(h.take(at, axis=0) @ w["wm"][k] + w["bm"][k], m[at])
+        out[low : low + SCORED] = own
     return out
 
 
@@ -117,21 +121,24 @@ def step(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], tokens: np.ndarr
     d[np.arange(n), c] -= 1
     g = {"wc": h.T @ d / n, "bc": d.sum(axis=0) / n}
     dh = d @ w["wc"].T
-    # Tokens stand by class; in a block of the size of the largest class for each, all classes are multiplied at once.
-    sizes = np.bincount(c, minlength=CLASSES)
-    width = int(sizes.max())
-    place = c * width + np.arange(n) - (np.cumsum(sizes) - sizes)[c]
-    wide_h, wide_d = np.zeros((CLASSES * width, HIDDEN), np.float32), np.zeros((CLASSES * width, MEMBERS), np.float32)
-    wide_h[place] = h
-    wide_h = wide_h.reshape(CLASSES, width, HIDDEN)
-    d = softmax((wide_h @ w["wm"]).reshape(-1, MEMBERS)[place] + w["bm"][c])
+    # Tokens stand by class, so each class has its own rows, which nothing pads.
+    ends = np.cumsum(np.bincount(c, minlength=CLASSES)).tolist()
+    spans = [(k, low, high) for k, (low, high) in enumerate(zip([0, *ends], ends, strict=False)) if low < high]
+    d = np.empty((n, MEMBERS), np.float32)
+    for k, low, high in spans:
+        np.matmul(h[low:high], w["wm"][k], out=d[low:high])
+        d[low:high] += w["bm"][k]
+    d = softmax(d)
     d[np.arange(n), m] -= 1
-    d /= n
-    wide_d[place] = d
-    wide_d = wide_d.reshape(CLASSES, width, MEMBERS)
-    g["bm"] = wide_d.sum(axis=1)
-    g["wm"] = wide_h.transpose(0, 2, 1) @ wide_d
-    dh += n * (wide_d @ w["wm"].transpose(0, 2, 1)).reshape(-1, HIDDEN)[place]
+    back, g["wm"], g["bm"] = np.empty((n, HIDDEN), np.float32), np.zeros(SHAPES["wm"], np.float32), np.zeros(SHAPES["bm"], np.float32)
+    for k, low, high in spans:
+        own = d[low:high]
+        np.matmul(own, w["wm"][k].T, out=back[low:high])
+        np.matmul(h[low:high].T, own, out=g["wm"][k])
+        np.add.reduce(own, axis=0, out=g["bm"][k])
+    g["wm"] /= n
+    g["bm"] /= n
+    dh += back
     dh *= (1 - h * h) / n
     g["b"] = dh.sum(axis=0)
     for name, x in g.items():
@@ -142,10 +149,20 @@ def step(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], tokens: np.ndarr
     order = np.argsort(rows, kind="stable")
     rows = rows[order]
     first = np.flatnonzero(np.diff(rows, prepend=-1))
-    rows, x = rows[first], np.add.reduceat(dh[order % n], first)
+    # Most rows occur once; only the others are sums.
+    many, d = np.diff(first, append=len(rows)) > 1, dh.take(order % n, axis=0)
+    x = d.take(first, axis=0)
+    if many.any():
+        of_many = np.repeat(many, np.diff(first, append=len(rows)))
+        starts = np.flatnonzero(np.diff(rows[of_many], prepend=-1))
+        x[many] = np.add.reduceat(d[of_many], starts)
+    rows = rows[first]
     e, e_seen = (v["e"].reshape(-1, HIDDEN) for v in (w, seen))
-    e_seen[rows] += x * x
-    e[rows] -= rate * x / np.sqrt(e_seen[rows])
+    total = e_seen.take(rows, axis=0) + x * x
+    e_seen[rows] = total
+    x *= rate
+    x /= np.sqrt(total, out=total)
+    e[rows] -= x
 
 
 def tokens_of(batch: pa.RecordBatch, ids: Cached) -> list[np.ndarray]:

@@ -503,3 +503,17 @@ def test_viterbi_finds_the_best_path():
 def test_caches_are_bounded_and_pure():
     c = Cached(lambda x: x * 2, limit=3)
     assert [c[k % 5] for k in range(20)] == [k % 5 * 2 for k in range(20)] and len(c) <= 3
+
+
+def test_a_step_holds_no_more_than_its_own_tokens():
+    """Tokens of one class: padding all classes to the largest took 32 times the memory."""
+    import tracemalloc
+
+    weights = lm.start()
+    w, seen = lm.unpack(weights), {name: np.full(shape, 1e-3, np.float32) for name, shape in lm.SHAPES.items()}
+    tokens, near = np.arange(4096, dtype=np.int32) % lm.MEMBERS, np.zeros((4, 4096), np.int32)
+    tracemalloc.start()
+    lm.step(w, seen, tokens, near, 0.05)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8_000_000 and np.isfinite(weights).all()
