@@ -191,3 +191,23 @@ def test_birth_dates_of_names_with_one_two_or_none(spark):
     people = spark.createDataFrame([(1, "a", 5), (2, "a", None), (3, "b", 5), (4, "b", 6), (5, "b", None), (6, "c", None), (7, None, 9), (8, None, None), (9, "a", 5)], "id long, name string, birth long")
     assert {r.id: r.birth for r in joins.impute_birth(people).collect()} == {1: 5, 2: 5, 3: 5, 4: 6, 5: None, 6: None, 7: 9, 8: None, 9: 5}
     assert joins.impute_birth(people.where("false")).count() == 0
+
+
+def plan_of(spark, function) -> str:
+    """What is computed of a text, after Spark has optimized it."""
+    rows = spark.createDataFrame([("x",)], "x string").select(function(F.concat(F.lit("given "), "x")).alias("y"))
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_units_are_stripped_once(spark):
+    plan = plan_of(spark, lambda x: text.correct_unit(x, F.array(F.lit("г/л"), F.lit("КП"))))
+    assert plan.count("regexp_extract(") == 2  # a word of quality and the one after it
+
+
+def test_bound_text_keeps_results(spark):
+    notes = ["Дата рождения 01.02.1980, запись 31.02.2020, затем 3/4/2020", "дата приема 5.6.21", "дата приема 5.6.211 и 07.08.2021", "", None, "1.1.2020 и д.р. 2.2.2000"]
+    assert column(spark, notes, dates.visit_date) == [datetime.date(2020, 4, 3), datetime.date(2021, 6, 5), datetime.date(2021, 8, 7), None, None, None]
+    expected = F.array(F.lit("г/л"), F.lit("КП"))
+    units = ["G/L", "| г/л |", "Не  обнаружено: кп", "не обнаружено", "отрицательный", "в г/л крови", "%", "", None]
+    assert column(spark, units, lambda x: text.correct_unit(x, expected)) == ["г/л", "г/л", "КП", None, "КП", "г/л", None, None, None]
+    assert column(spark, units, text.strip_unit_noise) == ["G/L", "г/л", "кп", "не обнаружено", "отрицательный", "в г/л крови", "%", "", None]
