@@ -7,6 +7,8 @@ import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chartlode.functions.text import let
+
 # Russian month names, by their beginnings.
 MONTHS = ("янв", "фев", "мар", "апр", "ма", "июн", "июл", "авг", "сен", "окт", "ноя", "дек")
 
@@ -60,24 +62,34 @@ def visit_date(text: Column) -> Column:
     """SC-55. A labelled date, else the first date that has no word of birth from 40 characters before to 10 after it."""
     labels = [rf"дата\s+{w}" for w in DATED] + [rf"{w}(?:\s+от|от)?" for w in VISITS]
     label = rf"(?iU)(?:{'|'.join(labels)})[\s:]+(\d\d?[/.]\d\d?[/.]\d\d(?:\d\d?)?)"
-    labelled = strict_date(padded(F.nullif(F.regexp_extract(text, label, 1), F.lit(""))))
-    found = F.regexp_extract_all(text, F.lit(r"(\b\d{1,2}[./]\d{1,2}[./]\d{4}\b)"), F.lit(1))
-    # Each date's place is looked for after the one before it.
-    place = lambda acc, d: F.call_function("locate", d, text, acc["next"])
-    step = lambda acc, d: F.struct((place(acc, d) + F.length(d)).alias("next"), F.array_append(acc["found"], F.struct(d.alias("d"), place(acc, d).alias("at"))).alias("found"))
-    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<d:string,at:int>>").alias("found"))
-    located = F.aggregate(found, start, step, lambda acc: acc["found"])
-    near = lambda p: F.substr(text, F.greatest(p["at"] - 40, F.lit(1)), F.least(p["at"] - 1, F.lit(40)) + F.length(p["d"]) + 10)
-    plain = F.filter(located, lambda p: ~near(p).rlike("(?iU)" + "|".join(BIRTH)))
-    dates = F.filter(F.transform(plain, lambda p: strict_date(padded(p["d"]))), lambda d: d.isNotNull())
-    return F.coalesce(labelled, F.get(dates, F.lit(0)))
+    dated = r"(\b\d{1,2}[./]\d{1,2}[./]\d{4}\b)"
+
+    def visit(t: Column) -> Column:
+        labelled = let(F.regexp_extract(t, label, 1), lambda s: F.when(s != "", padded_date(s)))
+
+        def step(acc: Column, d: Column) -> Column:
+            # Each date's place is looked for after the one before it; after the first that stands by itself none is.
+            near = lambda at: F.substr(t, F.greatest(at - 40, F.lit(1)), F.least(at - 1, F.lit(40)) + F.length(d) + 10)
+            plain = lambda at: F.when(~near(at).rlike("(?iU)" + "|".join(BIRTH)), padded_date(d))
+            seen = let(F.call_function("locate", d, t, acc["next"]), lambda at: F.struct((at + F.length(d)).alias("next"), plain(at).alias("day")))
+            return F.when(acc["day"].isNotNull(), acc).otherwise(seen)
+
+        start = F.struct(F.lit(1).alias("next"), F.lit(None).cast("date").alias("day"))
+        return F.coalesce(labelled, F.aggregate(F.regexp_extract_all(t, F.lit(dated), F.lit(1)), start, step, lambda acc: acc["day"]))
+
+    return let(text, visit)
+
+
+def padded_date(x: Column) -> Column:
+    """The date that x is once padded(), which has only one form; null if there is no such day."""
+    return F.try_to_timestamp(padded(x), F.lit("dd.MM.yyyy")).cast("date")
 
 
 def padded(x: Column) -> Column:
     """dd.mm.yyyy of a date with one-digit parts, slashes or a two-digit year."""
-    p = F.split(F.translate(x, "/", "."), r"\.")
-    year = F.get(p, F.lit(2))
-    return F.concat_ws(".", F.lpad(F.get(p, F.lit(0)), 2, "0"), F.lpad(F.get(p, F.lit(1)), 2, "0"), F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year))
+    year = lambda y: F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
+    whole = lambda p: F.concat_ws(".", F.lpad(F.get(p, F.lit(0)), 2, "0"), F.lpad(F.get(p, F.lit(1)), 2, "0"), year(F.get(p, F.lit(2))))
+    return let(F.split(F.translate(x, "/", "."), r"\."), whole)
 
 
 def same_day(a: Column, b: Column) -> Column:

@@ -199,6 +199,11 @@ def plan_of(spark, function) -> str:
     return rows._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_visit_date_computes_its_text_once(spark):
+    plan = plan_of(spark, dates.visit_date)
+    assert (plan.count("given "), plan.count("regexp_extract("), plan.count("locate(")) == (1, 1, 1)
+
+
 def test_units_are_stripped_once(spark):
     plan = plan_of(spark, lambda x: text.correct_unit(x, F.array(F.lit("г/л"), F.lit("КП"))))
     assert plan.count("regexp_extract(") == 2  # a word of quality and the one after it
