@@ -54,3 +54,19 @@ def test_query_without_sql_runs(spark, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["metric", "day", "n", "avg_value", "min_value", "max_value", "unit"]
+
+
+def test_order_lines_are_dealt_by_their_number(spark, monkeypatch):
+    """A task has so many lines however few bytes they are, from the join with the orders on."""
+    from chartlode.plans import catalogue, views
+
+    few = sorted(map(str, views.Tables(spark, str(DATA)).labs().collect()))
+    wanted = {name: sorted(map(str, catalogue.QUERIES[name](spark, str(DATA)).collect())) for name in ("AGG-21", "SET-07", "SC-68")}
+    monkeypatch.setattr(views, "LINES_A_TASK", 500)
+    t = views.Tables(spark, str(DATA))
+    assert t.tasks == -(-t.read("lineitem").count() // 500) > spark.sparkContext.defaultParallelism
+    assert t.labs().rdd.getNumPartitions() == t.tasks and sorted(map(str, t.labs().collect())) == few
+    for name, rows in wanted.items():
+        out = catalogue.QUERIES[name](spark, str(DATA))
+        assert f"numPartitions={t.tasks}" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) or f", {t.tasks}" in plan
+        assert sorted(map(str, out.collect())) == rows
