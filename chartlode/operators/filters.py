@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartlode.operators.storage import materialize
+
 
 def tenant(df: DataFrame, user_id: int, column: str = "user_id") -> DataFrame:
     """FLT-01. Rows of one user; ids from 1 on are users."""
@@ -46,12 +48,13 @@ def exact_or_like(labs: DataFrame, queries: DataFrame) -> DataFrame:
     """FLT-07. For each query (column q): results whose key equals it; only where there are none, results whose name contains it.
 
     Keys are met by an equal join. Only queries without one are searched in names, and only in distinct ones, of which a registry
-    has some thousand, so the LIKE never meets all rows."""
-    names = labs.select(lab_key().alias("key"), F.lower("analyte_name").alias("name")).distinct()
+    has some thousand, so the LIKE never meets all rows. These names are written, so labs is made twice: for them and for the results.
+    What was found is written, too: Spark knows that it is small, and doesn't deal all results by name to meet it."""
+    names = materialize(labs.select(lab_key().alias("key"), F.lower("analyte_name").alias("name")).distinct(), "names")
     wanted = queries.select(F.lower("q").alias("q")).distinct()
     exact = wanted.join(names, F.col("q") == F.col("key"))
     parts = wanted.join(names.select(F.col("key").alias("q")).distinct(), "q", "left_anti").join(names, F.col("name").contains(F.col("q")))
-    hits = exact.unionByName(parts).select("q", "key", "name")
+    hits = materialize(exact.unionByName(parts).select("q", "key", "name"), "hits")
     return labs.withColumn("key", lab_key()).withColumn("name", F.lower("analyte_name")).join(hits, ["key", "name"]).drop("key", "name")
 
 

@@ -70,3 +70,9 @@ def test_order_lines_are_dealt_by_their_number(spark, monkeypatch):
         out = catalogue.QUERIES[name](spark, str(DATA))
         assert f"numPartitions={t.tasks}" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) or f", {t.tasks}" in plan
         assert sorted(map(str, out.collect())) == rows
+
+
+def test_results_of_names_read_the_order_lines_once(spark):
+    """FLT-07's names and what they are asked for are found before."""
+    plan = __spark_entry__.queries()["FLT-07"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" parquet") == 4  # lines, parts, orders and what was found
