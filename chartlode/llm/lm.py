@@ -90,8 +90,13 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def by_value(x: np.ndarray) -> np.ndarray:
+    """The stable order of small numbers: as 16 bits they are sorted by their digits."""
+    return np.argsort(x.astype(np.int16), kind="stable")
+
+
 def groups(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(classes, kind="stable")
+    order = by_value(classes)
     ends = np.cumsum(np.bincount(classes, minlength=CLASSES))
     for c in range(CLASSES):
         if len(own := order[ends[c - 1] if c else 0 : ends[c]]):
@@ -114,8 +119,8 @@ def log_p(w: dict[str, np.ndarray], tokens: np.ndarray, near: np.ndarray) -> np.
 def step(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], tokens: np.ndarray, near: np.ndarray, rate: float) -> None:
     """One Adagrad step on the mean negative log probability."""
     n = len(tokens)
-    order = np.argsort(tokens // MEMBERS, kind="stable")
-    tokens, near = tokens[order], near[:, order]
+    order = by_value(tokens // MEMBERS)
+    tokens, near = tokens[order], near.take(order, axis=1)
     h, c, m = hidden(w, near), tokens // MEMBERS, tokens % MEMBERS
     d = softmax(h @ w["wc"] + w["bc"])
     d[np.arange(n), c] -= 1
@@ -126,16 +131,16 @@ def step(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], tokens: np.ndarr
     spans = [(k, low, high) for k, (low, high) in enumerate(zip([0, *ends], ends, strict=False)) if low < high]
     d = np.empty((n, MEMBERS), np.float32)
     for k, low, high in spans:
-        np.matmul(h[low:high], w["wm"][k], out=d[low:high])
-        d[low:high] += w["bm"][k]
+        np.dot(h[low:high], w["wm"][k], out=d[low:high])
+    d += w["bm"].take(c, axis=0)
     d = softmax(d)
     d[np.arange(n), m] -= 1
     back, g["wm"], g["bm"] = np.empty((n, HIDDEN), np.float32), np.zeros(SHAPES["wm"], np.float32), np.zeros(SHAPES["bm"], np.float32)
     for k, low, high in spans:
         own = d[low:high]
-        np.matmul(own, w["wm"][k].T, out=back[low:high])
-        np.matmul(h[low:high].T, own, out=g["wm"][k])
-        np.add.reduce(own, axis=0, out=g["bm"][k])
+        np.dot(own, w["wm"][k].T, out=back[low:high])
+        np.dot(h[low:high].T, own, out=g["wm"][k])
+    g["bm"][[k for k, _, _ in spans]] = np.add.reduceat(d, [low for _, low, _ in spans], axis=0)
     g["wm"] /= n
     g["bm"] /= n
     dh += back
@@ -143,11 +148,13 @@ def step(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], tokens: np.ndarr
     g["b"] = dh.sum(axis=0)
     for name, x in g.items():
         seen[name] += x * x
-        w[name] -= rate * x / np.sqrt(seen[name])
+        x *= rate
+        x /= np.sqrt(seen[name])
+        w[name] -= x
     # The embeddings of all offsets in one table; each row that occurs gets the sum of its places.
     rows = (near + np.arange(len(OFFSETS), dtype=near.dtype)[:, None] * (VOCABULARY + 1)).ravel()
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
+    order = by_value(rows)
+    rows = rows.take(order)
     first = np.flatnonzero(np.diff(rows, prepend=-1))
     # Most rows occur once; only the others are sums.
     many, d = np.diff(first, append=len(rows)) > 1, dh.take(order % n, axis=0)

@@ -517,3 +517,10 @@ def test_a_step_holds_no_more_than_its_own_tokens():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 8_000_000 and np.isfinite(weights).all()
+
+
+def test_rows_of_embeddings_are_ordered_as_16_bit_numbers():
+    most = len(lm.OFFSETS) * (lm.VOCABULARY + 1)
+    assert most < 2**15
+    x = np.random.default_rng(1).integers(0, most, 5_000).astype(np.int32)
+    assert (lm.by_value(x) == np.argsort(x, kind="stable")).all()
