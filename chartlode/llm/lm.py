@@ -31,6 +31,7 @@ SIZE = sum(math.prod(s) for s in SHAPES.values())
 FAN_IN = 16
 #: How many tokens are scored at once: what is computed for them stays in a core's cache.
 SCORED = 4096
+ONES, PLACES = np.ones(max(CLASSES, MEMBERS), np.float32), np.arange(SCORED)
 
 
 def token(word: bytes) -> int:
@@ -76,18 +77,38 @@ def hidden(w: dict[str, np.ndarray], near: np.ndarray) -> np.ndarray:
     return np.tanh(h, out=h)
 
 
+def exponents(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x, each row of which may have been shifted, its exponents, and their sums by row. Rows are shifted by their largest number only where one would leave the range of 32 bits."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        e = np.exp(x)
+        total = e @ ONES[: x.shape[1]]
+    if not (total.min() > 1e-30 and total.max() < 1e30):
+        x = x - x.max(axis=1, keepdims=True)
+        e = np.exp(x)
+        total = e @ ONES[: x.shape[1]]
+    return x, e, total
+
+
 def chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log of the softmax of each row at its place."""
-    x -= x.max(axis=1, keepdims=True)
-    own = x[np.arange(len(x)), at]
-    return own - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
+    x, _, total = exponents(x)
+    return x.ravel().take(PLACES[: len(x)] * x.shape[1] + at) - np.log(total)
+
+
+def slopes(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The softmax of each row, less 1 at its place, divided by n."""
+    _, e, total = exponents(x)
+    e *= (1 / (n * total))[:, None]
+    e.ravel()[np.arange(0, e.size, e.shape[1]) + at] -= 1 / n
+    return e
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
-    return x
+def starts(x: np.ndarray) -> np.ndarray:
+    """Where a new number begins."""
+    new = np.empty(len(x), bool)
+    new[0] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
 
 
 def by_value(x: np.ndarray) -> np.ndarray:
@@ -122,9 +143,8 @@ def step(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], tokens: np.ndarr
     order = by_value(tokens // MEMBERS)
     tokens, near = tokens[order], near.take(order, axis=1)
     h, c, m = hidden(w, near), tokens // MEMBERS, tokens % MEMBERS
-    d = softmax(h @ w["wc"] + w["bc"])
-    d[np.arange(n), c] -= 1
-    g = {"wc": h.T @ d / n, "bc": d.sum(axis=0) / n}
+    d = slopes(h @ w["wc"] + w["bc"], c, n)
+    g = {"wc": h.T @ d, "bc": d.sum(axis=0)}
     dh = d @ w["wc"].T
     # Tokens stand by class, so each class has its own rows, which nothing pads.
     ends = np.cumsum(np.bincount(c, minlength=CLASSES)).tolist()
@@ -133,36 +153,38 @@ def step(w: dict[str, np.ndarray], seen: dict[str, np.ndarray], tokens: np.ndarr
     for k, low, high in spans:
         np.dot(h[low:high], w["wm"][k], out=d[low:high])
     d += w["bm"].take(c, axis=0)
-    d = softmax(d)
-    d[np.arange(n), m] -= 1
+    d = slopes(d, m, n)
     back, g["wm"], g["bm"] = np.empty((n, HIDDEN), np.float32), np.zeros(SHAPES["wm"], np.float32), np.zeros(SHAPES["bm"], np.float32)
     for k, low, high in spans:
         own = d[low:high]
         np.dot(own, w["wm"][k].T, out=back[low:high])
         np.dot(h[low:high].T, own, out=g["wm"][k])
     g["bm"][[k for k, _, _ in spans]] = np.add.reduceat(d, [low for _, low, _ in spans], axis=0)
-    g["wm"] /= n
-    g["bm"] /= n
     dh += back
-    dh *= (1 - h * h) / n
+    dh *= 1 - h * h
     g["b"] = dh.sum(axis=0)
     for name, x in g.items():
-        seen[name] += x * x
+        total = x * x
+        total += seen[name]
+        seen[name][...] = total
         x *= rate
-        x /= np.sqrt(seen[name])
+        x /= np.sqrt(total, out=total)
         w[name] -= x
     # The embeddings of all offsets in one table; each row that occurs gets the sum of its places.
     rows = (near + np.arange(len(OFFSETS), dtype=near.dtype)[:, None] * (VOCABULARY + 1)).ravel()
     order = by_value(rows)
     rows = rows.take(order)
-    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    first = starts(rows)
     # Most rows occur once; only the others are sums.
-    many, d = np.diff(first, append=len(rows)) > 1, dh.take(order % n, axis=0)
-    x = d.take(first, axis=0)
-    if many.any():
-        of_many = np.repeat(many, np.diff(first, append=len(rows)))
-        starts = np.flatnonzero(np.diff(rows[of_many], prepend=-1))
-        x[many] = np.add.reduceat(d[of_many], starts)
+    sizes = np.empty_like(first)
+    np.subtract(first[1:], first[:-1], out=sizes[:-1])
+    sizes[-1] = len(rows) - first[-1]
+    places = order % n
+    x = dh.take(places.take(first), axis=0)
+    if len(many := np.flatnonzero(sizes > 1)):
+        of_many = np.flatnonzero(np.repeat(sizes > 1, sizes))
+        sums = np.cumsum(sizes.take(many))
+        x[many] = np.add.reduceat(dh.take(places.take(of_many), axis=0), sums - sizes.take(many))
     rows = rows[first]
     e, e_seen = (v["e"].reshape(-1, HIDDEN) for v in (w, seen))
     total = e_seen.take(rows, axis=0) + x * x

@@ -524,3 +524,16 @@ def test_rows_of_embeddings_are_ordered_as_16_bit_numbers():
     assert most < 2**15
     x = np.random.default_rng(1).integers(0, most, 5_000).astype(np.int32)
     assert (lm.by_value(x) == np.argsort(x, kind="stable")).all()
+
+
+def test_slopes_and_logs_of_a_softmax_within_and_beyond_the_range_of_floats():
+    rng = np.random.default_rng(3)
+    for scale in (1, 300, 3000):  # beyond 88 an exponent leaves 32 bits
+        x, at = rng.normal(0, scale, (50, lm.MEMBERS)).astype(np.float32), rng.integers(0, lm.MEMBERS, 50)
+        z = x.astype(float) - x.max(axis=1, keepdims=True)
+        p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+        want = z[np.arange(50), at] - np.log(np.exp(z).sum(axis=1))
+        assert lm.chosen(x.copy(), at) == pytest.approx(want, rel=1e-4, abs=1e-4)
+        p[np.arange(50), at] -= 1
+        assert lm.slopes(x.copy(), at, 50) == pytest.approx(p / 50, abs=1e-6)
+    assert lm.starts(np.array([2, 2, 5, 7, 7, 7])).tolist() == [0, 2, 3]
