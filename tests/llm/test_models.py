@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chartlode.llm import html_extract, langid, lm, quality_classifier, quality_rules, toxicity
-from chartlode.llm.common import Cached, WordHashes
+from chartlode.llm.common import Cached, Numbered, WordHashes
 
 LANGS = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "qrstuvwé"}
 
@@ -526,6 +526,27 @@ def test_rows_of_embeddings_are_ordered_as_16_bit_numbers():
     assert (lm.by_value(x) == np.argsort(x, kind="stable")).all()
 
 
+def test_repeats_and_numbers_over_many_texts_equal_those_of_each(texts):
+    listed = [(t or "").encode().split() for _, t, *_ in texts] + ["a b c d a b c".encode().split(), b"a b c".split()]
+    words = Numbered()
+    first, _, new = words.learn(listed)
+    numbers, doc, again = words.learn(listed)
+    assert first.tolist() == numbers.tolist() and again == [] and new == list(words) and len(set(new)) == len(new)
+    assert [new[k] for k in numbers] == [w for own in listed for w in own]
+    assert words.hashes[numbers].tolist() == [x for own in listed for x in WordHashes().of(own).tolist()]
+    hit = quality_rules.by_text(quality_rules.in_repeats(words.hashes[numbers], doc), doc, len(listed))
+    assert [int(h.sum()) for h in hit] == [brute_measures(" ".join(w.decode() for w in own))[4] for own in listed]
+    # The classes of a text's pairs are the same whether it stands alone or among others.
+    own = quality_rules.by_text(quality_rules.buckets_of(words.hashes[numbers], "aa"), doc, len(listed))
+    codes, times, mask, of = quality_rules.pairs_of(own)
+    for k, t in enumerate(own):
+        if len(t):
+            alone = quality_rules.pairs_of([t])
+            assert all((x[of == k] == y).all() for x, y in zip((codes, times, mask), alone, strict=False))
+            pairs = Counter(zip([0, *t.tolist()], t.tolist(), strict=False))
+            assert {divmod(c, quality_rules.BUCKETS): n for c, n in zip(alone[0].tolist(), alone[1].tolist(), strict=True)} == pairs
+
+
 def test_slopes_and_logs_of_a_softmax_within_and_beyond_the_range_of_floats():
     rng = np.random.default_rng(3)
     for scale in (1, 300, 3000):  # beyond 88 an exponent leaves 32 bits
