@@ -209,6 +209,36 @@ def test_units_are_stripped_once(spark):
     assert plan.count("regexp_extract(") == 2  # a word of quality and the one after it
 
 
+def test_units_near_an_expected_one_are_meant(spark):
+    """The likest expected unit from 85 percent on, the first one of equals, beside their likeness by a plain table."""
+
+    def common(a, b):
+        best = [0] * (len(b) + 1)
+        for x in a:
+            before, best = best, [0]
+            for j, y in enumerate(b):
+                best.append(before[j] + 1 if x == y else max(before[j + 1], best[j]))
+        return best[-1]
+
+    def plain(unit, expected):
+        scores = [200 * common(unit.lower(), e.lower()) / (len(unit) + len(e)) for e in expected]
+        best = max(range(len(expected)), key=lambda k: (scores[k], -k))
+        return expected[best] if scores[best] >= 85 else None
+
+    assert column(spark, ["мкМЕ/л", "МКМЕ/МЛ.", "фл", "", None], lambda x: text.correct_unit(x, F.array(F.lit("мкМЕ/мл")))) == ["мкМЕ/мл", "мкМЕ/мл", None, None, None]
+    assert column(spark, ["нмолл"], lambda x: text.correct_unit(x, F.array(F.lit("г/л"), F.lit("нмоль/л"), F.lit("нмолль")))) == ["нмолль"]  # 83 and 91
+    assert column(spark, ["ммолъ/л"], lambda x: text.correct_unit(x, F.array(F.lit("ммоль/л"), F.lit("ммолы/л")))) == ["ммоль/л"]
+    rng = random.Random(7)
+    expected = ["abcabcab", "abdabcab", "cabcabca", "bbbbbbbbbbbbbbbbbbbb"]
+    units = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    for e in expected * 12:
+        i = rng.randrange(len(e))
+        units += [e[:i] + rng.choice("abcd") + e[i + 1 :], e[:i] + e[i + 1 :], e[:i] + "d" + e[i:]]
+    units = [u for u in units if not any(e in u for e in expected)]
+    got = column(spark, units, lambda x: text.correct_unit(x, F.array(*[F.lit(e) for e in expected])))
+    assert got == [plain(u, expected) for u in units] and 20 < sum(g is not None for g in got) < len(got)
+
+
 def test_bound_text_keeps_results(spark):
     notes = ["Дата рождения 01.02.1980, запись 31.02.2020, затем 3/4/2020", "дата приема 5.6.21", "дата приема 5.6.211 и 07.08.2021", "", None, "1.1.2020 и д.р. 2.2.2000"]
     assert column(spark, notes, dates.visit_date) == [datetime.date(2020, 4, 3), datetime.date(2021, 6, 5), datetime.date(2021, 8, 7), None, None, None]
