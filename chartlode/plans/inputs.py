@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartlode.operators import storage
@@ -140,21 +140,25 @@ CASE WHEN l.o % 4 > 0 THEN (l.o % 4)::DOUBLE / 4 ELSE 0.0 END AS precision, (l.o
 def src_15b(t: Tables) -> DataFrame:
     """The summary table of the same logs; every fifth order was never measured, and what stands after the failures' heading is no row."""
     li = t.read("lineitem").select(F.concat(F.lit("f"), "l_suppkey").alias("file"), F.col("l_orderkey").alias("o"), "l_linenumber", "l_quantity")
-    doc, measured, far = F.concat(F.lit("doc"), "o", F.lit(".pdf")), li.where("o % 5 > 0"), 1 << 40
-    text = lambda *parts: F.concat(*[F.lit(p) if p[0] in " [" else F.expr(p).cast("string") for p in parts]).alias("line")
-    heads = measured.select("file", (F.col("o") * 10).alias("line_no"), F.concat(F.lit("[E2E] "), doc).alias("line")).distinct()
-    body = measured.select("file", (F.col("o") * 10 + 1).alias("line_no"), text("[METRICS] tps=", "l_quantity", " matched=", "l_linenumber", "'/9'"))
-    once = li.select("file", "o").distinct()
-    row = F.concat(doc, text(" ", "if(o % 3 = 0, 'FAIL', 'PASS')", "   ", "round(o % 90 / 2, 1)", "'s'", "   ", "o % 70", "'.0s'", "  ", "round(o % 90 / 2 + o % 70, 1)", "'s'", "     ", "if(o % 4 > 0, string(o % 4 / 4), '—')", "     ", "o % 2", "    ", "o % 3")).alias("line")
-    rows = once.select("file", (F.col("o") + far).alias("line_no"), row)
-    late = once.select("file", (F.col("o") + 3 * far).alias("line_no"), row)
-    files = once.select("file").distinct()
-    frame = [files.select("file", F.lit(n).alias("line_no"), F.lit(s).alias("line")) for n, s in ((far - 1, "=== ИТОГОВАЯ СВОДКА E2E ==="), (far, "-----"), (2 * far, "Документов: 9"), (2 * far + 1, "ПРОВАЛЫ"))]
-    lines = heads
-    for more in (body, rows, late, *frame):
-        lines = lines.unionByName(more)
-    # As a log's lines are: written once, however often they are read.
-    return readers.log_summary(storage.materialize(lines, "logs"))
+    # A log is made where its file's order lines are, so that its text needn't be sent there.
+    li = li.repartition(max(t.tasks, t.spark.sparkContext.defaultParallelism), "file")
+    in_file = Window.partitionBy("file").orderBy("o")
+    li = li.select("*", F.row_number().over(in_file).alias("k"), F.lag("o").over(in_file).alias("last"))
+    doc, measured, far = F.concat(F.lit("doc"), "o", F.lit(".pdf")), F.col("o") % 5 > 0, 1 << 40
+    text = lambda *parts: F.concat(*[F.lit(p) if p[0] in " [" else F.expr(p).cast("string") for p in parts])
+    row = F.concat(doc, text(" ", "if(o % 3 = 0, 'FAIL', 'PASS')", "   ", "o % 90 / 2", "'s'", "   ", "o % 70", "'.0s'", "  ", "o % 90 / 2 + o % 70", "'s'", "     ", "if(o % 4 > 0, string(o % 4 / 4), '—')", "     ", "o % 2", "    ", "o % 3"))
+    first, once = F.col("k") == 1, (F.col("k") == 1) | ~F.col("o").eqNullSafe(F.col("last"))
+    line = lambda when, n, s: F.when(when, F.struct(n.cast("long").alias("line_no"), s.alias("line")))
+    frame = ((far - 1, "=== ИТОГОВАЯ СВОДКА E2E ==="), (far, "-----"), (2 * far, "Документов: 9"), (2 * far + 1, "ПРОВАЛЫ"))
+    lines = F.array(
+        line(once & measured, F.col("o") * 10, F.concat(F.lit("[E2E] "), doc)),
+        line(measured, F.col("o") * 10 + 1, text("[METRICS] tps=", "l_quantity", " matched=", "l_linenumber", "'/9'")),
+        line(once, F.col("o") + far, F.col("row")),
+        line(once, F.col("o") + 3 * far, F.col("row")),
+        *[line(first, F.lit(n), F.lit(s)) for n, s in frame],
+    )
+    lines = li.withColumn("row", F.when(once, row)).select("file", F.explode(F.array_compact(lines)).alias("x"))
+    return readers.log_summary(lines.select("file", "x.*"))
 
 
 @query("SRC-18", "", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS power, (event_id % 70)::DOUBLE AS temp FROM events WHERE event_id % 5 > 0")

@@ -6,9 +6,13 @@ library. A payload that doesn't parse gives no rows and stops nothing.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chartlode.functions.text import let
+
 # Record types of a health export and the metrics that they are.
 EXPORT_METRICS = {
     "HKQuantityTypeIdentifierHeartRate": "heart_rate",
@@ -131,13 +135,19 @@ def sheet_status(sheet: Column, statuses: dict[str, str]) -> Column:
     return out
 
 
+def log_lines(lines: DataFrame, *more: Column) -> DataFrame:
+    """What each line of a log says (its tokens a second, matched and expected, and more), and doc, the document of the last header `[E2E] name` up to it."""
+    # A pattern is only tried where its fixed part stands.
+    found = lambda fixed, pattern, k=1: F.when(F.col("line").contains(fixed), F.regexp_extract("line", pattern, k))
+    num = lambda *of: found(*of).try_cast("double")
+    matched = r"matched=([0-9]+)/([0-9]+)"
+    said = lines.select("file", "line_no", F.nullif(found("[E2E]", r"\[E2E\]\s+(\S+)"), F.lit("")).alias("doc"), num("tps=", r"tps=([0-9.]+)").alias("tps"), num("matched=", matched).alias("m"), num("matched=", matched, 2).alias("e"), *more)
+    return said.withColumn("doc", F.last("doc", ignorenulls=True).over(Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def log_documents(lines: DataFrame) -> DataFrame:
     """SRC-15 to SRC-17. Per file and document header `[E2E] name`: tokens a second and matched of expected of the lines under it. lines: file, line_no, line."""
-    header = F.nullif(F.regexp_extract("line", r"\[E2E\]\s+(\S+)", 1), F.lit(""))
-    under = lines.withColumn("doc", F.last(header, ignorenulls=True).over(Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
-    num = lambda pattern, k=1: F.nullif(F.regexp_extract("line", pattern, k), F.lit("")).cast("double")
-    under = under.select("file", "doc", num(r"tps=([0-9.]+)").alias("tps"), num(r"matched=([0-9]+)/([0-9]+)").alias("m"), num(r"matched=([0-9]+)/([0-9]+)", 2).alias("e"))
-    return under.where("doc is not null").groupBy("file", "doc").agg(F.round(F.avg("tps"), 4).alias("tps"), F.sum("m").alias("matched"), F.sum("e").alias("expected"))
+    return log_lines(lines).where("doc is not null").groupBy("file", "doc").agg(F.round(F.avg("tps"), 4).alias("tps"), F.sum("m").alias("matched"), F.sum("e").alias("expected"))
 
 
 #: Fixed values of the benchmark's output: the summary's heading, the heading of what follows it, and the outcomes of a document.
@@ -148,18 +158,32 @@ def log_summary(lines: DataFrame) -> DataFrame:
     """SRC-15. Rows of a file's summary table, between its heading and the list of failures: name, status, three times, precision and recall
     (0.0 for what is no number), with the document's rate and matches from the lines above (0 for a document without any).
 
-    A row is eight fields: a name with a dot, an outcome, three seconds `1.5s`, and three more. Where the table begins and ends are two
-    aggregates of a file, not a scan of it in order. Lines without number or text are in no table."""
-    begins = lines.where(F.col("line").contains(SUMMARY)).groupBy("file").agg(F.min("line_no").alias("_from"))
-    ends = lines.where(F.col("line").startswith(FAILURES)).join(begins, "file").where("line_no > _from").groupBy("file").agg(F.min("line_no").alias("_to"))
-    part = F.split(F.trim("line"), r"\s+")
-    at = lambda k: F.get(part, F.lit(k))
-    seconds = lambda k: F.when(at(k).rlike(r"^[0-9.]+s$"), F.rtrim(at(k), F.lit("s")).try_cast("double"))
-    row = lines.where(F.col("line").rlike(r"^\s*\S+\.\S+\s+(?:" + "|".join(OUTCOMES) + r")\s"))
-    row = row.join(begins, "file").join(ends, "file", "left").where("line_no > _from and (_to is null or line_no < _to)")
-    fields = row.select("file", at(0).alias("doc"), at(1).alias("status"), *[seconds(k).alias(c) for k, c in enumerate(("classify_s", "extract_s", "total_s"), 2)], F.coalesce(at(5).try_cast("double"), F.lit(0.0)).alias("precision"), F.coalesce(at(6).try_cast("double"), F.lit(0.0)).alias("recall"), at(7).alias("_last"))
-    whole = fields.where("classify_s is not null and extract_s is not null and total_s is not null and _last is not null").drop("_last")
-    return whole.join(log_documents(lines), ["file", "doc"], "left").na.fill(0, ["tps", "matched", "expected"])
+    A row is eight fields: a name with a dot, an outcome, three seconds `1.5s`, and three more. Lines meet once, by file: where the table begins
+    and ends is told by the lines up to each, and rows find their document's measures within the file. Lines without number or text are in no table."""
+
+    def fields(part: Column) -> Column:
+        at = lambda k: F.get(part, F.lit(k))
+        seconds = lambda k: F.when(at(k).rlike(r"^[0-9.]+s$"), F.rtrim(at(k), F.lit("s")).try_cast("double"))
+        share = lambda k: F.coalesce(at(k).try_cast("double"), F.lit(0.0))
+        return F.struct(at(0).alias("doc"), at(1).alias("status"), *[seconds(k).alias(c) for k, c in enumerate(("classify_s", "extract_s", "total_s"), 2)], share(5).alias("precision"), share(6).alias("recall"), at(7).isNotNull().alias("ends"))
+
+    looks = reduce(lambda a, b: a | b, [F.col("line").contains(x) for x in OUTCOMES]) & F.col("line").rlike(r"^\s*\S+\.\S+\s+(?:" + "|".join(OUTCOMES) + r")\s")
+    said = log_lines(lines, F.col("line").contains(SUMMARY).alias("heads"), F.col("line").startswith(FAILURES).alias("fails"), F.when(looks, F.col("line")).alias("line"))
+    so_far = Window.partitionBy("file").orderBy("line_no").rangeBetween(Window.unboundedPreceding, 0)
+    said = said.withColumn("_from", F.min(F.when(F.col("heads"), F.col("line_no"))).over(so_far))
+    said = said.withColumn("_to", F.min(F.when(F.col("fails") & (F.col("line_no") > F.col("_from")), F.col("line_no"))).over(so_far))
+    inside = F.expr("line is not null and file is not null and line_no > _from and _to is null")
+    said = said.withColumn("row", F.when(inside, let(F.split(F.trim("line"), r"\s+"), fields)))
+    listed = F.expr("row.classify_s is not null and row.extract_s is not null and row.total_s is not null and row.ends")
+    measured = F.expr("doc is not null and coalesce(tps, m, e) is not null")
+    none = lambda c: F.lit(None).cast(said.schema[c].dataType).alias(c)
+    parts = F.array(F.when(measured, F.struct("doc", "tps", "m", "e", none("row"))), F.when(listed, F.struct(F.col("row.doc").alias("doc"), none("tps"), none("m"), none("e"), "row")))
+    parts = said.select("file", F.explode(F.array_compact(parts)).alias("p")).select("file", "p.*")
+    own = Window.partitionBy("file", "doc")
+    sums = {"tps": F.round(F.avg("tps").over(own), 4), "matched": F.sum("m").over(own), "expected": F.sum("e").over(own)}
+    out = parts.select("file", "doc", "row", *[c.alias(n) for n, c in sums.items()]).where("row is not null")
+    rows = [f"row.{c}" for c in ("status", "classify_s", "extract_s", "total_s", "precision", "recall")]
+    return out.select("file", "doc", *rows, *sums).na.fill(0, list(sums))
 
 
 def telemetry(lines: DataFrame, columns: list[str]) -> DataFrame:

@@ -246,3 +246,18 @@ def test_bound_text_keeps_results(spark):
     units = ["G/L", "| г/л |", "Не  обнаружено: кп", "не обнаружено", "отрицательный", "в г/л крови", "%", "", None]
     assert column(spark, units, lambda x: text.correct_unit(x, expected)) == ["г/л", "г/л", "КП", None, "КП", "г/л", None, None, None]
     assert column(spark, units, text.strip_unit_noise) == ["G/L", "г/л", "кп", "не обнаружено", "отрицательный", "в г/л крови", "%", "", None]
+
+
+def test_a_log_is_sent_once(spark):
+    """Lines meet by file once, and nothing is written between; a row that stands twice is twice, one at the number of the failures' heading is none."""
+    import __spark_entry__
+    from chartlode.sources import readers
+
+    row = "{}  PASS   1.5s   2.0s  3.5s   1  0.5  0"
+    log = [(1, "[E2E] a.pdf"), (2, "tps=4 matched=1/2"), (2, "tps=5"), (3, "[E2E] b.pdf"), (4, "== ИТОГОВАЯ СВОДКА E2E"), (5, row.format("b.pdf")), (6, row.format("a.pdf")), (6, row.format("a.pdf")), (7, row.format("a.pdf")), (7, "ПРОВАЛЫ"), (7, row.format("c.pdf")), (8, row.format("a.pdf"))]
+    found = readers.log_summary(spark.createDataFrame([("x", n, s) for n, s in log] + [(None, n, s) for n, s in log], "file string, line_no long, line string"))
+    want = [("x", d, "PASS", 1.5, 2.0, 3.5, 1.0, 0.5, *m) for d, m in (("a.pdf", (4.5, 1.0, 2.0)), ("a.pdf", (4.5, 1.0, 2.0)), ("b.pdf", (0.0, 0.0, 0.0)))]
+    assert sorted(tuple(r) for r in found.collect()) == want
+    for df in (found, __spark_entry__.queries()["SRC-15b"](spark, "/root/testdata/sf0.001")):
+        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "Join" not in plan
