@@ -157,8 +157,8 @@ def src_15b(t: Tables) -> DataFrame:
         line(once, F.col("o") + 3 * far, F.col("row")),
         *[line(first, F.lit(n), F.lit(s)) for n, s in frame],
     )
-    lines = li.withColumn("row", F.when(once, row)).select("file", F.explode(F.array_compact(lines)).alias("x"))
-    return readers.log_summary(lines.select("file", "x.*"))
+    lines = li.withColumn("row", F.when(once, row)).select("file", F.explode(lines).alias("x"))
+    return readers.log_summary(lines.where("x is not null").select("file", "x.*"))
 
 
 @query("SRC-18", "", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS power, (event_id % 70)::DOUBLE AS temp FROM events WHERE event_id % 5 > 0")

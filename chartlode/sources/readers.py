@@ -11,8 +11,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chartlode.functions.text import let
-
 # Record types of a health export and the metrics that they are.
 EXPORT_METRICS = {
     "HKQuantityTypeIdentifierHeartRate": "heart_rate",
@@ -173,12 +171,12 @@ def log_summary(lines: DataFrame) -> DataFrame:
     said = said.withColumn("_from", F.min(F.when(F.col("heads"), F.col("line_no"))).over(so_far))
     said = said.withColumn("_to", F.min(F.when(F.col("fails") & (F.col("line_no") > F.col("_from")), F.col("line_no"))).over(so_far))
     inside = F.expr("line is not null and file is not null and line_no > _from and _to is null")
-    said = said.withColumn("row", F.when(inside, let(F.split(F.trim("line"), r"\s+"), fields)))
+    said = said.withColumn("part", F.when(inside, F.split(F.trim("line"), r"\s+"))).withColumn("row", F.when(F.col("part").isNotNull(), fields(F.col("part"))))
     listed = F.expr("row.classify_s is not null and row.extract_s is not null and row.total_s is not null and row.ends")
     measured = F.expr("doc is not null and coalesce(tps, m, e) is not null")
     none = lambda c: F.lit(None).cast(said.schema[c].dataType).alias(c)
     parts = F.array(F.when(measured, F.struct("doc", "tps", "m", "e", none("row"))), F.when(listed, F.struct(F.col("row.doc").alias("doc"), none("tps"), none("m"), none("e"), "row")))
-    parts = said.select("file", F.explode(F.array_compact(parts)).alias("p")).select("file", "p.*")
+    parts = said.select("file", F.explode(parts).alias("p")).where("p is not null").select("file", "p.*")
     own = Window.partitionBy("file", "doc")
     sums = {"tps": F.round(F.avg("tps").over(own), 4), "matched": F.sum("m").over(own), "expected": F.sum("e").over(own)}
     out = parts.select("file", "doc", "row", *[c.alias(n) for n, c in sums.items()]).where("row is not null")
